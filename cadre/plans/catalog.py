@@ -51,4 +51,4 @@ def load_all() -> None:
         importlib.import_module(f"cadre.plans.{mod}")
 
 
-MODULES = ["q_rollup", "q_clean", "q_roster", "q_features", "q_labels", "q_encode"]
+MODULES = ["q_rollup", "q_clean", "q_roster", "q_features", "q_labels", "q_encode", "q_metrics"]
