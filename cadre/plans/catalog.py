@@ -28,19 +28,32 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round every double column (output hygiene for the oracle compare).
+def _floor(v):
+    """Exact floor of a double using only IEEE operations (no long cast)."""
+    t = v - (v % F.lit(1.0))  # truncation toward zero; fmod is exact
+    return F.when((v < 0) & (t != v), t - F.lit(1.0)).otherwise(t)
 
-    Rounds to 9 places first so float-summation noise cannot push an exact
-    half-way value to different sides in two engines; SQL twin: ``r6``.
+
+def round6(c):
+    """Round to 6 places as ``floor(floor(x*1e9+0.5)/1e9*1e6+0.5)/1e6``.
+
+    Plain IEEE multiply/add/floor/divide, so Spark and the SQL twin
+    (``sql_views.r6``) produce bit-identical doubles; the 9-place step
+    absorbs float-summation noise between the engines first.
     """
+    y = _floor(c * F.lit(1e9) + F.lit(0.5)) / F.lit(1e9)
+    return _floor(y * F.lit(1e6) + F.lit(0.5)) / F.lit(1e6)
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    """Round every double column (output hygiene for the oracle compare)."""
     cols = []
     for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.round(F.round(F.col(f"`{f.name}`").cast("double"), 9), digits)
-            cols.append(c.alias(f.name))
+            cols.append(round6(c.cast("double")).alias(f.name))
         else:
-            cols.append(F.col(f"`{f.name}`"))
+            cols.append(c)
     return df.select(*cols)
 
 
@@ -51,4 +64,4 @@ def load_all() -> None:
         importlib.import_module(f"cadre.plans.{mod}")
 
 
-MODULES = ["q_rollup", "q_clean", "q_roster", "q_features", "q_labels", "q_encode", "q_metrics"]
+MODULES = ["q_rollup", "q_clean", "q_roster", "q_features", "q_labels", "q_encode", "q_metrics", "q_explain"]

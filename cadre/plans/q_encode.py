@@ -57,8 +57,8 @@ WITH {V.CAT}, {_RANKED}, {_SPLIT},
 tr AS (SELECT * FROM s WHERE split <> 'test'),
 {_enc_sql('tr')}
 SELECT s.doc_id, s.split,
-       round(round(coalesce(el.enc, g.g), 9), 6) AS lang_te,
-       round(round(coalesce(es.enc, g.g), 9), 6) AS source_te
+       (floor(floor((coalesce(el.enc, g.g)) * 1e9 + 0.5) / 1e9 * 1e6 + 0.5) / 1e6) AS lang_te,
+       (floor(floor((coalesce(es.enc, g.g)) * 1e9 + 0.5) / 1e9 * 1e6 + 0.5) / 1e6) AS source_te
 FROM s CROSS JOIN g
 LEFT JOIN enc el ON el.feature = 'lang' AND el.category = coalesce(s.lang, 'nan')
 LEFT JOIN enc es ON es.feature = 'source' AND es.category = coalesce(s.source, 'nan')
@@ -76,7 +76,7 @@ def target_encode(spark, d):
 WITH {V.CAT},
 tr AS (SELECT * FROM cat WHERE lang IN ('en', 'de')),
 {_enc_sql('tr', ('lang',))}
-SELECT c.doc_id, c.lang, round(round(coalesce(el.enc, g.g), 9), 6) AS lang_te
+SELECT c.doc_id, c.lang, (floor(floor((coalesce(el.enc, g.g)) * 1e9 + 0.5) / 1e9 * 1e6 + 0.5) / 1e6) AS lang_te
 FROM cat c CROSS JOIN g
 LEFT JOIN enc el ON el.feature = 'lang' AND el.category = coalesce(c.lang, 'nan')
 """)
@@ -93,8 +93,8 @@ def _oof_sql(cols=("lang", "source")) -> str:
         f"SELECT '{c}' AS feature, coalesce(CAST({c} AS STRING), 'nan') AS category, fold, count(*) AS ncf, "
         f"sum(CAST(quality AS DOUBLE)) AS scf FROM f GROUP BY 2, 3" for c in cols)
     sel = ",\n       ".join(
-        f"round(round(coalesce(((c_{c}.sc - coalesce(f_{c}.scf, 0)) + 10 * gf.g) / "
-        f"((c_{c}.nc - coalesce(f_{c}.ncf, 0)) + 10), gf.g), 9), 6) AS {c}_oof" for c in cols)
+        f"(floor(floor((coalesce(((c_{c}.sc - coalesce(f_{c}.scf, 0)) + 10 * gf.g) / "
+        f"((c_{c}.nc - coalesce(f_{c}.ncf, 0)) + 10), gf.g)) * 1e9 + 0.5) / 1e9 * 1e6 + 0.5) / 1e6) AS {c}_oof" for c in cols)
     joins = "\n".join(
         f"LEFT JOIN cc c_{c} ON c_{c}.feature = '{c}' AND c_{c}.category = coalesce(f.{c}, 'nan')\n"
         f"LEFT JOIN cf f_{c} ON f_{c}.feature = '{c}' AND f_{c}.category = coalesce(f.{c}, 'nan') "
@@ -150,8 +150,8 @@ st AS (SELECT avg(coalesce(c_acctbal, 0)) AS m1, stddev_pop(coalesce(c_acctbal,
               avg(CAST(coalesce(c_nationkey, 0) AS DOUBLE)) AS m2,
               stddev_pop(CAST(coalesce(c_nationkey, 0) AS DOUBLE)) AS s2 FROM tr)
 SELECT c_custkey,
-       round(round((coalesce(c_acctbal, 0) - m1) / CASE WHEN s1 > 0 THEN s1 ELSE 1 END, 9), 6) AS c_acctbal_z,
-       round(round((coalesce(c_nationkey, 0) - m2) / CASE WHEN s2 > 0 THEN s2 ELSE 1 END, 9), 6) AS c_nationkey_z
+       (floor(floor(((coalesce(c_acctbal, 0) - m1) / CASE WHEN s1 > 0 THEN s1 ELSE 1 END) * 1e9 + 0.5) / 1e9 * 1e6 + 0.5) / 1e6) AS c_acctbal_z,
+       (floor(floor(((coalesce(c_nationkey, 0) - m2) / CASE WHEN s2 > 0 THEN s2 ELSE 1 END) * 1e9 + 0.5) / 1e9 * 1e6 + 0.5) / 1e6) AS c_nationkey_z
 FROM customer, st
 """)
 def standardise(spark, d):

@@ -54,9 +54,9 @@ def _cnt_sql():
         members = [n for n, _ in FLAG_SQL if n.startswith(p)]
         if members:
             s = " + ".join(f"coalesce({_sql_num(chr(34) + m + chr(34))}, 0)" for m in members)
-            parts.append(f"round(round(CAST({s} AS DOUBLE), 9), 6) AS cnt_{features.group_name(p)}")
+            parts.append(f"(floor(floor((CAST({s} AS DOUBLE)) * 1e9 + 0.5) / 1e9 * 1e6 + 0.5) / 1e6) AS cnt_{features.group_name(p)}")
     filled = " + ".join(f"CAST(\"{n}\" IS NOT NULL AS INTEGER)" for n, _ in FLAG_SQL)
-    parts.append(f"round(round(({filled}) / {float(len(FLAG_SQL))}, 9), 6) AS flag_completeness")
+    parts.append(f"(floor(floor((({filled}) / {float(len(FLAG_SQL))}) * 1e9 + 0.5) / 1e9 * 1e6 + 0.5) / 1e6) AS flag_completeness")
     return ",\n       ".join(parts)
 
 
@@ -79,7 +79,7 @@ def flag_counts(spark, d):
 @register("flag_coerce", f"""
 WITH {_FLAGS_CTE}
 SELECT o_orderkey, """ + ", ".join(
-    f"round(round(least(greatest(coalesce({_sql_num(chr(34) + n + chr(34))}, 0.0), 0.0), 1.0), 9), 6) AS \"{n}\""
+    f"(floor(floor((least(greatest(coalesce({_sql_num(chr(34) + n + chr(34))}, 0.0), 0.0), 1.0)) * 1e9 + 0.5) / 1e9 * 1e6 + 0.5) / 1e6) AS \"{n}\""
     for n, _ in FLAG_SQL) + """
 FROM f
 """)
@@ -94,7 +94,7 @@ def flag_coerce(spark, d):
 WITH p AS (SELECT p_partkey,
                   CASE WHEN p_partkey % 17 = 0 THEN NULL ELSE CAST(p_size AS DOUBLE) * 1.25 - 2.5 END AS dist
            FROM part)
-SELECT p_partkey, round(round(dist, 9), 6) AS dist,
+SELECT p_partkey, (floor(floor((dist) * 1e9 + 0.5) / 1e9 * 1e6 + 0.5) / 1e6) AS dist,
        CASE WHEN dist > -1 AND dist <= 5 THEN '<5km'
             WHEN dist > 5 AND dist <= 15 THEN '5-15km'
             WHEN dist > 15 AND dist <= 30 THEN '15-30km'
@@ -129,7 +129,7 @@ m AS (SELECT o_orderkey,
              greatest(floor((epoch_us(TIMESTAMP '2026-06-23') - epoch_us(ts)) / 86400000000.0) / 30.44,
                       0.0) AS tm
       FROM p)
-SELECT o_orderkey, round(round(tm, 9), 6) AS tenure_months,
+SELECT o_orderkey, (floor(floor((tm) * 1e9 + 0.5) / 1e9 * 1e6 + 0.5) / 1e6) AS tenure_months,
        CASE WHEN tm > -1 AND tm <= 3 THEN '<3m' WHEN tm > 3 AND tm <= 6 THEN '3-6m'
             WHEN tm > 6 AND tm <= 12 THEN '6-12m' WHEN tm > 12 AND tm <= 24 THEN '1-2yr'
             WHEN tm > 24 AND tm <= 60 THEN '2-5yr' WHEN tm > 60 AND tm <= 9999 THEN '>5yr' END
@@ -158,7 +158,7 @@ SELECT 'is_odd' AS feature, 'binary' AS type, CAST(NULL AS DOUBLE) AS lo, CAST(N
 UNION ALL
 SELECT 'c_nationkey', 'numeric', min(c_nationkey), max(c_nationkey), NULL FROM customer
 UNION ALL
-SELECT 'c_acctbal', 'numeric', round(round(min(c_acctbal), 9), 6), round(round(max(c_acctbal), 9), 6), NULL
+SELECT 'c_acctbal', 'numeric', (floor(floor((min(c_acctbal)) * 1e9 + 0.5) / 1e9 * 1e6 + 0.5) / 1e6), (floor(floor((max(c_acctbal)) * 1e9 + 0.5) / 1e9 * 1e6 + 0.5) / 1e6), NULL
 FROM customer
 UNION ALL
 SELECT 'no_value', 'numeric', 0.0, 1.0, NULL
@@ -193,7 +193,7 @@ _TYPED_COLS = [
 
 @register("type_inference", "WITH t AS (SELECT " + ", ".join(f"{sql} AS {n}" for n, sql in _TYPED_COLS)
           + " FROM orders)\n" + "\nUNION ALL\n".join(
-              f"SELECT '{n}' AS feature, round(round(avg(CASE WHEN {_sql_num(n)} IS NOT NULL THEN 1.0 ELSE 0.0 END), 9), 6)"
+              f"SELECT '{n}' AS feature, (floor(floor((avg(CASE WHEN {_sql_num(n)} IS NOT NULL THEN 1.0 ELSE 0.0 END)) * 1e9 + 0.5) / 1e9 * 1e6 + 0.5) / 1e6)"
               f" AS numeric_share, CASE WHEN avg(CASE WHEN {_sql_num(n)} IS NOT NULL THEN 1.0 ELSE 0.0 END) >= 0.5"
               f" THEN 'numeric' ELSE 'categorical' END AS inferred_type FROM t" for n, _ in _TYPED_COLS))
 def type_inference(spark, d):

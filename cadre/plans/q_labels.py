@@ -40,10 +40,10 @@ t AS (SELECT c_custkey, c_acctbal,
              CASE WHEN c_acctbal IS NULL THEN NULL WHEN c_acctbal <= p33 THEN 0
                   WHEN c_acctbal <= p67 THEN 1 ELSE 2 END AS tier, p33, p67
       FROM customer, cuts)
-SELECT c_custkey, round(round(c_acctbal, 9), 6) AS c_acctbal, tier,
+SELECT c_custkey, (floor(floor((c_acctbal) * 1e9 + 0.5) / 1e9 * 1e6 + 0.5) / 1e6) AS c_acctbal, tier,
        CASE tier WHEN 0 THEN 'At-Risk' WHEN 1 THEN 'Developing' WHEN 2 THEN 'High Performer' END
          AS tier_label,
-       round(round(p33, 9), 6) AS p33, round(round(p67, 9), 6) AS p67
+       (floor(floor((p33) * 1e9 + 0.5) / 1e9 * 1e6 + 0.5) / 1e6) AS p33, (floor(floor((p67) * 1e9 + 0.5) / 1e9 * 1e6 + 0.5) / 1e6) AS p67
 FROM t
 """)
 def tercile_tiers(spark, d):
@@ -63,7 +63,7 @@ t AS (SELECT CASE WHEN target IS NULL THEN NULL WHEN target <= p33 THEN 0
 c AS (SELECT tier, count(*) AS n FROM t GROUP BY tier)
 SELECT tier, n, CAST(sum(n) OVER () AS BIGINT) AS n_total,
        CAST(sum(CASE WHEN tier IS NOT NULL THEN n END) OVER () AS BIGINT) AS n_labeled,
-       round(round(sum(CASE WHEN tier IS NOT NULL THEN n END) OVER () / CAST(sum(n) OVER () AS DOUBLE), 9), 6)
+       (floor(floor((sum(CASE WHEN tier IS NOT NULL THEN n END) OVER () / CAST(sum(n) OVER () AS DOUBLE)) * 1e9 + 0.5) / 1e9 * 1e6 + 0.5) / 1e6)
          AS pct_labeled,
        CASE tier WHEN 0 THEN 'At-Risk' WHEN 1 THEN 'Developing' WHEN 2 THEN 'High Performer' END
          AS tier_label

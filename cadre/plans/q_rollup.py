@@ -17,13 +17,13 @@ lm AS (SELECT advisor, max(month) AS latest_m FROM k WHERE month IS NOT NULL GRO
 lp AS (SELECT advisor, max(month) AS lp_m FROM k
        WHERE month IS NOT NULL AND ptg IS NOT NULL GROUP BY advisor)
 SELECT k.advisor,
-       round(round(avg(score), 9), 6) AS kpi_avg_score,
-       round(round(avg(ptg), 9), 6) AS kpi_avg_ptg,
-       round(round(avg(wptg), 9), 6) AS kpi_avg_wptg,
-       round(round(max(CASE WHEN k.month = lp.lp_m THEN ptg END), 9), 6) AS kpi_latest_ptg,
-       round(round(sum(CASE WHEN k.month = lm.latest_m THEN wptg END), 9), 6) AS kpi_composite_wptg_latest,
-       round(round(CASE WHEN count(CASE WHEN ptg >= 100 THEN 1 END) > 0
-             THEN count(CASE WHEN ptg >= 100 THEN 1 END) / CAST(count(ptg) AS DOUBLE) END, 9), 6)
+       (floor(floor((avg(score)) * 1e9 + 0.5) / 1e9 * 1e6 + 0.5) / 1e6) AS kpi_avg_score,
+       (floor(floor((avg(ptg)) * 1e9 + 0.5) / 1e9 * 1e6 + 0.5) / 1e6) AS kpi_avg_ptg,
+       (floor(floor((avg(wptg)) * 1e9 + 0.5) / 1e9 * 1e6 + 0.5) / 1e6) AS kpi_avg_wptg,
+       (floor(floor((max(CASE WHEN k.month = lp.lp_m THEN ptg END)) * 1e9 + 0.5) / 1e9 * 1e6 + 0.5) / 1e6) AS kpi_latest_ptg,
+       (floor(floor((sum(CASE WHEN k.month = lm.latest_m THEN wptg END)) * 1e9 + 0.5) / 1e9 * 1e6 + 0.5) / 1e6) AS kpi_composite_wptg_latest,
+       (floor(floor((CASE WHEN count(CASE WHEN ptg >= 100 THEN 1 END) > 0
+             THEN count(CASE WHEN ptg >= 100 THEN 1 END) / CAST(count(ptg) AS DOUBLE) END) * 1e9 + 0.5) / 1e9 * 1e6 + 0.5) / 1e6)
          AS kpi_pct_above_target,
        CASE WHEN count(DISTINCT k.month) > 0 THEN count(DISTINCT k.month) END AS n_kpi_months,
        count(DISTINCT metric) AS n_kpi_metrics
@@ -51,8 +51,8 @@ WITH {V.KPI},
 c AS (SELECT metric, count(*) AS n_rows FROM kpi WHERE metric IS NOT NULL GROUP BY metric),
 top AS (SELECT metric FROM c ORDER BY n_rows DESC, metric LIMIT 30)
 SELECT advisor, metric,
-       round(round(avg(ptg), 9), 6) AS ptg_avg, round(round(avg(wptg), 9), 6) AS wptg_avg,
-       round(round(avg(score), 9), 6) AS score_avg,
+       (floor(floor((avg(ptg)) * 1e9 + 0.5) / 1e9 * 1e6 + 0.5) / 1e6) AS ptg_avg, (floor(floor((avg(wptg)) * 1e9 + 0.5) / 1e9 * 1e6 + 0.5) / 1e6) AS wptg_avg,
+       (floor(floor((avg(score)) * 1e9 + 0.5) / 1e9 * 1e6 + 0.5) / 1e6) AS score_avg,
        regexp_replace(metric, '[ \\-/.]', '_', 'g') AS metric_safe
 FROM kpi WHERE metric IN (SELECT metric FROM top) AND {KEY_OK}
 GROUP BY advisor, metric
@@ -71,7 +71,7 @@ register("kpi_metric_pivot_wide")(kpi_metric_pivot_wide)
 
 
 _LATEST = """
-  round(round(max(CASE WHEN coalesce(month, '') = mx_{m} THEN {m} END), 9), 6) AS {m}_latest"""
+  (floor(floor((max(CASE WHEN coalesce(month, '') = mx_{m} THEN {m} END)) * 1e9 + 0.5) / 1e9 * 1e6 + 0.5) / 1e6) AS {m}_latest"""
 
 @register("kpi_metric_latest", f"""
 WITH {V.KPI},
@@ -84,9 +84,9 @@ mx AS (SELECT advisor, metric,
 nm AS (SELECT advisor, count(DISTINCT month) AS n_kpi_months FROM k
        WHERE month IS NOT NULL AND month <> '' GROUP BY advisor)
 SELECT k.advisor, k.metric,
-       round(round(avg(score), 9), 6) AS score_avg, {_LATEST.format(m='score').strip()},
-       round(round(avg(ptg), 9), 6) AS ptg_avg, {_LATEST.format(m='ptg').strip()},
-       round(round(avg(wptg), 9), 6) AS wptg_avg, {_LATEST.format(m='wptg').strip()},
+       (floor(floor((avg(score)) * 1e9 + 0.5) / 1e9 * 1e6 + 0.5) / 1e6) AS score_avg, {_LATEST.format(m='score').strip()},
+       (floor(floor((avg(ptg)) * 1e9 + 0.5) / 1e9 * 1e6 + 0.5) / 1e6) AS ptg_avg, {_LATEST.format(m='ptg').strip()},
+       (floor(floor((avg(wptg)) * 1e9 + 0.5) / 1e9 * 1e6 + 0.5) / 1e6) AS wptg_avg, {_LATEST.format(m='wptg').strip()},
        coalesce(any_value(nm.n_kpi_months), 0) AS n_kpi_months
 FROM k JOIN mx ON k.advisor = mx.advisor AND k.metric = mx.metric
 LEFT JOIN nm ON k.advisor = nm.advisor
@@ -102,15 +102,15 @@ WITH {V.SC},
 lp AS (SELECT email_lower, arg_max(ptg, (ts, event_id)) AS sc_latest_ptg
        FROM sc WHERE ptg IS NOT NULL GROUP BY email_lower)
 SELECT s.email_lower,
-       round(round(avg(ptg), 9), 6) AS sc_avg_ptg,
-       round(round(any_value(lp.sc_latest_ptg), 9), 6) AS sc_latest_ptg,
-       round(round(avg(rank), 9), 6) AS sc_avg_rank,
-       round(round(min(rank), 9), 6) AS sc_best_rank,
-       round(round(avg(quartile), 9), 6) AS sc_avg_quartile,
-       round(round(max(consec_failing), 9), 6) AS sc_max_consec_failing,
-       round(round(sum(met_count), 9), 6) AS sc_total_met,
-       round(round(sum(fail_count), 9), 6) AS sc_total_fail,
-       round(round(avg(passed), 9), 6) AS sc_pct_kpi_passed,
+       (floor(floor((avg(ptg)) * 1e9 + 0.5) / 1e9 * 1e6 + 0.5) / 1e6) AS sc_avg_ptg,
+       (floor(floor((any_value(lp.sc_latest_ptg)) * 1e9 + 0.5) / 1e9 * 1e6 + 0.5) / 1e6) AS sc_latest_ptg,
+       (floor(floor((avg(rank)) * 1e9 + 0.5) / 1e9 * 1e6 + 0.5) / 1e6) AS sc_avg_rank,
+       (floor(floor((min(rank)) * 1e9 + 0.5) / 1e9 * 1e6 + 0.5) / 1e6) AS sc_best_rank,
+       (floor(floor((avg(quartile)) * 1e9 + 0.5) / 1e9 * 1e6 + 0.5) / 1e6) AS sc_avg_quartile,
+       (floor(floor((max(consec_failing)) * 1e9 + 0.5) / 1e9 * 1e6 + 0.5) / 1e6) AS sc_max_consec_failing,
+       (floor(floor((sum(met_count)) * 1e9 + 0.5) / 1e9 * 1e6 + 0.5) / 1e6) AS sc_total_met,
+       (floor(floor((sum(fail_count)) * 1e9 + 0.5) / 1e9 * 1e6 + 0.5) / 1e6) AS sc_total_fail,
+       (floor(floor((avg(passed)) * 1e9 + 0.5) / 1e9 * 1e6 + 0.5) / 1e6) AS sc_pct_kpi_passed,
        count(*) AS sc_n_records
 FROM sc s LEFT JOIN lp ON s.email_lower = lp.email_lower
 GROUP BY s.email_lower

@@ -31,7 +31,7 @@ def _enriched(spark, d):
 
 @register("roster_union_dedup", f"""
 WITH {_UNION_SQL}
-SELECT emp_id, round(round(acctbal, 9), 6) AS acctbal, name, nationkey, _source FROM ud
+SELECT emp_id, (floor(floor((acctbal) * 1e9 + 0.5) / 1e9 * 1e6 + 0.5) / 1e6) AS acctbal, name, nationkey, _source FROM ud
 """)
 def roster_union_dedup(spark, d):
     """W1 union on shared columns + W2 priority dedup (supplier beats customer)."""
@@ -40,7 +40,7 @@ def roster_union_dedup(spark, d):
 
 @register("roster_enrich", f"""
 WITH {_ENRICH_SQL}
-SELECT emp_id, round(round(acctbal, 9), 6) AS acctbal, name, nationkey, _source,
+SELECT emp_id, (floor(floor((acctbal) * 1e9 + 0.5) / 1e9 * 1e6 + 0.5) / 1e6) AS acctbal, name, nationkey, _source,
        c_mktsegment, email FROM en
 """)
 def roster_enrich(spark, d):
@@ -59,10 +59,10 @@ j AS (SELECT en.emp_id, k.n_kpi_months, s.sc_avg_ptg FROM en
       LEFT JOIN k ON en.emp_id = k.advisor
       LEFT JOIN s ON lower(trim(en.email)) = s.email_lower)
 SELECT 'kpi' AS "join", count(*) AS total, count(n_kpi_months) AS joined,
-       round(round(count(n_kpi_months) * 100.0 / count(*), 9), 6) AS pct FROM j
+       (floor(floor((count(n_kpi_months) * 100.0 / count(*)) * 1e9 + 0.5) / 1e9 * 1e6 + 0.5) / 1e6) AS pct FROM j
 UNION ALL
 SELECT 'scorecard', count(*), count(sc_avg_ptg),
-       round(round(count(sc_avg_ptg) * 100.0 / count(*), 9), 6) FROM j
+       (floor(floor((count(sc_avg_ptg) * 100.0 / count(*)) * 1e9 + 0.5) / 1e9 * 1e6 + 0.5) / 1e6) FROM j
 """)
 def join_coverage(spark, d):
     """J1 KPI join on employee id, J2 scorecard join on email, J9 coverage."""
@@ -82,9 +82,9 @@ def _roster_joined(spark, d):
 
 @register("roster_kpi_join", f"""
 WITH {_ENRICH_SQL}, {V.KPI}, {V.SC},
-k AS (SELECT advisor, round(round(avg(ptg), 9), 6) AS kpi_avg_ptg,
+k AS (SELECT advisor, (floor(floor((avg(ptg)) * 1e9 + 0.5) / 1e9 * 1e6 + 0.5) / 1e6) AS kpi_avg_ptg,
              count(DISTINCT month) AS n_kpi_months FROM kpi GROUP BY advisor),
-s AS (SELECT email_lower, round(round(avg(ptg), 9), 6) AS sc_avg_ptg, count(*) AS sc_n_records
+s AS (SELECT email_lower, (floor(floor((avg(ptg)) * 1e9 + 0.5) / 1e9 * 1e6 + 0.5) / 1e6) AS sc_avg_ptg, count(*) AS sc_n_records
       FROM sc GROUP BY email_lower)
 SELECT en.emp_id, en._source, k.kpi_avg_ptg, k.n_kpi_months, s.sc_avg_ptg, s.sc_n_records
 FROM en LEFT JOIN k ON en.emp_id = k.advisor

@@ -96,3 +96,40 @@ def pred(spark: SparkSession, d: str) -> DataFrame:
         F.col("doc_id").alias("row_id"), y.alias("label"), pr.alias("prediction"),
         (a0 / tot).alias("p0"), (a1 / tot).alias("p1"), (a2 / tot).alias("p2"),
     ).withColumn("probability", F.array("p0", "p1", "p2"))
+
+
+def kpi_feature_long(spark: SparkSession, d: str) -> DataFrame:
+    """Per advisor x (top-30 metric, measure) values, long: (row_id, feature, x)."""
+    from cadre.operators import rollup
+    mm = rollup.metric_means_long(kpi(spark, d), n=30)
+    long = mm.selectExpr("advisor AS row_id", "metric_safe",
+                         "stack(3, 'ptg_avg', ptg_avg, 'wptg_avg', wptg_avg, "
+                         "'score_avg', score_avg) AS (measure, x)")
+    return long.select("row_id", F.concat_ws("_", "metric_safe", "measure").alias("feature"), "x")
+
+
+def advisor_split(spark: SparkSession, d: str) -> DataFrame:
+    """Advisors with class = tercile tier of their mean PTG and an 80/20
+    stratified train/test split: (row_id, class, split)."""
+    from cadre.operators import labels, rollup, split
+    roll = rollup.kpi_rollup(kpi(spark, d))
+    tiered, _ = labels.tercile_tiers(roll, "kpi_avg_ptg", out="class")
+    t = tiered.select(F.col("advisor").cast("bigint").alias("row_id"), "class") \
+        .filter(F.col("class").isNotNull())
+    return split.stratified_split(t, "class", "row_id", 0.2, None)
+
+
+def kpi_model(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A linear score read off the training advisors: per tier class and
+    feature, class mean minus overall mean.  Returns (coefficients
+    (class, feature, coef), baseline means (feature, mean), test-advisor
+    features (row_id, feature, x))."""
+    feats = kpi_feature_long(spark, d).withColumn("row_id", F.col("row_id").cast("bigint"))
+    s = advisor_split(spark, d)
+    train = feats.join(s.filter(F.col("split") == "train"), "row_id")
+    means = train.groupBy("feature").agg(F.avg("x").alias("mean"))
+    cm = train.groupBy("class", "feature").agg(F.avg("x").alias("cmean"))
+    coefs = cm.join(means, "feature").select(
+        "class", "feature", F.coalesce(F.col("cmean") - F.col("mean"), F.lit(0.0)).alias("coef"))
+    test = feats.join(s.filter(F.col("split") == "test").select("row_id"), "row_id")
+    return coefs, means, test
