@@ -236,3 +236,31 @@ def scorecard_rollup(facts: DataFrame, email: str = "email", order: Sequence[str
         F.avg(passed.cast("double")).alias("sc_pct_kpi_passed"),
         F.count(F.lit(1)).alias("sc_n_records"),
     )
+
+
+def period_aligned_rollup(facts: DataFrame, labels: DataFrame, key: str = "advisor",
+                          month: str = "month", label_key: str | None = None,
+                          label_month: str = "eval_month", months: int = 3,
+                          ptg: str | None = "ptg", wptg: str | None = "wptg") -> DataFrame:
+    """For each label row (person, evaluation month ``yyyy-MM``) roll up
+    only the facts of the ``months`` months ending at that month.
+
+    A range join would pair every label with every fact of the person (a
+    hot person -> one exploding task).  Instead facts are pre-aggregated per
+    (person, month), each label is expanded to its ``months`` months, and
+    the two meet on an equi-join of (person, month).
+    """
+    label_key = label_key or key
+    base = kpi_facts(facts, key, month, month, None, ptg, wptg)
+    per_month = base.groupBy("_k", "_m").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("_ptg").alias("s_ptg"), F.count("_ptg").alias("n_ptg"),
+        F.sum("_wptg").alias("s_wptg"))
+    first_day = F.to_date(F.concat(F.col("_lm"), F.lit("-01")))
+    lab = labels.select(F.col(label_key).cast("string").alias("_k"), F.col(label_month).alias("_lm")) \
+        .withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(months - 1)))) \
+        .withColumn("_m", F.date_format(F.add_months(first_day, -F.col("_i")), "yyyy-MM"))
+    j = lab.join(per_month, ["_k", "_m"], "left")
+    return j.groupBy(F.col("_k").alias(key), F.col("_lm").alias(label_month)).agg(
+        F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n_rows"),
+        F.try_divide(F.sum("s_ptg"), F.sum("n_ptg").cast("double")).alias("avg_ptg"),
+        F.sum("s_wptg").alias("sum_wptg"))
