@@ -133,3 +133,19 @@ def kpi_model(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFr
         "class", "feature", F.coalesce(F.col("cmean") - F.col("mean"), F.lit(0.0)).alias("coef"))
     test = feats.join(s.filter(F.col("split") == "test").select("row_id"), "row_id")
     return coefs, means, test
+
+
+def order_features(spark: SparkSession, d: str) -> DataFrame:
+    """Order-level modelling table: order attributes, per-order line
+    aggregates and the customer's attributes; target ``o_totalprice``."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus",
+                                         "o_orderpriority", "o_totalprice")
+    li = table(spark, d, "lineitem").groupBy("l_orderkey").agg(
+        F.count(F.lit(1)).alias("n_lines"), F.sum("l_quantity").alias("sum_qty"),
+        F.avg("l_discount").alias("avg_disc"), F.avg("l_tax").alias("avg_tax"))
+    c = table(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_nationkey", "c_acctbal")
+    j = (o.join(li, o.o_orderkey == li.l_orderkey, "left")
+         .join(c, o.o_custkey == c.c_custkey, "left"))
+    return j.select(F.col("o_orderkey").alias("row_id"), "o_orderstatus", "o_orderpriority",
+                    "c_mktsegment", F.col("c_nationkey").cast("string").alias("c_nationkey"),
+                    "c_acctbal", "n_lines", "sum_qty", "avg_disc", "avg_tax", "o_totalprice")
