@@ -70,10 +70,24 @@ def kpi_rollup(facts: DataFrame, key: str = "advisor", month: str | None = "mont
       null (not 0) when none qualify unless ``zero_share_as_null=False``;
     * ``n_kpi_months``: distinct months, null when there is none.
     """
-    base = kpi_facts(facts, key, month, metric, score, ptg, wptg)
+    grain = kpi_grain(facts, key, month, metric, score, ptg, wptg, target)
+    return rollup_from_grain(grain, key, zero_share_as_null, out_key)
+
+
+# Partial-aggregate columns of the KPI grain; all merge by sum except mx_ptg (max).
+GRAIN_SUMS = ("s_score", "n_score", "s_ptg", "n_ptg", "n_hit", "s_wptg", "n_wptg")
 
-    # Step 1: partial aggregate at the fact grain (combinable, skew-spread).
-    grain = base.groupBy("_k", "_m", "_metric").agg(
+
+def kpi_grain(facts: DataFrame, key: str = "advisor", month: str | None = "month",
+              metric: str = "metric", score: str | None = "score",
+              ptg: str | None = "ptg", wptg: str | None = "wptg",
+              target: float = 100.0) -> DataFrame:
+    """Step 1 of the KPI rollup: mergeable partial aggregates per
+    ``(person, month, metric)`` (map-side combine; the shuffle key spreads a
+    hot person over months x metrics).  Partials of separate chunks merge
+    with :func:`merge_grain` — the streaming ingest relies on that."""
+    base = kpi_facts(facts, key, month, metric, score, ptg, wptg)
+    return base.groupBy("_k", "_m", "_metric").agg(
         F.sum("_score").alias("s_score"), F.count("_score").alias("n_score"),
         F.sum("_ptg").alias("s_ptg"), F.count("_ptg").alias("n_ptg"),
         F.max("_ptg").alias("mx_ptg"),
@@ -81,6 +95,16 @@ def kpi_rollup(facts: DataFrame, key: str = "advisor", month: str | None = "mont
         F.sum("_wptg").alias("s_wptg"), F.count("_wptg").alias("n_wptg"),
     )
 
+
+def merge_grain(partials: DataFrame) -> DataFrame:
+    """Merge grain partials of several chunks into one row per grain key."""
+    return partials.groupBy("_k", "_m", "_metric").agg(
+        *[F.sum(c).alias(c) for c in GRAIN_SUMS], F.max("mx_ptg").alias("mx_ptg"))
+
+
+def rollup_from_grain(grain: DataFrame, key: str = "advisor", zero_share_as_null: bool = True,
+                      out_key: str | None = None) -> DataFrame:
+    """Steps 2-3 of the KPI rollup over (merged) grain partials."""
     # Step 2: latest month per person (over all rows, and over rows with a
     # PTG).  The window's person partitioning is the one the final
     # aggregation needs, so neither adds an exchange.
