@@ -15,6 +15,7 @@ from cadre.functions.text import utrim
 
 # Decimal literal accepted as a number (after trimming).
 NUMBER_RE = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+NUMBER_CHARS = "0123456789+-.eE"
 INF_RE = r"^[+-]?(inf|infinity)$"
 
 
@@ -28,7 +29,11 @@ def to_double(c, allow_inf: bool = False) -> Column:
     ``inf`` is null unless ``allow_inf`` (one infinite value ruins a mean).
     """
     txt = utrim(_c(c).cast("string"))
-    parsed = F.when(txt.rlike(NUMBER_RE), txt.try_cast("double"))
+    # Same accept set as NUMBER_RE: only digits, sign, point and exponent
+    # characters may appear (this rejects Java's 'd'/'f' suffixes, hex,
+    # 'NaN', 'Infinity'); try_cast rejects malformed arrangements of them.
+    only_number_chars = F.translate(txt, NUMBER_CHARS, "") == F.lit("")
+    parsed = F.when(only_number_chars & (txt != ""), txt.try_cast("double"))
     if allow_inf:
         low = F.lower(txt)
         parsed = parsed.when(low.rlike(INF_RE),

@@ -24,8 +24,9 @@ NO_TOKENS = ["N", "NO", "0", "FALSE"]
 # ---------------------------------------------------------------------------
 
 # Characters Python's str.strip() removes (Unicode whitespace incl. NBSP).
-_WS = "\\s\\u00a0\\u0085\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\u001c-\\u001f"
-_TRIM_RE = f"^[{_WS}]+|[{_WS}]+$"
+WHITESPACE = ("\t\n\u000b\u000c\r\u001c\u001d\u001e\u001f \u0085\u00a0\u1680"
+              + "".join(chr(c) for c in range(0x2000, 0x200B))
+              + "\u2028\u2029\u202f\u205f\u3000")
 
 
 def _c(c) -> Column:
@@ -34,8 +35,8 @@ def _c(c) -> Column:
 
 def utrim(c) -> Column:
     """Strip leading/trailing Unicode whitespace, NBSP included (Spark ``trim``
-    only strips ASCII spaces)."""
-    return F.regexp_replace(_c(c), _TRIM_RE, "")
+    only strips ASCII spaces).  ``btrim`` with a character set: no regex."""
+    return F.btrim(_c(c), F.lit(WHITESPACE))
 
 
 def null_if_in(c, tokens) -> Column:

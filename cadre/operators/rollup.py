@@ -1,12 +1,12 @@
 """Long fact -> one row per person rollups (KPI fact and scorecard fact).
 
-Plan shape (KPI rollup): one partial aggregation at the fact grain
-``(person, month, metric)`` (map-side combine; the shuffle is spread over all
-three keys, so a person holding a third of the rows is split across tasks),
-then a window keyed by person for the latest month and a final aggregation
-that reuses that partitioning — two exchanges in total.  After the first
-step a person's rows are bounded by months x metrics, so no task holds an
-unbounded group.
+Plan shape (KPI rollup): a partial aggregation per ``(person, month)``
+(map-side combine shrinks the fact by its metrics-per-month factor; the
+shuffle key spreads a person who holds a third of all rows over months),
+then one aggregation per person over at most one row per month.  "Latest
+month" values are ``max_by(value, month)`` over those unique months, so no
+window or self-join is needed; distinct metrics travel as per-month sets
+bounded by the metric catalogue.  Two exchanges, no unbounded group.
 """
 
 from __future__ import annotations
@@ -74,7 +74,8 @@ def kpi_rollup(facts: DataFrame, key: str = "advisor", month: str | None = "mont
     return rollup_from_grain(grain, key, zero_share_as_null, out_key)
 
 
-# Partial-aggregate columns of the KPI grain; all merge by sum except mx_ptg (max).
+# Partial-aggregate columns of the KPI grain; all merge by sum except mx_ptg
+# (max) and the metric set (union).
 GRAIN_SUMS = ("s_score", "n_score", "s_ptg", "n_ptg", "n_hit", "s_wptg", "n_wptg")
 
 
@@ -83,34 +84,32 @@ def kpi_grain(facts: DataFrame, key: str = "advisor", month: str | None = "month
               ptg: str | None = "ptg", wptg: str | None = "wptg",
               target: float = 100.0) -> DataFrame:
     """Step 1 of the KPI rollup: mergeable partial aggregates per
-    ``(person, month, metric)`` (map-side combine; the shuffle key spreads a
-    hot person over months x metrics).  Partials of separate chunks merge
-    with :func:`merge_grain` — the streaming ingest relies on that."""
+    ``(person, month)`` with the month's distinct metrics as a set.
+    Partials of separate chunks merge with :func:`merge_grain` — the
+    streaming ingest relies on that."""
     base = kpi_facts(facts, key, month, metric, score, ptg, wptg)
-    return base.groupBy("_k", "_m", "_metric").agg(
+    return base.groupBy("_k", "_m").agg(
         F.sum("_score").alias("s_score"), F.count("_score").alias("n_score"),
         F.sum("_ptg").alias("s_ptg"), F.count("_ptg").alias("n_ptg"),
         F.max("_ptg").alias("mx_ptg"),
         F.count_if(F.col("_ptg") >= F.lit(float(target))).alias("n_hit"),
         F.sum("_wptg").alias("s_wptg"), F.count("_wptg").alias("n_wptg"),
+        F.collect_set("_metric").alias("metrics"),
     )
 
 
 def merge_grain(partials: DataFrame) -> DataFrame:
-    """Merge grain partials of several chunks into one row per grain key."""
-    return partials.groupBy("_k", "_m", "_metric").agg(
-        *[F.sum(c).alias(c) for c in GRAIN_SUMS], F.max("mx_ptg").alias("mx_ptg"))
+    """Merge grain partials of several chunks into one row per (person, month)."""
+    return partials.groupBy("_k", "_m").agg(
+        *[F.sum(c).alias(c) for c in GRAIN_SUMS], F.max("mx_ptg").alias("mx_ptg"),
+        F.array_distinct(F.flatten(F.collect_list("metrics"))).alias("metrics"))
 
 
 def rollup_from_grain(grain: DataFrame, key: str = "advisor", zero_share_as_null: bool = True,
                       out_key: str | None = None) -> DataFrame:
-    """Steps 2-3 of the KPI rollup over (merged) grain partials."""
-    # Step 2: latest month per person (over all rows, and over rows with a
-    # PTG).  The window's person partitioning is the one the final
-    # aggregation needs, so neither adds an exchange.
-    w = Window.partitionBy("_k")
-    grain = (grain.withColumn("_latest_m", F.max("_m").over(w))
-             .withColumn("_latest_pm", F.max(F.when(F.col("n_ptg") > 0, F.col("_m"))).over(w)))
+    """Step 2 of the KPI rollup over (merged) per-month partials: one row
+    per month and person, so ``max_by(x, month)`` is exactly "x of the
+    latest month" (null months are skipped by ``max_by``)."""
 
     def avg_of(s, n):
         return F.try_divide(F.sum(s), F.sum(n).cast("double"))
@@ -119,19 +118,16 @@ def rollup_from_grain(grain: DataFrame, key: str = "advisor", zero_share_as_null
     share = F.try_divide(n_hit.cast("double"), n_ptg.cast("double"))
     if zero_share_as_null:
         share = F.when(n_hit > 0, share)
-    # Distinct months / metrics per person: sets bounded by the calendar and
-    # the metric catalogue (not by rows), so no Expand + extra shuffle.
-    n_months = F.size(F.collect_set("_m"))
+    n_months = F.count("_m")
     return grain.groupBy(F.col("_k").alias(out_key or key)).agg(
         avg_of("s_score", "n_score").alias("kpi_avg_score"),
         avg_of("s_ptg", "n_ptg").alias("kpi_avg_ptg"),
         avg_of("s_wptg", "n_wptg").alias("kpi_avg_wptg"),
-        F.max(F.when(F.col("_m") == F.col("_latest_pm"), F.col("mx_ptg"))).alias("kpi_latest_ptg"),
-        F.sum(F.when(F.col("_m") == F.col("_latest_m"), F.col("s_wptg")))
-        .alias("kpi_composite_wptg_latest"),
+        F.max_by("mx_ptg", F.when(F.col("n_ptg") > 0, F.col("_m"))).alias("kpi_latest_ptg"),
+        F.max_by("s_wptg", F.col("_m")).alias("kpi_composite_wptg_latest"),
         share.alias("kpi_pct_above_target"),
-        F.when(n_months > 0, n_months.cast("bigint")).alias("n_kpi_months"),
-        F.size(F.collect_set("_metric")).cast("bigint").alias("n_kpi_metrics"),
+        F.when(n_months > 0, n_months).alias("n_kpi_months"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("metrics")))).cast("bigint").alias("n_kpi_metrics"),
     )
 
 

@@ -13,7 +13,6 @@ computed inside a (class, bucket) window.  Same ranks, bounded tasks.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -38,18 +37,22 @@ def hash_order_sql(id_col: str, seed: int = DEFAULT_SEED) -> str:
     return f"(((({id_col} % {m}) + {m}) % {m}) * {HASH_MULT} + {seed}) % {m}"
 
 
+# Buckets over the hash range: fine enough that a (stratum, bucket) window
+# holds ~n / (strata * 65536) rows even at 10^12 rows, and no count pass is
+# needed to size them (empty buckets simply do not appear).
+N_BUCKETS = 1 << 16
+
+
 def rank_within(df: DataFrame, strata: Sequence[str], order_key: str, tie: str,
-                rows_per_bucket: int = 1_000_000, n_buckets: int | None = None) -> DataFrame:
+                n_buckets: int = N_BUCKETS) -> DataFrame:
     """Add ``_rank`` (1-based row number inside each stratum ordered by
     ``(order_key, tie)``) and ``_n`` (stratum size).
 
     ``order_key`` must be roughly uniform on [0, HASH_MOD) (see
-    :func:`hash_order`); the bucket count grows with the row count so each
-    (stratum, bucket) window stays around ``rows_per_bucket`` rows.
+    :func:`hash_order`).  The offsets table has at most strata x buckets
+    rows (AQE broadcasts it when small, else shuffles).
     """
     strata = list(strata)
-    if n_buckets is None:
-        n_buckets = max(1, math.ceil(df.count() / rows_per_bucket))
     b = F.floor(F.col(order_key) * F.lit(float(n_buckets)) / F.lit(float(HASH_MOD))).cast("int")
     with_b = df.withColumn("_b", b)
     counts = with_b.groupBy(*strata, "_b").agg(F.count(F.lit(1)).alias("_nb"))
@@ -83,6 +86,13 @@ def stratified_split(df: DataFrame, label: str, id_col: str, test_size: float =
     return r.withColumn(out, split.otherwise(F.lit("train"))).drop("_h", "_rank", "_n")
 
 
+def sample_rows(df: DataFrame, id_col: str, n: int = 500, seed: int = DEFAULT_SEED) -> DataFrame:
+    """A reproducible n-row sample (e.g. the explanation sample): the n
+    smallest hash keys — a top-k that keeps only n rows per task."""
+    return (df.withColumn("_h", hash_order(id_col, seed)).orderBy("_h", id_col).limit(n)
+            .drop("_h"))
+
+
 def stratified_folds(df: DataFrame, label: str, id_col: str, k: int = 5,
                      seed: int = DEFAULT_SEED, out: str = "fold", **kw) -> DataFrame:
     """M3: fold = (rank - 1) mod k inside each class — every fold gets each

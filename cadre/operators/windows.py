@@ -10,22 +10,23 @@ groups x buckets), and the running sum is only computed inside a
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+# Equal-width buckets per group; empty buckets never materialise, so a fine
+# grid costs nothing at small scale and needs no count pass to size it.
+N_BUCKETS = 1 << 12
+
+
 def running_sums(df: DataFrame, group: Sequence[str], order: str, cols: Sequence[str],
-                 rows_per_bucket: int = 1_000_000, n_buckets: int | None = None,
-                 descending: bool = False) -> DataFrame:
+                 n_buckets: int = N_BUCKETS, descending: bool = False) -> DataFrame:
     """Add ``cum_<c>`` = sum of ``c`` over rows of the same group whose
     ``order`` value is <= the row's (>= when ``descending``), rows being
     unique per (group, order) — aggregate to distinct values first."""
     group = list(group)
-    if n_buckets is None:
-        n_buckets = max(1, math.ceil(df.count() / rows_per_bucket))
     rng = df.groupBy(*group).agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
     width = (F.col("_hi") - F.col("_lo")).cast("double")
     pos = (F.col(order) - F.col("_lo")).cast("double")

@@ -2,7 +2,7 @@
 
 Each view only reshapes given tables into the schema an operator expects
 (the operators themselves do the work); every view has a SQL twin in
-``cadre.plans.oracle`` so DuckDB sees the same input.
+``cadre.plans.sql_views`` so DuckDB sees the same input.
 """
 
 from __future__ import annotations

@@ -10,8 +10,23 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "embeddings pages benchmark labels conversations").split()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give an under-split scan at least the cluster's default parallelism.
+
+    A Parquet file with a single row group is one input split, so every
+    operator before the first shuffle would run in one task.  When the scan
+    has fewer partitions than ``defaultParallelism`` a round-robin
+    repartition spreads it; a scan of many files/row groups (any real
+    dataset) already has more splits and is returned untouched.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Lazy parquet scan; Catalyst prunes columns and pushes filters into it."""
     if name not in TABLES:
         raise KeyError(name)
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return spread(spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet")))
