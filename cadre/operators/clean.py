@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cadre.functions.numeric import clip, flag01, to_double
+from cadre.functions.numeric import flag01, to_double
 from cadre.functions.text import (BLANK_TOKENS, clean_string, fact_clean, norm_header,
                                   norm_key, valid_key)
 
@@ -66,7 +66,3 @@ def not_null(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """rows where every listed column is present."""
     return df.na.drop(how="any", subset=list(cols))
 
-
-def clipped(c, lo=None, hi=None):
-    """C9 re-export for frame code."""
-    return clip(c, lo, hi)

@@ -19,10 +19,6 @@ from pyspark.sql import functions as F
 from cadre.functions.numeric import as_double
 from cadre.functions.text import email_key, safe_name, utrim, valid_key, yes_no
 
-# Measures of the KPI fact and the suffix of their per-metric columns.
-KPI_MEASURES = (("ptg", "ptg"), ("wptg", "wptg"), ("score", "score"))
-
-
 def _prepare(facts: DataFrame, key_expr, measures: dict[str, str | None],
              passthrough: dict[str, str | None]) -> DataFrame:
     """Key normalised and filtered (F3), measures coerced to double."""

@@ -111,8 +111,11 @@ def kpi_feature_long(spark: SparkSession, d: str) -> DataFrame:
 def advisor_split(spark: SparkSession, d: str) -> DataFrame:
     """Advisors with class = tercile tier of their mean PTG and an 80/20
     stratified train/test split: (row_id, class, split)."""
+    from pyspark import StorageLevel
+
     from cadre.operators import labels, rollup, split
-    roll = rollup.kpi_rollup(kpi(spark, d))
+    # one row per advisor, read by the cut-point jobs and by the split
+    roll = rollup.kpi_rollup(kpi(spark, d)).persist(StorageLevel.MEMORY_AND_DISK)
     tiered, _ = labels.tercile_tiers(roll, "kpi_avg_ptg", out="class")
     t = tiered.select(F.col("advisor").cast("bigint").alias("row_id"), "class") \
         .filter(F.col("class").isNotNull())
@@ -124,8 +127,11 @@ def kpi_model(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFr
     feature, class mean minus overall mean.  Returns (coefficients
     (class, feature, coef), baseline means (feature, mean), test-advisor
     features (row_id, feature, x))."""
-    feats = kpi_feature_long(spark, d).withColumn("row_id", F.col("row_id").cast("bigint"))
-    s = advisor_split(spark, d)
+    from pyspark import StorageLevel
+    # both small (advisors x features; advisors) and read several times below
+    feats = kpi_feature_long(spark, d).withColumn("row_id", F.col("row_id").cast("bigint")) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    s = advisor_split(spark, d).persist(StorageLevel.MEMORY_AND_DISK)
     train = feats.join(s.filter(F.col("split") == "train"), "row_id")
     means = train.groupBy("feature").agg(F.avg("x").alias("mean"))
     cm = train.groupBy("class", "feature").agg(F.avg("x").alias("cmean"))

@@ -29,7 +29,8 @@ def test_feature_sets():
     flags = columns.flag_cols(cols)
     assert flags == ["L-English", "CL-PRC", "Tr-Bus"]
     pre = columns.prehire_features(cols, flags)
-    assert pre == ["L-English", "CL-PRC", "Tr-Bus", "GC Region", "Site Distance", "cnt_L"]
+    # Tr-Bus, CL-PRC, GC Barangay and dist_bucket are on the always-drop list
+    assert pre == ["L-English", "GC Region", "Site Distance", "cnt_L"]
     plus = columns.prehire_features(cols, flags, include_onboarding=True)
     assert plus[-2:] == ["Role Type", "tenure_months"]
     kpi = columns.kpi_driver_features(["sc_avg_ptg", "QA_ptg_avg", "n_kpi_months", "Role Type", "x"])
