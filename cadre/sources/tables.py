@@ -10,15 +10,30 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "embeddings pages benchmark labels conversations").split()
 
 
-def spread(df: DataFrame) -> DataFrame:
+# Below this size a table is a broadcast-sized dimension: spreading it only
+# adds a shuffle in front of the broadcast.
+SPREAD_MIN_BYTES = 1 << 20
+
+
+def _size_bytes(spark: SparkSession, path: str) -> int:
+    """Total bytes under ``path`` via the Hadoop FileSystem of its scheme."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
+    return int(fs.getContentSummary(jpath).getLength())
+
+
+def spread(df: DataFrame, size_bytes: int | None = None) -> DataFrame:
     """Give an under-split scan at least the cluster's default parallelism.
 
     A Parquet file with a single row group is one input split, so every
     operator before the first shuffle would run in one task.  When the scan
-    has fewer partitions than ``defaultParallelism`` a round-robin
-    repartition spreads it; a scan of many files/row groups (any real
-    dataset) already has more splits and is returned untouched.
+    has fewer partitions than ``defaultParallelism`` (and is not a small
+    dimension table) a round-robin repartition spreads it; a scan of many
+    files/row groups (any real dataset) already has more splits and is
+    returned untouched.
     """
+    if size_bytes is not None and size_bytes < SPREAD_MIN_BYTES:
+        return df
     target = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < target:
         return df.repartition(target)
@@ -29,4 +44,5 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Lazy parquet scan; Catalyst prunes columns and pushes filters into it."""
     if name not in TABLES:
         raise KeyError(name)
-    return spread(spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet")))
+    path = os.path.join(sf_dir, f"{name}.parquet")
+    return spread(spark.read.parquet(path), _size_bytes(spark, path))
