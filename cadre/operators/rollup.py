@@ -127,6 +127,19 @@ def rollup_from_grain(grain: DataFrame, key: str = "advisor", zero_share_as_null
     )
 
 
+def latest_period_rows(facts: DataFrame, key: str = "advisor", period: str = "month") -> DataFrame:
+    """The rows of each person's latest period (periods compared in
+    their natural order; rows without a period never qualify).
+
+    The per-person maximum is an aggregation (map-side combined) joined back
+    on ``(person, period)`` — a window partitioned by person would put a hot
+    person's whole history in one task; this join only pairs the latest
+    period's rows.
+    """
+    latest = facts.filter(F.col(period).isNotNull()).groupBy(key).agg(F.max(period).alias(period))
+    return facts.join(latest, [key, period], "left_semi")
+
+
 def top_metrics(facts: DataFrame, metric: str = "metric", n: int = 30) -> DataFrame:
     """The ``n`` most frequent metrics (A7), ties broken by name.
 

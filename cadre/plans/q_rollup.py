@@ -118,3 +118,15 @@ GROUP BY s.email_lower
 def scorecard_rollup(spark, d):
     """Per-email scorecard rollup (A10-A15, F5, F6, F10) over events."""
     return rounded(rollup.scorecard_rollup(views.scorecard(spark, d), order=("ts", "event_id")))
+
+
+@register("kpi_latest_month_rows", f"""
+WITH {V.KPI},
+lm AS (SELECT advisor, max(month) AS month FROM kpi WHERE month IS NOT NULL GROUP BY advisor)
+SELECT k.advisor, k.month, k.metric, {V.r6('k.ptg')} AS ptg, {V.r6('k.wptg')} AS wptg
+FROM kpi k SEMI JOIN lm ON k.advisor = lm.advisor AND k.month = lm.month
+""")
+def kpi_latest_month_rows(spark, d):
+    """Every KPI row of each advisor's latest month."""
+    rows = rollup.latest_period_rows(views.kpi(spark, d), "advisor", "month")
+    return rounded(rows.select("advisor", "month", "metric", "ptg", "wptg"))
