@@ -16,6 +16,7 @@ from cadre.functions.bins import TIER_LABELS
 from cadre.operators import explain, labels, metrics, score, split, train
 from cadre.plans import views
 from cadre.plans.catalog import register, rounded
+from cadre.session import cut_lineage
 
 SPEC = train.FeatureSpec(categorical=["o_orderstatus", "o_orderpriority", "c_mktsegment", "c_nationkey"],
                          numeric=["c_acctbal", "n_lines", "sum_qty", "avg_disc", "avg_tax"],
@@ -28,7 +29,7 @@ N_TRIALS = 4
 
 def _ml_frame(spark, d) -> DataFrame:
     """Label (tercile tier), 80/20 + inner 85/15 stratified split, balanced
-    weights from the training rows; persisted for the iterative fits."""
+    weights from the training rows; checkpointed for the iterative fits."""
     # read by the cut-point jobs and again by the split: computed once
     df = views.order_features(spark, d).persist(StorageLevel.MEMORY_AND_DISK)
     tiered, _ = labels.tercile_tiers(df, "o_totalprice", out="label")
@@ -36,7 +37,11 @@ def _ml_frame(spark, d) -> DataFrame:
     w = metrics.class_weights(s.filter(F.col("split") != "test"), "label") \
         .select(F.col("class").alias("label"), "weight")
     out = s.join(w, "label", "left").withColumn("is_val", F.col("split") == "val")
-    return out.persist(StorageLevel.MEMORY_AND_DISK)
+    # every fit re-reads this frame: a reliable checkpoint in the shared
+    # folder cuts the lineage, so a lost executor costs a re-read, not a replay
+    framed = cut_lineage(out)
+    df.unpersist()
+    return framed
 
 
 def _fit(frame, spec, estimator):
