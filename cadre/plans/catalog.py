@@ -46,15 +46,23 @@ def round6(c):
 
 
 def rounded(df: DataFrame) -> DataFrame:
-    """Round every double column (output hygiene for the oracle compare)."""
-    cols = []
-    for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            cols.append(round6(c.cast("double")).alias(f.name))
-        else:
-            cols.append(c)
-    return df.select(*cols)
+    """Round every double column (output hygiene for the oracle compare).
+
+    Same arithmetic as :func:`round6`, staged over three projections so each
+    step's floor references a plain column: nesting the expressions would
+    copy every (possibly large) input expression ~25 times per column.
+    """
+    dbl = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
+    if not dbl:
+        return df
+
+    def stage(frame, fn):
+        return frame.select(*[(fn(F.col(f"`{c}`")).alias(c) if c in dbl else F.col(f"`{c}`"))
+                              for c in frame.columns])
+
+    a = stage(df, lambda c: c.cast("double") * F.lit(1e9) + F.lit(0.5))
+    b = stage(a, lambda c: _floor(c) / F.lit(1e9) * F.lit(1e6) + F.lit(0.5))
+    return stage(b, lambda c: _floor(c) / F.lit(1e6))
 
 
 def load_all() -> None:

@@ -15,11 +15,15 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 SPREAD_MIN_BYTES = 1 << 20
 
 
-def _size_bytes(spark: SparkSession, path: str) -> int:
-    """Total bytes under ``path`` via the Hadoop FileSystem of its scheme."""
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
-    return int(fs.getContentSummary(jpath).getLength())
+def _size_bytes(spark: SparkSession, path: str) -> int | None:
+    """Total bytes under ``path`` via the Hadoop FileSystem of its scheme
+    (None where the JVM is not reachable, e.g. a Spark Connect session)."""
+    try:
+        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
+        return int(fs.getContentSummary(jpath).getLength())
+    except Exception:  # noqa: BLE001 - size is only a hint
+        return None
 
 
 def spread(df: DataFrame, size_bytes: int | None = None) -> DataFrame:
@@ -34,10 +38,12 @@ def spread(df: DataFrame, size_bytes: int | None = None) -> DataFrame:
     """
     if size_bytes is not None and size_bytes < SPREAD_MIN_BYTES:
         return df
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism
+        n = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD view (Spark Connect): leave as is
+        return df
+    return df.repartition(target) if n < target else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
