@@ -41,3 +41,13 @@ def test_crossvalidator_variant_and_lineage_cut(spark):
     model, maps, avg = train.tune_cv_builtin(spec, train.forest(numTrees=3, minInstancesPerNode=1), cut,
                                              "fold", 3, n_trials=2, space={"maxDepth": ("int", 2, 3)})
     assert len(avg) == 2 and model.transform(cut).count() == 90
+
+
+def test_spread_guard(spark):
+    from cadre.sources import tables
+    df = spark.range(100).coalesce(1)
+    assert tables.spread(df, size_bytes=10) is df                       # dimension-sized: untouched
+    spread = tables.spread(df, size_bytes=10 << 20)
+    assert spread.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    many = spark.range(100).repartition(spark.sparkContext.defaultParallelism + 2)
+    assert tables.spread(many, size_bytes=10 << 20) is many             # already split: untouched
