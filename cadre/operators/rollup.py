@@ -225,13 +225,18 @@ def metric_latest(facts: DataFrame, key: str = "advisor", month: str | None = "m
         aggs.append(F.avg(v).alias(f"{name}_avg"))
         aggs.append(F.max_by(v, F.when(v.isNotNull(), F.struct(ord_col, v))).alias(f"{name}_latest"))
     # the person's months travel as per-(person, metric) sets (bounded by the
-    # calendar) and are unioned by a window over the person — no second
-    # scan of the fact and no join back
+    # calendar), so there is no second scan of the fact: the sets are
+    # exploded to distinct (person, month) pairs (map-side dedup), counted
+    # per person and joined back (one small row per person; AQE broadcasts
+    # it when small).  A window union of the sets would copy the person's
+    # whole month list onto each of the person's rows.
     month_ok = F.when(F.col("_m") != "", F.col("_m"))
     per_metric = base.groupBy("_k", "_metric").agg(*aggs, F.collect_set(month_ok).alias("_months"))
-    all_months = F.flatten(F.collect_list("_months").over(Window.partitionBy("_k")))
-    out = per_metric.withColumn("n_kpi_months", F.size(F.array_distinct(all_months)).cast("bigint"))
-    return (out.drop("_months").withColumnRenamed("_k", key).withColumnRenamed("_metric", "metric"))
+    months = (per_metric.select("_k", F.explode("_months").alias("_mo")).distinct()
+              .groupBy("_k").agg(F.count(F.lit(1)).alias("n_kpi_months")))
+    out = per_metric.drop("_months").join(months, "_k", "left").withColumn(
+        "n_kpi_months", F.coalesce(F.col("n_kpi_months"), F.lit(0).cast("bigint")))
+    return out.withColumnRenamed("_k", key).withColumnRenamed("_metric", "metric")
 
 
 def scorecard_rollup(facts: DataFrame, email: str = "email", order: Sequence[str] = ("ts",),
