@@ -22,8 +22,10 @@ from __future__ import annotations
 
 import functools
 import heapq
+import itertools
 import json
 import mmap
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -34,12 +36,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cadre.llm.common import SPACE, free_name, whole
+from cadre.llm.common import SPACE, free_name, whole, written
 
 #: Words in the lexicon, characters encoded at a time, words remembered by a worker.
 LEXICON_WORDS = 1 << 16
 CHUNK = 1 << 21
-MEMO = 400_000
+MEMO = 500_000
 #: Words longer than this many bytes are merged one by one with a heap.
 WIDE = 32
 
@@ -65,23 +67,41 @@ def _ranges(points: list[int]) -> str:
     return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in out)
 
 
-def word_pattern(splitter) -> regex.Pattern:
-    """The byte-level pattern with letters and numbers as ``splitter`` knows
-    them: code points that the regex library's newer Unicode tables alone call
-    letters or numbers are taken out of those classes."""
-    newer = []
-    for kind in ("L", "N"):
-        every = regex.findall(rf"\p{{{kind}}}", "".join(chr(c) for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000))
-        probe = "a" if kind == "L" else "1"
+def newer_letters(splitter) -> list[int]:
+    """Code points that only the regex library's newer Unicode tables, not
+    ``splitter``, call letters or numbers."""
+    every = "".join(chr(c) for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000)
+    out = []
+    for kind, probe in (("L", "a"), ("N", "1")):
+        points = regex.findall(rf"\p{{{kind}}}", every)
         # a run of the class stays one word only if the library agrees on each of its members
-        for lo in range(0, len(every), 512):
-            part = every[lo:lo + 512]
+        for lo in range(0, len(points), 512):
+            part = points[lo:lo + 512]
             if len(splitter.pre_tokenize_str(probe + "".join(part))) > 1:
-                newer += [ord(c) for c in part if len(splitter.pre_tokenize_str(probe + c)) > 1]
-    out = f"--[{_ranges(sorted(newer))}]" if newer else ""
-    letter, number = rf"[\p{{L}}{out}]", rf"[\p{{N}}{out}]"
-    other = rf"[^\s\p{{L}}\p{{N}}]" if not newer else rf"[[^\s\p{{L}}\p{{N}}]||[{_ranges(sorted(newer))}]]"
-    return regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d| ?{letter}+| ?{number}+| ?{other}+|\s+(?!\S)|\s+")
+                out += [ord(c) for c in part if len(splitter.pre_tokenize_str(probe + c)) > 1]
+    return sorted(out)
+
+
+def word_splitter(splitter):
+    """Function from a text to its words, as the byte-level pattern cuts them.
+
+    Texts with letters that the library does not know as such are cut by a
+    slower pattern that takes them out of the classes.
+    """
+    form = r"(?V1)'s|'t|'re|'ve|'m|'ll|'d| ?{letter}+| ?{number}+| ?{other}+|\s+(?!\S)|\s+"
+    plain = regex.compile(form.format(letter=r"\p{L}", number=r"\p{N}", other=r"[^\s\p{L}\p{N}]"))
+    newer = newer_letters(splitter)
+    if not newer:
+        return plain.findall
+    odd = _ranges(newer)
+    exact = regex.compile(form.format(letter=rf"[\p{{L}}--[{odd}]]", number=rf"[\p{{N}}--[{odd}]]",
+                                      other=rf"[[^\s\p{{L}}\p{{N}}]||[{odd}]]"))
+    has_odd = re.compile(f"[{odd}]").search
+
+    def split(text: str) -> list[str]:
+        return plain.findall(text) if text.isascii() or not has_odd(text) else exact.findall(text)
+
+    return split
 
 
 class Tokenizer:
@@ -97,7 +117,7 @@ class Tokenizer:
             raise ValueError("only byte-level BPE files without normaliser or prefix space are read")
         byte_of = {s: b for b, s in enumerate(byte_symbols())}
         vocab = model["vocab"]
-        self.pattern = word_pattern(Library.from_file(path).pre_tokenizer)
+        self.split = word_splitter(Library.from_file(path).pre_tokenizer)
         self.byte_ids = np.array([vocab[s] for s in byte_symbols()], np.int64)
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         self.n_ids = 1 + max([*vocab.values(), *(a["id"] for a in spec["added_tokens"])])
@@ -106,7 +126,11 @@ class Tokenizer:
         made = np.array([vocab[a + b] for a, b in pairs], np.int64)
         key = left * self.n_ids + right
         order = np.argsort(key, kind="stable")
-        self.pair_key, self.pair_rank, self.pair_made = key[order], order.astype(np.int64), made[order]
+        self.n_merges = len(pairs)
+        # one more entry stands for no merge
+        self.pair_key = np.append(key[order], np.iinfo(np.int64).max)
+        self.pair_rank = np.append(order, self.n_merges).astype(np.int64)
+        self.pair_made = np.append(made[order], -1)
         self.merge = {k: (r, m) for r, (k, m) in enumerate(zip(key.tolist(), made.tolist()))}
         self.token_bytes = [b""] * self.n_ids
         for s, i in vocab.items():
@@ -163,28 +187,42 @@ class Tokenizer:
                 out[i] = row[:n]
         return out
 
+    def _pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Index of each pair's merge, the last index where there is none."""
+        none = len(self.pair_key) - 1  # a sentinel above all keys
+        key = np.where((a >= 0) & (b >= 0), a * self.n_ids + b, -1)
+        at = np.searchsorted(self.pair_key, key)
+        return np.where(self.pair_key[np.minimum(at, none)] == key, at, none)
+
     def _merge_rows(self, ids: np.ndarray) -> None:
         """Merges each row in place, one pair a round, until no row has a pair."""
-        none = len(self.pair_key)
-        live = np.arange(len(ids))
-        while len(live) and ids.shape[1] > 1:
-            cur = ids[live]
-            ok = cur[:, 1:] >= 0
-            key = np.where(ok, cur[:, :-1] * self.n_ids + cur[:, 1:], -1)
-            at = np.minimum(np.searchsorted(self.pair_key, key), none - 1)
-            hit = self.pair_key[at] == key
-            rank = np.where(hit, self.pair_rank[at], none)
+        width = ids.shape[1]
+        if width < 2:
+            return
+        live, cur = np.arange(len(ids)), ids.copy()
+        pair = self._pairs(cur[:, :-1], cur[:, 1:])
+        col = np.arange(width)[None, :]
+        while True:
+            rank = self.pair_rank[pair]
             best = rank.argmin(1)
-            rows = np.nonzero(rank[np.arange(len(cur)), best] < none)[0]
-            if not len(rows):
+            go = np.take_along_axis(rank, best[:, None], 1)[:, 0] < self.n_merges
+            ids[live[~go]] = cur[~go]
+            if not go.any():
                 return
-            cur, best = cur[rows], best[rows]
-            made = self.pair_made[at[rows, best]]
-            src = np.arange(cur.shape[1])[None, :] + (np.arange(cur.shape[1])[None, :] > best[:, None])
-            nxt = np.where(src < cur.shape[1], np.take_along_axis(cur, np.minimum(src, cur.shape[1] - 1), 1), -1)
-            nxt[np.arange(len(nxt)), best] = made
-            live = live[rows]
-            ids[live] = nxt
+            live, cur, pair, best = live[go], cur[go], pair[go], best[go]
+            row = np.arange(len(live))
+            made = self.pair_made[pair[row, best]]
+            src = np.minimum(col + (col > best[:, None]), width - 1)
+            cur = np.take_along_axis(cur, src, 1)
+            cur[:, -1] = -1
+            cur[row, best] = made
+            pair = np.take_along_axis(pair, np.minimum(src[:, :-1], width - 2), 1)
+            pair[:, -1] = len(self.pair_key) - 1
+            # only the pairs beside the new token change
+            left = np.maximum(best - 1, 0)
+            pair[row, left] = self._pairs(cur[row, left], cur[row, left + 1])
+            right = np.minimum(best, width - 2)
+            pair[row, right] = self._pairs(cur[row, right], cur[row, right + 1])
 
 
 @functools.lru_cache(maxsize=4)
@@ -294,7 +332,7 @@ def frequent_words(docs: DataFrame, path: str, text_col: str = "text", size: int
     parts = parts.where(F.col("w") != "").groupBy("w").agg(F.count(F.lit(1)).alias("n"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = tokenizer(path).pattern.findall
+        find = tokenizer(path).split
         for b in batches:
             total: dict[str, int] = {}
             for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -302,8 +340,18 @@ def frequent_words(docs: DataFrame, path: str, text_col: str = "text", size: int
                     total[x] = total.get(x, 0) + n
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["w", "n"])
 
-    words = parts.mapInArrow(cut, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    return [r["w"] for r in words.orderBy(F.desc("n"), "w").limit(size).collect()]
+    words = written(parts.mapInArrow(cut, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")), "bpe-words")
+    # the least count of a taken word, from a histogram of counts in steps of a tenth of a binary order
+    step = F.floor(F.log2("n") * 10)
+    left, least = size, None
+    for r in sorted(words.groupBy(step.alias("b")).agg(F.count(F.lit(1)).alias("k")).collect(), reverse=True):
+        least = r["b"]
+        left -= r["k"]
+        if left <= 0:
+            break
+    if least is None:
+        return []
+    return [r["w"] for r in words.where(step >= least).orderBy(F.desc("n"), "w").limit(size).collect()]
 
 
 def build_lexicon(docs: DataFrame, path: str, text_col: str = "text", size: int = LEXICON_WORDS) -> bytes:
@@ -313,23 +361,32 @@ def build_lexicon(docs: DataFrame, path: str, text_col: str = "text", size: int
 
 # -- encoding and decoding -------------------------------------------------
 
+class _Codes(dict):
+    """Words' places in the memory; a new word gets the next place."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 class Encoder:
-    """Encodes texts with a lexicon; remembers at most ``MEMO`` words."""
+    """Encodes texts with a lexicon; remembers about ``MEMO`` words."""
 
     def __init__(self, path: str, lexicon: bytes):
         self.tok, self.lexicon = tokenizer(path), Lexicon(lexicon)
-        self.memo: dict[str, int] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.codes = _Codes()
         self.lens = np.zeros(0, np.int64)
         self.starts = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.int32)
 
-    def _learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.memo]
+    def _learn(self) -> None:
+        """Finds the ids of the words that have a place but no ids yet."""
+        new = list(itertools.islice(self.codes, len(self.lens), None))
         if not new:
             return
-        if len(self.memo) + len(new) > MEMO:
-            self.memo, new = {}, list(words)
-            self.lens, self.starts, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
         raw = [w.encode() for w in new]
         rank = self.lexicon.find(raw)
         ids: list[np.ndarray] = [None] * len(new)
@@ -339,39 +396,37 @@ class Encoder:
         for i, x in zip(miss, self.tok.merge_words([raw[i] for i in miss])):
             ids[i] = x
         n = np.array([len(x) for x in ids], np.int64)
-        base = len(self.memo)
-        self.memo.update(zip(new, range(base, base + len(new))))
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(n) - n])
         self.lens = np.concatenate([self.lens, n])
         self.flat = np.concatenate([self.flat, *ids])
 
+    def _gather(self, code: np.ndarray) -> np.ndarray:
+        n = self.lens[code]
+        ends = np.cumsum(n)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[code] - ends + n, n)
+        return self.flat[at]
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        pattern, added = self.tok.pattern, self.tok.added_pattern
+        if len(self.codes) > MEMO:
+            self._forget()
+        split, find, added, ids = self.tok.split, self.codes.__getitem__, self.tok.added_pattern, self.tok.added
         cut = []
         for t in texts:
-            if added is not None and added.search(t):
-                words = []
-                for piece in added.split(t):
-                    words += [piece] if piece in self.tok.added else pattern.findall(piece)
-                cut.append((words, True))
-            else:
-                cut.append((pattern.findall(t), False))
-        every: set[str] = set()
-        for words, _ in cut:
-            every.update(words)
-        self._learn(every - set(self.tok.added))
+            # an added token is a piece of its own between the others
+            pieces = added.split(t) if added is not None and added.search(t) else [t]
+            parts = []
+            for piece in pieces:
+                if piece in ids:
+                    parts.append(ids[piece])
+                else:
+                    words = split(piece)
+                    parts.append(np.fromiter(map(find, words), np.int64, len(words)))
+            cut.append(parts)
+        self._learn()
         out = []
-        for words, special in cut:
-            if special:
-                parts = [np.array([self.tok.added[w]], np.int32) if w in self.tok.added else
-                         self.flat[self.starts[k := self.memo[w]]:][:self.lens[k]] for w in words]
-                out.append(np.concatenate([np.zeros(0, np.int32), *parts]))
-                continue
-            code = np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
-            n = self.lens[code]
-            ends = np.cumsum(n)
-            at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[code] - ends + n, n)
-            out.append(self.flat[at])
+        for parts in cut:
+            done = [np.array([x], np.int32) if isinstance(x, int) else self._gather(x) for x in parts]
+            out.append(done[0] if len(done) == 1 else np.concatenate([np.zeros(0, np.int32), *done]))
         return out
 
 
@@ -428,12 +483,12 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded")
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = tokenizer(path).token_bytes
+        table = np.array(tokenizer(path).token_bytes, object)
         for b in batches:
             texts = []
             for row in b.column(at):
                 ids = row.values
-                texts.append(None if ids is None else b"".join(map(table.__getitem__, ids.to_numpy(zero_copy_only=False).tolist())).decode("utf-8", "replace"))
+                texts.append(None if ids is None else b"".join(table[ids.to_numpy(zero_copy_only=False)].tolist()).decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=names)
 
     return df.mapInArrow(run, schema)

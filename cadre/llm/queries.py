@@ -8,8 +8,8 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadre.llm import bpe, line_dedup, token_counts
-from cadre.llm.common import documents, ship, whole
+from cadre.llm import bpe, line_dedup, minhash, mixing, quality, simhash, token_counts
+from cadre.llm.common import documents, ship, whole, written
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -61,6 +61,12 @@ FROM judged GROUP BY doc_id
 """
 
 
+@query
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality measures of every whole text and the verdict of the adaptive fences."""
+    return quality.judge(documents(spark, sf_dir)).drop("n_full_lines")
+
+
 @query
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of every whole text and their decoding."""
@@ -72,6 +78,34 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all documents to weights 1, 2, 3, repeating, of their sources."""
+    out, sources, size, copies = mixing.mix(documents(spark, sf_dir).select("doc_id", "text", "source"))
+    sources = sources.withColumnRenamed("source", "_source")
+    out = out.join(sources, F.col("source").eqNullSafe(F.col("_source")), "left")
+    return out.select("doc_id", F.col(size).alias("size"), "source_size", "target",
+                      (F.col(size) * F.col(copies)).alias("taken"))
+
+
+@query
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every whole text and of its edited text, and for every
+    20th id the number of other documents within three bits."""
+    prints = written(simhash.compare_edits(documents(spark, sf_dir)), "simhash")
+    out = simhash.count_near(prints, 3, F.col("doc_id") % 20 == 0)
+    return out.select("doc_id", "n_chars", "edited_sha256", simhash.as_hex(F.col("fp")).alias("fingerprint"),
+                      simhash.as_hex(F.col("edited_fp")).alias("edited_fingerprint"),
+                      simhash.likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
+                      simhash.likeness(F.col("fp"), F.col("next_fp")).alias("near_next"), "n_near")
+
+
+@query
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near copies (weighted Jaccard of five-word runs of 0.8 or more)."""
+    return minhash.near_rows(documents(spark, sf_dir))
+
+
 @query
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every whole text through a digest cache that starts empty."""
