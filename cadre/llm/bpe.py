@@ -104,6 +104,44 @@ def word_splitter(splitter):
     return split
 
 
+class Words:
+    """Byte strings, joined."""
+
+    def __init__(self, words: list[bytes]):
+        self.lens = np.fromiter(map(len, words), np.int64, len(words))
+        self.starts = np.cumsum(self.lens) - self.lens
+        self.flat = np.frombuffer(b"".join(words), np.uint8)
+
+    def __len__(self) -> int:
+        return len(self.lens)
+
+    def __getitem__(self, i: int) -> bytes:
+        return self.flat[self.starts[i]:self.starts[i] + self.lens[i]].tobytes()
+
+    def take(self, rows: np.ndarray) -> "Words":
+        out = object.__new__(Words)
+        out.flat, out.starts, out.lens = self.flat, self.starts[rows], self.lens[rows]
+        return out
+
+
+class Ids:
+    """Lists of ids, joined in any order."""
+
+    def __init__(self, flat: np.ndarray, starts: np.ndarray, lens: np.ndarray):
+        self.flat, self.starts, self.lens = flat, starts, lens
+
+    def gather(self, rows: np.ndarray) -> np.ndarray:
+        """The ids of the rows, one after the other."""
+        n = self.lens[rows]
+        ends = np.cumsum(n)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[rows] - ends + n, n)
+        return self.flat[at]
+
+    def append(self, other: "Ids") -> "Ids":
+        return Ids(np.concatenate([self.flat, other.flat]), np.concatenate([self.starts, other.starts + len(self.flat)]),
+                   np.concatenate([self.lens, other.lens]))
+
+
 class Tokenizer:
     """Ranks, ids and bytes of a byte-level BPE file."""
 
@@ -168,24 +206,33 @@ class Tokenizer:
             push(i)
         return [x for x in ids if x >= 0]
 
-    def merge_words(self, words: list[bytes]) -> list[np.ndarray]:
+    def merge_words(self, words: Words) -> "Ids":
         """Ids of each word; words of up to ``WIDE`` bytes merge side by side."""
-        out: list[np.ndarray | None] = [None] * len(words)
-        short = [i for i, w in enumerate(words) if len(w) <= WIDE]
-        for i, w in enumerate(words):
-            if len(w) > WIDE:
-                out[i] = np.array(self.merge_long(w), np.int32)
-        short.sort(key=lambda i: len(words[i]))
+        parts, places, sizes = [], [], []
+        for i in np.nonzero(words.lens > WIDE)[0].tolist():
+            parts.append(np.array(self.merge_long(words[i]), np.int32))
+            places.append([i])
+            sizes.append([len(parts[-1])])
+        short = np.nonzero(words.lens <= WIDE)[0]
+        short = short[np.argsort(words.lens[short], kind="stable")]
         for lo in range(0, len(short), 16_384):
             part = short[lo:lo + 16_384]
-            lens = np.array([len(words[i]) for i in part])
-            width = int(lens.max(initial=1))
-            raw = np.frombuffer(b"".join(words[i].ljust(width, b"\0") for i in part), np.uint8).reshape(len(part), width)
-            ids = np.where(np.arange(width) < lens[:, None], self.byte_ids[raw], -1)
+            col = np.arange(max(1, int(words.lens[part[-1]])))
+            inside = col < words.lens[part][:, None]
+            at = np.where(inside, words.starts[part][:, None] + col, 0)
+            ids = np.where(inside, self.byte_ids[words.flat[at]] if len(words.flat) else -1, -1)
             self._merge_rows(ids)
-            for i, row, n in zip(part, ids.astype(np.int32), (ids >= 0).sum(1).tolist()):
-                out[i] = row[:n]
-        return out
+            kept = ids >= 0
+            parts.append(ids[kept].astype(np.int32))
+            places.append(part)
+            sizes.append(kept.sum(1))
+        if not parts:
+            return Ids(np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        n = np.concatenate(sizes).astype(np.int64)
+        place = np.concatenate(places).astype(np.int64)
+        starts, lens = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        starts[place], lens[place] = np.cumsum(n) - n, n
+        return Ids(np.concatenate(parts), starts, lens)
 
     def _pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Index of each pair's merge, the last index where there is none."""
@@ -206,18 +253,21 @@ class Tokenizer:
             rank = self.pair_rank[pair]
             best = rank.argmin(1)
             go = np.take_along_axis(rank, best[:, None], 1)[:, 0] < self.n_merges
-            ids[live[~go]] = cur[~go]
+            ids[live[~go], :width], ids[live[~go], width:] = cur[~go], -1
             if not go.any():
                 return
             live, cur, pair, best = live[go], cur[go], pair[go], best[go]
             row = np.arange(len(live))
             made = self.pair_made[pair[row, best]]
-            src = np.minimum(col + (col > best[:, None]), width - 1)
+            # every row is now one token shorter
+            width -= 1
+            src = col[:, :width] + (col[:, :width] > best[:, None])
             cur = np.take_along_axis(cur, src, 1)
-            cur[:, -1] = -1
             cur[row, best] = made
-            pair = np.take_along_axis(pair, np.minimum(src[:, :-1], width - 2), 1)
-            pair[:, -1] = len(self.pair_key) - 1
+            if width < 2:
+                ids[live, 0], ids[live, 1:] = cur[:, 0], -1
+                return
+            pair = np.take_along_axis(pair, src[:, :width - 1], 1)
             # only the pairs beside the new token change
             left = np.maximum(best - 1, 0)
             pair[row, left] = self._pairs(cur[row, left], cur[row, left + 1])
@@ -232,7 +282,7 @@ def tokenizer(path: str) -> Tokenizer:
 
 # -- the lexicon -----------------------------------------------------------
 
-def compile_lexicon(words: list[bytes], ids: list[np.ndarray]) -> bytes:
+def compile_lexicon(words: list[bytes], ids: Ids) -> bytes:
     """Minimal acyclic transducer of distinct words, as one flat file.
 
     States are made bottom-up over the sorted words; a finished state that
@@ -274,10 +324,9 @@ def compile_lexicon(words: list[bytes], ids: list[np.ndarray]) -> bytes:
             before += accepted[to]
     edges.sort()
     table = np.array(edges, np.int64).reshape(-1, 3)
-    flat = [ids[i] for i in order]
-    starts = np.concatenate([[0], np.cumsum([len(x) for x in flat])]).astype(np.int64)
-    parts = [table[:, 0], table[:, 1], table[:, 2], np.array([f for f, _ in states], np.int64), starts,
-             np.concatenate(flat).astype(np.int64) if flat else np.zeros(0, np.int64)]
+    rows = np.array(order, np.int64)
+    starts = np.concatenate([[0], np.cumsum(ids.lens[rows])]).astype(np.int64)
+    parts = [table[:, 0], table[:, 1], table[:, 2], np.array([f for f, _ in states], np.int64), starts, ids.gather(rows).astype(np.int64)]
     head = np.array([root, *map(len, parts)], np.int64)
     return b"".join(np.ascontiguousarray(x).tobytes() for x in [head, *parts])
 
@@ -293,14 +342,12 @@ class Lexicon:
         whole_file = np.frombuffer(mapped, np.int64)
         self.root, sizes = int(whole_file[0]), whole_file[1:7].tolist()
         cuts = np.concatenate([[7], 7 + np.cumsum(sizes)])
-        self.key, self.to, self.before, self.final, self.starts, self.ids = (whole_file[a:b] for a, b in zip(cuts, cuts[1:]))
+        self.key, self.to, self.before, self.final, starts, ids = (whole_file[a:b] for a, b in zip(cuts, cuts[1:]))
+        self.ids = Ids(ids, starts[:-1], np.diff(starts))
 
-    def find(self, words: list[bytes]) -> np.ndarray:
+    def find(self, words: Words) -> np.ndarray:
         """Rank of each word, -1 for those not accepted; all words step together."""
-        n = len(words)
-        lens = np.fromiter(map(len, words), np.int64, n)
-        flat = np.frombuffer(b"".join(words), np.uint8)
-        start = np.concatenate([[0], np.cumsum(lens)])[:-1]
+        n, lens, flat, start = len(words), words.lens, words.flat, words.starts
         state, rank = np.full(n, self.root), np.zeros(n, np.int64)
         live, step = np.nonzero(lens > 0)[0] if len(self.key) else np.zeros(0, np.int64), 0
         ended = np.zeros(n, bool)
@@ -317,9 +364,6 @@ class Lexicon:
             live = live[lens[live] > step]
         return np.where(ended & (self.final[state] == 1), rank, -1)
 
-    def word_ids(self, rank: int) -> np.ndarray:
-        return self.ids[self.starts[rank]:self.starts[rank + 1]].astype(np.int32)
-
 
 def frequent_words(docs: DataFrame, path: str, text_col: str = "text", size: int = LEXICON_WORDS) -> list[str]:
     """The ``size`` most frequent words of all texts.
@@ -356,7 +400,7 @@ def frequent_words(docs: DataFrame, path: str, text_col: str = "text", size: int
 
 def build_lexicon(docs: DataFrame, path: str, text_col: str = "text", size: int = LEXICON_WORDS) -> bytes:
     words = [w.encode() for w in frequent_words(docs, path, text_col, size)]
-    return compile_lexicon(words, tokenizer(path).merge_words(words))
+    return compile_lexicon(words, tokenizer(path).merge_words(Words(words)))
 
 
 # -- encoding and decoding -------------------------------------------------
@@ -378,33 +422,22 @@ class Encoder:
 
     def _forget(self) -> None:
         self.codes = _Codes()
-        self.lens = np.zeros(0, np.int64)
-        self.starts = np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.int32)
+        self.ids = Ids(np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64))
 
     def _learn(self) -> None:
         """Finds the ids of the words that have a place but no ids yet."""
-        new = list(itertools.islice(self.codes, len(self.lens), None))
-        if not new:
+        words = Words([w.encode() for w in itertools.islice(self.codes, len(self.ids.lens), None)])
+        if not len(words):
             return
-        raw = [w.encode() for w in new]
-        rank = self.lexicon.find(raw)
-        ids: list[np.ndarray] = [None] * len(new)
-        miss = np.nonzero(rank < 0)[0].tolist()
-        for i in np.nonzero(rank >= 0)[0].tolist():
-            ids[i] = self.lexicon.word_ids(rank[i])
-        for i, x in zip(miss, self.tok.merge_words([raw[i] for i in miss])):
-            ids[i] = x
-        n = np.array([len(x) for x in ids], np.int64)
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(n) - n])
-        self.lens = np.concatenate([self.lens, n])
-        self.flat = np.concatenate([self.flat, *ids])
-
-    def _gather(self, code: np.ndarray) -> np.ndarray:
-        n = self.lens[code]
-        ends = np.cumsum(n)
-        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[code] - ends + n, n)
-        return self.flat[at]
+        rank = self.lexicon.find(words)
+        known, miss = np.nonzero(rank >= 0)[0], np.nonzero(rank < 0)[0]
+        merged = self.tok.merge_words(words.take(miss))
+        flat = self.lexicon.ids.gather(rank[known]).astype(np.int32)
+        starts, lens = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        lens[known], lens[miss] = self.lexicon.ids.lens[rank[known]], merged.lens
+        starts[known] = np.cumsum(lens[known]) - lens[known]
+        starts[miss] = len(flat) + merged.starts
+        self.ids = self.ids.append(Ids(np.concatenate([flat, merged.flat]), starts, lens))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.codes) > MEMO:
@@ -425,7 +458,7 @@ class Encoder:
         self._learn()
         out = []
         for parts in cut:
-            done = [np.array([x], np.int32) if isinstance(x, int) else self._gather(x) for x in parts]
+            done = [np.array([x], np.int32) if isinstance(x, int) else self.ids.gather(x) for x in parts]
             out.append(done[0] if len(done) == 1 else np.concatenate([np.zeros(0, np.int32), *done]))
         return out
 
