@@ -65,7 +65,7 @@ def fingerprints(df: DataFrame, keys: list[str], text: str = "text") -> DataFram
     """``keys`` and ``fp`` (long) of each row; ``keys`` tell the rows apart."""
     w = [f"w{i}" for i in range(WORDS)]
     # an empty text has one term of nulls, which must count as no term
-    rows = df.select(*keys, F.inline(terms(F.col(text))).alias(*w))
+    rows = df.select(*keys, F.inline_outer(terms(F.col(text))).alias(*w))
     rows = rows.select(*keys, F.xxhash64(*w).alias("h"), F.col("w0").isNotNull().alias("some"))
     votes = rows.select(*keys, F.when(F.col("some"), F.col("h")).otherwise(F.lit(0)).alias("h"))
     return votes.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *_votes()).select(*keys, _signs().alias("fp"))
