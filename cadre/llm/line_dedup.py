@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadre.llm.common import SPACE, ascii_lower, free_name, narrow, scratch_path, whole
+from cadre.llm.common import SPACE, ascii_lower, free_name, narrow, scratch_path, whole, written
 
 
 def line_key(line: Column) -> Column:
@@ -114,8 +114,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches
     runs = LineRuns(spark, runs_path or scratch_path(spark, "line-runs"), fanout)
     for batch in batches_by_id(thin, batches):
         runs.add_batch(batch, min_chars)
-    frequent = runs.totals().where(F.col("n_docs") >= min_docs).select("h1", "h2", "last_id")
-    # rows on the left are split by the adaptive join if one key holds many of them
+    # written, so that both sides of the join are plain exchanges and the
+    # adaptive join can split the rows of a key that very many documents hold
+    frequent = written(runs.totals().where(F.col("n_docs") >= min_docs).select("h1", "h2", "last_id"), "frequent-lines")
     drops = (entries(thin, min_chars).join(frequent, ["h1", "h2"]).where(F.col("id") < F.col("last_id"))
              .groupBy("id").agg(F.collect_set(F.struct("h1", "h2")).alias("drop")))
     cols = docs.columns
