@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cadre.llm.common import SPACE, free_name, whole, written
+from cadre.llm.common import SPACE, free_name, top_counts, whole, written
 
 #: Words in the lexicon, characters encoded at a time, words remembered by a worker.
 LEXICON_WORDS = 1 << 16
@@ -385,17 +385,7 @@ def frequent_words(docs: DataFrame, path: str, text_col: str = "text", size: int
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["w", "n"])
 
     words = written(parts.mapInArrow(cut, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")), "bpe-words")
-    # the least count of a taken word, from a histogram of counts in steps of a tenth of a binary order
-    step = F.floor(F.log2("n") * 10)
-    left, least = size, None
-    for r in sorted(words.groupBy(step.alias("b")).agg(F.count(F.lit(1)).alias("k")).collect(), reverse=True):
-        least = r["b"]
-        left -= r["k"]
-        if left <= 0:
-            break
-    if least is None:
-        return []
-    return [r["w"] for r in words.where(step >= least).orderBy(F.desc("n"), "w").limit(size).collect()]
+    return [w for w, _ in top_counts(words, size)]
 
 
 def build_lexicon(docs: DataFrame, path: str, text_col: str = "text", size: int = LEXICON_WORDS) -> bytes:

@@ -89,3 +89,21 @@ def maybe_broadcast(df: DataFrame, limit_rows: int) -> DataFrame:
     """``df`` with a broadcast hint only if it has at most ``limit_rows`` rows;
     beyond that the join shuffles and is split by the adaptive skew join."""
     return F.broadcast(df) if fits(df, limit_rows) else df
+
+
+def top_counts(counts: DataFrame, size: int, key: str = "w", n: str = "n") -> list[tuple]:
+    """The ``size`` rows (key, n) of the largest counts, ties by key.
+
+    A histogram of the counts in steps of a tenth of a binary order says how
+    small a taken count can be, so only rows near the result are sorted.
+    """
+    step = F.floor(F.log2(n) * 10)
+    left, least = size, None
+    for r in sorted(counts.groupBy(step.alias("b")).agg(F.count(F.lit(1)).alias("k")).collect(), reverse=True):
+        least = r["b"]
+        left -= r["k"]
+        if left <= 0:
+            break
+    if least is None:
+        return []
+    return [tuple(r) for r in counts.where(step >= least).orderBy(F.desc(n), key).limit(size).select(key, n).collect()]

@@ -8,7 +8,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadre.llm import bpe, line_dedup, minhash, mixing, quality, simhash, token_counts
+from cadre.llm import bpe, line_dedup, lm, minhash, mixing, quality, simhash, token_counts
 from cadre.llm.common import documents, ship, whole, written
 
 QUERIES: dict = {}
@@ -67,6 +67,12 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir)).drop("n_full_lines")
 
 
+@query
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and bigram scores of every whole text, learned from the texts not held out."""
+    return lm.score_documents(documents(spark, sf_dir))
+
+
 @query
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of every whole text and their decoding."""
