@@ -10,11 +10,12 @@ with the probability of the weighted Jaccard similarity.  Only darts up to the
 rank at which every coordinate is expected to be hit are thrown, some
 ``t ln t`` in all, instead of one per element and coordinate.
 
-Signatures are cut into bands.  In each band's bucket the smallest id leads;
-documents are compared with their leader, first by signature, then exactly, and
-those that are not near it go on to another round among themselves, until no
-bucket has two left.  So a bucket of n copies costs n comparisons, not n ** 2.
-Links join documents into groups; equal texts are grouped by their hash before
+Signatures are cut into bands.  In each band's bucket one document leads: the
+one that shares its bands with the most others, which in a group of copies is
+the text they come from.  Documents are compared with their leader, first by
+signature, then exactly, and those that are not near it go on to another round
+among themselves, until no bucket has two left.  So a bucket of n copies costs
+n comparisons, not n ** 2.  Links join documents into groups; equal texts are grouped by their hash before
 any of this and compared once.
 
 Defined cases: null and empty texts have no element, are equal to each other
@@ -38,7 +39,7 @@ from cadre.llm.common import free_name, narrow, scratch_path, whole, written
 
 WORDS = 5
 SIMILAR = 0.8
-BANDS, ROWS = 24, 5
+BANDS, ROWS = 24, 6
 COORDS = BANDS * ROWS
 #: Signatures that agree in a smaller share are not compared exactly: five
 #: standard deviations below SIMILAR.
@@ -174,9 +175,14 @@ def _near(pairs: DataFrame) -> DataFrame:
 
 def _led(entries: DataFrame) -> DataFrame:
     """(band, id, lead) of every entry that does not lead its bucket."""
-    leaders = written(entries.groupBy("band").agg(F.min("id").alias("lead"), F.max("id").alias("_last"))
-                      .where("_last > lead").select("band", "lead"), "minhash-leaders")
-    return entries.join(leaders, "band").where("id > lead")
+    sizes = written(entries.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "minhash-sizes")
+    shared = written(entries.join(sizes, "band"), "minhash-shared")
+    # tables that are joined are written first: the join can then split the rows of one key
+    weight = written(shared.groupBy("id").agg(F.sum("n").alias("w")), "minhash-weights")
+    first = F.max(F.struct(F.col("w"), F.bitwise_not("id").alias("other")))
+    leaders = written(shared.join(weight, "id").groupBy("band").agg(first.alias("x"))
+                      .select("band", F.bitwise_not("x.other").alias("lead")), "minhash-leaders")
+    return shared.join(leaders, "band").where("id <> lead").select("band", "id", "lead")
 
 
 def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
@@ -184,33 +190,33 @@ def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
     row per text (of the ids in ``docs``)."""
     spark = docs.sparkSession
     path = scratch_path(spark, "minhash-links")
+    pair = "id long, lead long"
     entries = signed.select("id", F.explode("bands").alias("band"))
     sigs = signed.select("id", "sig")
-    tried, turn = None, 0
-    while True:
-        led = written(_led(entries), "minhash-led")
-        if led.isEmpty():
-            break
+    found, failed, texts = [], [], None
+    while not (led := written(_led(entries), "minhash-led")).isEmpty():
         pairs = led.select("id", "lead").distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["id", "lead"], "left_anti")
+        if failed:
+            pairs = pairs.join(spark.read.schema(pair).parquet(*failed), ["id", "lead"], "left_anti")
+        pairs = written(pairs, "minhash-pairs")
+        if texts is None:  # later rounds ask for no other documents
+            ids = written(pairs.select("id").union(pairs.select("lead")).distinct(), "minhash-ids")
+            sigs = written(sigs.join(ids, "id", "left_semi"), "minhash-sigs")
         close = _agreeing(pairs.join(sigs, "id").join(sigs.select(F.col("id").alias("lead"), F.col("sig").alias("lead_sig")), "lead"))
         close = written(close, "minhash-close")
-        ids = close.select("id").union(close.select("lead")).distinct()
-        texts = written(docs.join(ids, "id", "left_semi").dropDuplicates(["id"]), "minhash-texts")
-        both = close.join(texts, "id").join(texts.select(F.col("id").alias("lead"), F.col("text").alias("lead_text")), "lead")
-        found = f"{path}/round={turn}"
-        _near(both).write.parquet(found)
-        near = spark.read.schema("id long, lead long").parquet(found)
-        every = spark.read.schema("id long, lead long").parquet(*[f"{path}/round={i}" for i in range(turn + 1)])
+        turn = len(failed)
+        if texts is None:
+            texts = written(docs.join(ids, "id", "left_semi").dropDuplicates(["id"]), "minhash-texts")
+        if not close.isEmpty():
+            both = close.join(texts, "id").join(texts.select(F.col("id").alias("lead"), F.col("text").alias("lead_text")), "lead")
+            found.append(f"{path}/near-{turn}")
+            _near(both).write.parquet(found[-1])
+        near = spark.read.schema(pair).parquet(*found) if found else spark.createDataFrame([], pair)
+        failed.append(f"{path}/far-{turn}")
+        pairs.join(near, ["id", "lead"], "left_anti").write.parquet(failed[-1])
         # in each bucket, the documents that are not near its leader go on without it
-        entries = written(led.join(every, ["id", "lead"], "left_anti").select("id", "band"), "minhash-left")
-        new = close.join(near, ["id", "lead"], "left_anti") if tried is None else close.join(near, ["id", "lead"], "left_anti").union(tried)
-        tried = written(new, "minhash-tried")
-        turn += 1
-    if turn == 0:
-        return spark.createDataFrame([], "id long, lead long")
-    return spark.read.schema("id long, lead long").parquet(*[f"{path}/round={i}" for i in range(turn)])
+        entries = written(led.join(near, ["id", "lead"], "left_anti").select("id", "band"), "minhash-left")
+    return spark.read.schema(pair).parquet(*found) if found else spark.createDataFrame([], pair)
 
 
 def components(edges: DataFrame) -> DataFrame:
