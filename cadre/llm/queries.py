@@ -8,7 +8,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadre.llm import bpe, line_dedup, lm, minhash, mixing, quality, simhash, token_counts
+from cadre.llm import bpe, line_dedup, lm, minhash, mixing, quality, simhash, suffix, token_counts
 from cadre.llm.common import documents, ship, whole, written
 
 QUERIES: dict = {}
@@ -67,6 +67,14 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir)).drop("n_full_lines")
 
 
+@query
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text without the bytes of 50-byte strings that also start
+    in a document with a smaller id."""
+    out = suffix.remove_repeats(documents(spark, sf_dir))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base and bigram scores of every whole text, learned from the texts not held out."""
