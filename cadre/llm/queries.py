@@ -8,7 +8,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadre.llm import bpe, line_dedup, lm, minhash, mixing, quality, simhash, suffix, token_counts
+from cadre.llm import bpe, line_dedup, lm, minhash, mixing, pii, quality, simhash, suffix, token_counts
 from cadre.llm.common import documents, ship, whole, written
 
 QUERIES: dict = {}
@@ -61,6 +61,19 @@ FROM judged GROUP BY doc_id
 """
 
 
+#: Stands for the secret that a real job passes.
+SURROGATE_KEY = b"a key for the registered query"
+
+
+@query
+def op2_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text with keyed surrogates for its personal data."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    out = pii.replace_personal_data(docs, SURROGATE_KEY)
+    total = F.aggregate(F.map_values("n_mentions"), F.lit(0), lambda a, b: a + b)
+    return out.select("doc_id", "text", total.cast("long").alias("n_mentions"), F.map_keys("n_mentions").alias("kinds"))
+
+
 @query
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality measures of every whole text and the verdict of the adaptive fences."""
