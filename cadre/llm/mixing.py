@@ -34,7 +34,7 @@ from cadre.llm.common import free_name, maybe_broadcast, whole, written
 MAX_REPEATS = 3
 SEED = 20_240_601
 DIGIT, LEVELS = 12, 5  # of the 60 hash bits that order the documents
-PASSES = 4
+PASSES = 5
 BROADCAST_PATTERNS = 100_000
 #: Stands for the null source in patterns; not a value of any text column.
 NULL = "\0null"
@@ -207,8 +207,10 @@ def plan_mix(thin: DataFrame, weights=None, repeats: int = MAX_REPEATS) -> tuple
     for turn in range(PASSES):
         if not need:
             break
-        limit = {i: min(most[i], need[i]) if turn else most[i] for i in need}
-        upto = _cuts(keyed, need, after, limit, turn == PASSES - 1)
+        # at last a document that overshoots by less than what is missing is better than none
+        last = turn == PASSES - 1
+        limit = {i: min(most[i], 2 * need[i] - 1 if last else need[i]) if turn else most[i] for i in need}
+        upto = _cuts(keyed, need, after, limit, last)
         got = _taken(keyed, {i: (after[i], upto[i], limit[i]) for i in need if upto[i] > after[i]})
         for i in list(need):
             if upto[i] > after[i]:

@@ -41,7 +41,7 @@ MIN_DOCS = 200
 #: Measure: (least spread, whether a low value is bad too).
 MEASURES = {
     "symbol_share": (0.1, False),
-    "dup_line_share": (0.1, False),
+    "dup_line_share": (0.2, False),
     "repeat_share": (0.1, False),
     "mean_word_chars": (1.0, True),
 }
