@@ -12,7 +12,6 @@ Sub-packages:
 * ``operators``  — cleaning, rollups, roster joins, features, labels, splits,
                    encoders, evaluation, explanation, validation and scoring
 * ``plans``      — the registered queries over the test tables
-* ``streaming``  — incremental (Structured Streaming) form of the fact rollups
 """
 
 __version__ = "0.1.0"

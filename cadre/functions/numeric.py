@@ -82,7 +82,3 @@ def clip(c, lo=None, hi=None) -> Column:
 def flag01(c) -> Column:
     """Flag coercion: numeric, null -> 0, clipped to [0, 1]."""
     return clip(F.coalesce(to_double(c), F.lit(0.0)), 0.0, 1.0)
-
-
-def round6(c) -> Column:
-    return F.round(_c(c), 6)

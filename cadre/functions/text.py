@@ -84,16 +84,19 @@ def yes_no(c) -> Column:
             .otherwise(F.lit(None).cast("int")))
 
 
+# Characters that a column-safe name replaces by "_"; "." only on demand.
+UNSAFE, DOT = " -/", "."
+
+
 def safe_name(c, with_dot: bool = True) -> Column:
     """Column-safe metric name: space, '-', '/' (and '.') become '_'."""
-    pattern = "[ \\-/.]" if with_dot else "[ \\-/]"
-    return F.regexp_replace(_c(c), pattern, "_")
+    unsafe = UNSAFE + DOT if with_dot else UNSAFE
+    return F.translate(_c(c), unsafe, "_" * len(unsafe))
 
 
 def safe_name_py(name: str, with_dot: bool = True) -> str:
     """Driver-side twin of :func:`safe_name` for plan-time column names."""
-    out = str(name).replace(" ", "_").replace("-", "_").replace("/", "_")
-    return out.replace(".", "_") if with_dot else out
+    return str(name).translate({ord(x): "_" for x in (UNSAFE + DOT if with_dot else UNSAFE)})
 
 
 def norm_header(name: str) -> str:

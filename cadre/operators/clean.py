@@ -8,9 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cadre.functions.numeric import flag01, to_double
-from cadre.functions.text import (BLANK_TOKENS, clean_string, fact_clean, norm_header,
-                                  norm_key, valid_key)
+from cadre.functions.numeric import flag01
+from cadre.functions.text import BLANK_TOKENS, clean_string, norm_header
 
 
 def _string_cols(df: DataFrame) -> list[str]:
@@ -27,25 +26,6 @@ def clean_frame(df: DataFrame, tokens: Sequence[str] = BLANK_TOKENS) -> DataFram
         for c, n in zip(df.columns, names)])
 
 
-def fact_clean_frame(df: DataFrame) -> DataFrame:
-    """only '' and a lone NBSP become null (fact files)."""
-    strings = set(_string_cols(df))
-    return df.select(*[(fact_clean(F.col(f"`{c}`")) if c in strings else F.col(f"`{c}`")).alias(c)
-                       for c in df.columns])
-
-
-def keyed(df: DataFrame, key: str, out: str = "_emp_num") -> DataFrame:
-    """F3 + F4: normalised key column added, rows with a blank key dropped."""
-    return df.withColumn(out, norm_key(F.col(f"`{key}`"))).filter(valid_key(F.col(out)))
-
-
-def coerce_numeric(df: DataFrame, cols: Sequence[str], allow_inf: bool = False) -> DataFrame:
-    """listed columns -> double (unparsable -> null)."""
-    cs = set(cols)
-    return df.select(*[(to_double(F.col(f"`{c}`"), allow_inf) if c in cs else F.col(f"`{c}`")).alias(c)
-                       for c in df.columns])
-
-
 def coerce_flags(df: DataFrame, flags: Sequence[str]) -> DataFrame:
     """flag columns numeric, null -> 0, clipped to [0, 1]."""
     fs = set(flags)

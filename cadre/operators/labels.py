@@ -11,52 +11,36 @@ from pyspark.sql import functions as F
 
 from cadre.functions.bins import TIER_LABELS, label_name, star_to_ordinal, tier_of
 from cadre.functions.numeric import as_double
+from cadre.operators.windows import running_sums
+from cadre.session import cut_lineage
 
 
-def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float],
-                    exact_limit: int = 5_000_000, accuracy: int = 1_000_000) -> tuple[int, list[float]]:
+def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float]) -> tuple[int, list[float]]:
     """Exact linear-interpolation quantiles (Spark ``percentile`` semantics).
 
-    Up to ``exact_limit`` non-null values Spark's exact ``percentile`` runs
-    (its final step keeps the distinct values of one column in one task).
-    Beyond that a bracketed selection keeps every step bounded: an
-    approximate sketch (rank error <= n/accuracy) gives a value bracket
-    around each wanted rank, one pass counts the rows below each bracket,
-    and only the bracket rows (about 4n/accuracy) are ranked exactly.
-    Returns ``(n, [quantile per prob])``.
+    One plan for every size: counts per distinct value (so ties collapse
+    before anything moves), their bucketed running sums, and the values at
+    the wanted ranks.  Returns ``(n, [quantile per prob])``.
     """
     v = df.select(as_double(df, col).alias("v")).filter(F.col("v").isNotNull())
-    n = v.count()
+    counts = cut_lineage(v.groupBy("v").agg(F.count(F.lit(1)).alias("n")))
+    n = counts.agg(F.sum("n")).first()[0] or 0
     if n == 0:
         return 0, [float("nan")] * len(probs)
-    if n <= exact_limit:
-        row = v.agg(F.percentile("v", F.array(*[F.lit(float(p)) for p in probs])).alias("q")).first()
-        return n, [float(x) for x in row["q"]]
-    margin = 2.0 * n / accuracy + 2
-    wanted, lo_q, hi_q = [], [], []
-    for p in probs:
-        pos = p * (n - 1)
-        lo_r, hi_r = math.floor(pos), math.ceil(pos)
-        wanted.append((pos, lo_r, hi_r))
-        lo_q.append(max(0.0, (lo_r - margin) / n))
-        hi_q.append(min(1.0, (hi_r + margin) / n))
-    approx = v.agg(F.percentile_approx("v", F.array(*[F.lit(x) for x in lo_q + hi_q]),
-                                       accuracy).alias("a")).first()["a"]
+    places = [(p * (n - 1), math.floor(p * (n - 1)), math.ceil(p * (n - 1))) for p in probs]
+    ranks = sorted({r for _, lo, hi in places for r in (lo, hi)})
+    upto = running_sums(counts, [], "v", ["n"])
+    got = dict(zip(ranks, upto.agg(*[F.min(F.when(F.col("cum_n") > r, F.col("v"))) for r in ranks]).first()))
     out = []
-    for i, (pos, lo_r, hi_r) in enumerate(wanted):
-        lo_v, hi_v = float(approx[i]), float(approx[len(probs) + i])
-        below = v.filter(F.col("v") < lo_v).count()
-        bracket = v.filter((F.col("v") >= lo_v) & (F.col("v") <= hi_v))
-        ranked = bracket.withColumn("_r", F.row_number().over(Window.orderBy("v")) - 1 + below)
-        got = {r["_r"]: r["v"] for r in ranked.filter(F.col("_r").isin(lo_r, hi_r)).collect()}
-        lk, hk = got[lo_r], got[hi_r]
-        out.append(lk if hi_r == lo_r or lk == hk else (hi_r - pos) * lk + (pos - lo_r) * hk)
+    for pos, lo, hi in places:
+        a, b = got[lo], got[hi]
+        out.append(a if lo == hi or a == b else (hi - pos) * a + (pos - lo) * b)
     return n, out
 
 
-def tercile_cuts(df: DataFrame, col: str, min_values: int = 30, **kw) -> tuple[float, float, int]:
+def tercile_cuts(df: DataFrame, col: str, min_values: int = 30) -> tuple[float, float, int]:
     """(p33, p67, n) of the non-null values; needs ``min_values``."""
-    n, (p33, p67) = exact_quantiles(df, col, [1.0 / 3.0, 2.0 / 3.0], **kw)
+    n, (p33, p67) = exact_quantiles(df, col, [1.0 / 3.0, 2.0 / 3.0])
     if n < min_values:
         raise ValueError(f"only {n} non-null values in {col!r}; need >= {min_values} for terciles")
     return p33, p67, n
@@ -101,8 +85,3 @@ def star_labels(df: DataFrame, star: str, out: str = "_y", keep_only_valid: bool
     filtered out."""
     res = df.withColumn(out, star_to_ordinal(F.col(f"`{star}`")))
     return res.filter(F.col(out).isNotNull()) if keep_only_valid else res
-
-
-def class_distribution(df: DataFrame, label: str = "label") -> DataFrame:
-    """Rows per class value."""
-    return df.groupBy(F.col(label).alias("class")).agg(F.count(F.lit(1)).alias("n"))

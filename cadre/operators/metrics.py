@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadre.operators.windows import running_sums
+from cadre.session import cut_lineage
 
 # Inner bin edges of a 10-bin uniform calibration curve: i * 0.1 for i = 1..9
 # (the same doubles numpy's linspace(0, 1, 11) produces).
@@ -27,29 +28,18 @@ def _q(c: str):
     return F.col(f"`{c}`")
 
 
-def prob_columns(pred: DataFrame, prob: str, k: int, prefix: str = "p") -> DataFrame:
-    """Array/vector probability column -> ``p0..p{k-1}`` columns."""
-    from pyspark.ml.functions import vector_to_array
-    from pyspark.sql import types as T
-    col = _q(prob)
-    if not isinstance(pred.schema[prob].dataType, T.ArrayType):
-        col = vector_to_array(col)
-    return pred.select("*", *[col[i].alias(f"{prefix}{i}") for i in range(k)])
-
-
 def accuracy_report(pred: DataFrame, label: str = "label", prediction: str = "prediction",
                     baseline: float | None = None) -> DataFrame:
     """V1: ``n, accuracy, baseline_accuracy, lift``; the baseline defaults to
     the majority-class share of the labels."""
-    acc = pred.agg(F.count(F.lit(1)).alias("n"),
-                   F.avg((_q(label) == _q(prediction)).cast("double")).alias("accuracy"))
-    if baseline is None:
-        counts = pred.groupBy(_q(label)).agg(F.count(F.lit(1)).alias("c"))
-        base = counts.agg(F.max("c").alias("mx"), F.sum("c").alias("tot")).select(
-            (F.col("mx") / F.col("tot").cast("double")).alias("baseline_accuracy"), F.lit(1).alias("_j"))
-        out = acc.withColumn("_j", F.lit(1)).join(base, "_j").drop("_j")
-    else:
-        out = acc.withColumn("baseline_accuracy", F.lit(float(baseline)))
+    hit = F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0))
+    known = F.sum(F.when(F.col("actual").isNotNull() & F.col("predicted").isNotNull(), F.col("n")))
+    # k^2 pair counts, then k class rows, then one row: no join
+    per = pair_counts(pred, label, prediction).groupBy("actual").agg(
+        F.sum("n").alias("c"), hit.alias("hit"), known.alias("known"))
+    base = F.max("c") / F.sum("c").cast("double") if baseline is None else F.lit(float(baseline))
+    out = per.agg(F.sum("c").alias("n"), F.try_divide(F.sum("hit"), F.sum("known").cast("double")).alias("accuracy"),
+                  base.alias("baseline_accuracy"))
     return out.withColumn("lift", F.col("accuracy") - F.col("baseline_accuracy"))
 
 
@@ -133,6 +123,7 @@ def auc_ovr(pred: DataFrame, label: str = "label", prob_cols: Sequence[str] = ("
         "_pos", (F.col("_y") == F.col("class")).cast("long"))
     g = long.groupBy("class", "score").agg(F.sum("_pos").alias("npos"),
                                            (F.count(F.lit(1)) - F.sum("_pos")).alias("nneg"))
+    g = cut_lineage(g)
     cum = running_sums(g, ["class"], "score", ["nneg"], **kw)
     per = cum.groupBy("class").agg(
         F.sum(F.col("npos") * (F.col("cum_nneg") - F.col("nneg") + 0.5 * F.col("nneg"))).alias("u"),
@@ -169,13 +160,12 @@ def threshold_curve(scored: DataFrame, score: str, positive: str, **kw) -> DataF
     positive when score >= t.  F1 = 2PR/(P+R+1e-9), 0 when P+R = 0;
     recall is 1 when there are no positives."""
     g = scored.groupBy(_q(score).cast("double").alias("threshold")).agg(
-        F.sum(_q(positive).cast("long")).alias("tp_at"), F.count(F.lit(1)).alias("n_at")) \
-        .withColumn("_g", F.lit(0))
-    cum = running_sums(g, ["_g"], "threshold", ["tp_at", "n_at"], descending=True, **kw)
-    tot = g.groupBy("_g").agg(F.sum("tp_at").alias("_P"))
-    c = cum.join(tot, "_g")
+        F.sum(_q(positive).cast("long")).alias("tp_at"), F.count(F.lit(1)).alias("n_at"))
+    g = cut_lineage(g)
+    n_positive = g.agg(F.sum("tp_at")).first()[0] or 0
+    c = running_sums(g, [], "threshold", ["tp_at", "n_at"], descending=True, **kw)
     prec = F.col("cum_tp_at") / F.col("cum_n_at").cast("double")
-    rec = F.when(F.col("_P") > 0, F.col("cum_tp_at") / F.col("_P").cast("double")).otherwise(F.lit(1.0))
+    rec = F.col("cum_tp_at") / F.lit(float(n_positive)) if n_positive else F.lit(1.0)
     c = c.select("threshold", prec.alias("precision"), rec.alias("recall"))
     f1 = F.when(F.col("precision") + F.col("recall") > 0,
                 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall") + F.lit(F1_EPS))
@@ -207,22 +197,14 @@ def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
         "weight", F.sum("n").over(w) / (F.count(F.lit(1)).over(w) * F.col("n")).cast("double"))
 
 
-def with_weights(df: DataFrame, label: str = "label", out: str = "weight") -> DataFrame:
-    """L3 applied: each row gets its class weight (join on a k-row table)."""
-    cw = class_weights(df, label).select(F.col("class").alias(label), F.col("weight").alias(out))
-    return df.join(cw, label, "left")
-
-
 def majority_baseline(train: DataFrame, test: DataFrame, label: str = "label") -> DataFrame:
     """L1: most frequent training class (smallest label on ties) and its
     accuracy on the test rows."""
-    counts = train.groupBy(_q(label).alias("cls")).agg(F.count(F.lit(1)).alias("n"))
-    top = counts.agg(F.max_by("cls", F.struct(F.col("n"), -F.col("cls"))).alias("majority_class"),
-                     F.sum("n").alias("n_train"))
-    acc = test.groupBy(_q(label).alias("cls")).agg(F.count(F.lit(1)).alias("n"))
-    # both sides are tiny (one row; k rows): join on a constant key
-    t = acc.withColumn("_j", F.lit(1)).join(top.withColumn("_j", F.lit(1)), "_j")
-    return t.groupBy("majority_class", "n_train").agg(
-        F.sum("n").alias("n_test"),
-        F.try_divide(F.sum(F.when(F.col("cls") == F.col("majority_class"), F.col("n")).otherwise(0)),
-                     F.sum("n").cast("double")).alias("baseline_accuracy"))
+    rows = train.select(_q(label).alias("cls"), F.lit(1).alias("a"), F.lit(0).alias("b")) \
+        .unionByName(test.select(_q(label).alias("cls"), F.lit(0).alias("a"), F.lit(1).alias("b")))
+    per = rows.groupBy("cls").agg(F.sum("a").alias("n_train"), F.sum("b").alias("n_test"))
+    first = F.struct(F.col("n_train"), -F.col("cls"))
+    out = per.agg(F.max_by("cls", first).alias("majority_class"), F.sum("n_train").alias("n_train"),
+                  F.sum("n_test").alias("n_test"), F.max_by("n_test", first).alias("_hit"))
+    return out.select("majority_class", "n_train", "n_test",
+                      F.try_divide(F.col("_hit"), F.col("n_test").cast("double")).alias("baseline_accuracy"))

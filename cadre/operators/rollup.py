@@ -5,8 +5,8 @@ Plan shape (KPI rollup): a partial aggregation per ``(person, month)``
 shuffle key spreads a person who holds a third of all rows over months),
 then one aggregation per person over at most one row per month.  "Latest
 month" values are ``max_by(value, month)`` over those unique months, so no
-window or self-join is needed; distinct metrics travel as per-month sets
-bounded by the metric catalogue.  Two exchanges, no unbounded group.
+window or self-join is needed.  Distinct metrics are counted from distinct
+(person, metric) pairs.  Only hash aggregations touch the fact.
 """
 
 from __future__ import annotations
@@ -15,13 +15,16 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cadre.functions.numeric import as_double
-from cadre.functions.text import email_key, safe_name, utrim, valid_key, yes_no
+from cadre.functions.text import email_key, fact_clean, safe_name, safe_name_py, utrim, valid_key, yes_no
+
 
 def _prepare(facts: DataFrame, key_expr, measures: dict[str, str | None],
              passthrough: dict[str, str | None]) -> DataFrame:
-    """Key normalised and filtered (F3), measures coerced to double."""
+    """Key normalised and filtered (F3), measures coerced to double (F6),
+    blank texts null (F2)."""
     cols = [key_expr.alias("_k")]
     for name, src in measures.items():
         if src is not None and src in facts.columns:
@@ -29,10 +32,12 @@ def _prepare(facts: DataFrame, key_expr, measures: dict[str, str | None],
         else:
             cols.append(F.lit(None).cast("double").alias(name))
     for name, src in passthrough.items():
-        if src is not None and src in facts.columns:
-            cols.append(F.col(src).alias(name))
-        else:
+        if src is None or src not in facts.columns:
             cols.append(F.lit(None).cast("string").alias(name))
+        elif isinstance(facts.schema[src].dataType, T.StringType):
+            cols.append(fact_clean(F.col(src)).alias(name))
+        else:
+            cols.append(F.col(src).alias(name))
     return facts.select(*cols).filter(valid_key(F.col("_k")))
 
 
@@ -66,46 +71,13 @@ def kpi_rollup(facts: DataFrame, key: str = "advisor", month: str | None = "mont
       null (not 0) when none qualify unless ``zero_share_as_null=False``;
     * ``n_kpi_months``: distinct months, null when there is none.
     """
-    grain = kpi_grain(facts, key, month, metric, score, ptg, wptg, target)
-    return rollup_from_grain(grain, key, zero_share_as_null, out_key)
-
-
-# Partial-aggregate columns of the KPI grain; all merge by sum except mx_ptg
-# (max) and the metric set (union).
-GRAIN_SUMS = ("s_score", "n_score", "s_ptg", "n_ptg", "n_hit", "s_wptg", "n_wptg")
-
-
-def kpi_grain(facts: DataFrame, key: str = "advisor", month: str | None = "month",
-              metric: str = "metric", score: str | None = "score",
-              ptg: str | None = "ptg", wptg: str | None = "wptg",
-              target: float = 100.0) -> DataFrame:
-    """Step 1 of the KPI rollup: mergeable partial aggregates per
-    ``(person, month)`` with the month's distinct metrics as a set.
-    Partials of separate chunks merge with :func:`merge_grain` — the
-    streaming ingest relies on that."""
     base = kpi_facts(facts, key, month, metric, score, ptg, wptg)
-    return base.groupBy("_k", "_m").agg(
+    per_month = base.groupBy("_k", "_m").agg(
         F.sum("_score").alias("s_score"), F.count("_score").alias("n_score"),
         F.sum("_ptg").alias("s_ptg"), F.count("_ptg").alias("n_ptg"),
         F.max("_ptg").alias("mx_ptg"),
         F.count_if(F.col("_ptg") >= F.lit(float(target))).alias("n_hit"),
-        F.sum("_wptg").alias("s_wptg"), F.count("_wptg").alias("n_wptg"),
-        F.collect_set("_metric").alias("metrics"),
-    )
-
-
-def merge_grain(partials: DataFrame) -> DataFrame:
-    """Merge grain partials of several chunks into one row per (person, month)."""
-    return partials.groupBy("_k", "_m").agg(
-        *[F.sum(c).alias(c) for c in GRAIN_SUMS], F.max("mx_ptg").alias("mx_ptg"),
-        F.array_distinct(F.flatten(F.collect_list("metrics"))).alias("metrics"))
-
-
-def rollup_from_grain(grain: DataFrame, key: str = "advisor", zero_share_as_null: bool = True,
-                      out_key: str | None = None) -> DataFrame:
-    """Step 2 of the KPI rollup over (merged) per-month partials: one row
-    per month and person, so ``max_by(x, month)`` is exactly "x of the
-    latest month" (null months are skipped by ``max_by``)."""
+        F.sum("_wptg").alias("s_wptg"), F.count("_wptg").alias("n_wptg"))
 
     def avg_of(s, n):
         return F.try_divide(F.sum(s), F.sum(n).cast("double"))
@@ -115,16 +87,19 @@ def rollup_from_grain(grain: DataFrame, key: str = "advisor", zero_share_as_null
     if zero_share_as_null:
         share = F.when(n_hit > 0, share)
     n_months = F.count("_m")
-    return grain.groupBy(F.col("_k").alias(out_key or key)).agg(
+    # one row per month and person: max_by(x, month) is x of the latest month
+    person = per_month.groupBy("_k").agg(
         avg_of("s_score", "n_score").alias("kpi_avg_score"),
         avg_of("s_ptg", "n_ptg").alias("kpi_avg_ptg"),
         avg_of("s_wptg", "n_wptg").alias("kpi_avg_wptg"),
         F.max_by("mx_ptg", F.when(F.col("n_ptg") > 0, F.col("_m"))).alias("kpi_latest_ptg"),
         F.max_by("s_wptg", F.col("_m")).alias("kpi_composite_wptg_latest"),
         share.alias("kpi_pct_above_target"),
-        F.when(n_months > 0, n_months).alias("n_kpi_months"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("metrics")))).cast("bigint").alias("n_kpi_metrics"),
-    )
+        F.when(n_months > 0, n_months).alias("n_kpi_months"))
+    metrics = base.where(F.col("_metric").isNotNull()).select("_k", "_metric").distinct() \
+        .groupBy("_k").agg(F.count(F.lit(1)).alias("n_kpi_metrics"))
+    out = person.join(metrics, "_k", "left").withColumn("n_kpi_metrics", F.coalesce("n_kpi_metrics", F.lit(0).cast("bigint")))
+    return out.withColumnRenamed("_k", out_key or key)
 
 
 def latest_period_rows(facts: DataFrame, key: str = "advisor", period: str = "month") -> DataFrame:
@@ -140,22 +115,25 @@ def latest_period_rows(facts: DataFrame, key: str = "advisor", period: str = "mo
     return facts.join(latest, [key, period], "left_semi")
 
 
-def top_metrics(facts: DataFrame, metric: str = "metric", n: int = 30) -> DataFrame:
-    """The ``n`` most frequent metrics (A7), ties broken by name.
+def top_metrics(facts: DataFrame, metric: str = "metric", n: int = 30, key: str | None = "advisor") -> DataFrame:
+    """The ``n`` most frequent metrics (A7), ties broken by name; with
+    ``key`` only rows with a valid key count.
 
     Output ``metric, n_rows, rank``; a global top-k: partial counts per
     metric, then a single ``limit`` over the (small) per-metric counts.
     """
-    counts = (facts.filter(F.col(metric).isNotNull())
-              .groupBy(F.col(metric).alias("metric")).agg(F.count(F.lit(1)).alias("n_rows")))
+    base = kpi_facts(facts, key, None, metric, None, None, None) if key in facts.columns else \
+        facts.select(fact_clean(F.col(metric)).alias("_metric"))
+    counts = (base.filter(F.col("_metric").isNotNull())
+              .groupBy(F.col("_metric").alias("metric")).agg(F.count(F.lit(1)).alias("n_rows")))
     top = counts.orderBy(F.desc("n_rows"), F.asc("metric")).limit(n)
     return top.withColumn("rank", F.row_number().over(
         Window.orderBy(F.desc("n_rows"), F.asc("metric"))))
 
 
-def top_metric_list(facts: DataFrame, metric: str = "metric", n: int = 30) -> list[str]:
+def top_metric_list(facts: DataFrame, metric: str = "metric", n: int = 30, key: str | None = "advisor") -> list[str]:
     """Top-N list on the driver (at most ``n`` strings) for an explicit pivot."""
-    return [r["metric"] for r in top_metrics(facts, metric, n).orderBy("rank").collect()]
+    return [r["metric"] for r in top_metrics(facts, metric, n, key).orderBy("rank").collect()]
 
 
 def metric_means_long(facts: DataFrame, key: str = "advisor", metric: str = "metric",
@@ -169,7 +147,7 @@ def metric_means_long(facts: DataFrame, key: str = "advisor", metric: str = "met
     metric_safe, ptg_avg, wptg_avg, score_avg``.
     """
     base = kpi_facts(facts, key, None, metric, score, ptg, wptg)
-    top = top if top is not None else top_metrics(facts, metric, n)
+    top = top if top is not None else top_metrics(facts, metric, n, key)
     keep = F.broadcast(top.select(F.col("metric").alias("_metric")))
     sub = base.join(keep, "_metric", "left_semi")
     return sub.groupBy(F.col("_k").alias(key), F.col("_metric").alias("metric")).agg(
@@ -182,28 +160,33 @@ def metric_pivot(facts: DataFrame, key: str = "advisor", metric: str = "metric",
                  score: str | None = "score", ptg: str | None = "ptg",
                  wptg: str | None = "wptg", metrics: Sequence[str] | None = None,
                  n: int = 30) -> DataFrame:
-    """Wide per-metric pivot ``{safe}_{ptg,wptg,score}_avg`` for the top-N.
+    """Wide per-metric means ``{safe}_{ptg,wptg,score}_avg`` for the top-N.
 
-    The pivot takes an explicit value list (the top-N, driver-side metadata
-    of ``n`` strings), which caps the width and skips Spark's distinct-values
-    job.  Two metrics that collide after name-safing raise.
+    One row for every person with a valid key, also for those without any of
+    the metrics: the means are conditional averages of one aggregation.  The
+    metrics are an explicit list (by default the top-N, ``n`` strings on the
+    driver), which caps the width.  Two metrics that collide after
+    name-safing raise.
     """
-    from cadre.functions.text import safe_name_py
     if metrics is None:
-        metrics = top_metric_list(facts, metric, n)
+        metrics = top_metric_list(facts, metric, n, key)
     safe = [safe_name_py(m) for m in metrics]
     if len(set(safe)) != len(safe):
         raise ValueError(f"metric names collide after name-safing: {metrics}")
     base = kpi_facts(facts, key, None, metric, score, ptg, wptg)
-    keep = base.filter(F.col("_metric").isin(list(metrics)))
-    wide = keep.groupBy(F.col("_k").alias(key)).pivot("_metric", list(metrics)).agg(
-        F.avg("_ptg").alias("ptg_avg"), F.avg("_wptg").alias("wptg_avg"),
-        F.avg("_score").alias("score_avg"))
-    renames = {}
-    for m, s in zip(metrics, safe):
-        for suffix in ("ptg_avg", "wptg_avg", "score_avg"):
-            renames[f"{m}_{suffix}"] = f"{s}_{suffix}"
-    return wide.select(key, *[F.col(f"`{old}`").alias(new) for old, new in renames.items()])
+    means = [F.avg(F.when(F.col("_metric") == m, F.col(v))).alias(f"{s}_{v[1:]}_avg")
+             for m, s in zip(metrics, safe) for v in ("_ptg", "_wptg", "_score")]
+    return base.groupBy(F.col("_k").alias(key)).agg(*means)
+
+
+def person_features(facts: DataFrame, key: str = "advisor", month: str | None = "month",
+                    metric: str = "metric", score: str | None = "score", ptg: str | None = "ptg",
+                    wptg: str | None = "wptg", metrics: Sequence[str] | None = None, n: int = 30) -> DataFrame:
+    """One row per person with the dense rollup (A1-A6) and the wide
+    per-metric means (A8); both are aggregated by person, so they meet
+    without another exchange."""
+    dense = kpi_rollup(facts, key, month, metric, score, ptg, wptg)
+    return dense.join(metric_pivot(facts, key, metric, score, ptg, wptg, metrics, n), key)
 
 
 def metric_latest(facts: DataFrame, key: str = "advisor", month: str | None = "month",
@@ -218,23 +201,20 @@ def metric_latest(facts: DataFrame, key: str = "advisor", month: str | None = "m
     non-empty months (0 when none).
     """
     base = kpi_facts(facts, key, month, metric, score, ptg, wptg)
-    ord_col = F.coalesce(F.col("_m"), F.lit(""))
+    names = ("score", "ptg", "wptg")
+    # rows collapse to one per (person, metric, month) first, in a hash aggregation
+    month = F.coalesce(F.col("_m"), F.lit(""))
+    per_month = base.groupBy("_k", "_metric", month.alias("_m")).agg(
+        *[f(F.col(f"_{x}")).alias(f"{p}_{x}") for x in names for p, f in (("s", F.sum), ("n", F.count), ("mx", F.max))])
     aggs = []
-    for name in ("score", "ptg", "wptg"):
-        v = F.col(f"_{name}")
-        aggs.append(F.avg(v).alias(f"{name}_avg"))
-        aggs.append(F.max_by(v, F.when(v.isNotNull(), F.struct(ord_col, v))).alias(f"{name}_latest"))
-    # the person's months travel as per-(person, metric) sets (bounded by the
-    # calendar), so there is no second scan of the fact: the sets are
-    # exploded to distinct (person, month) pairs (map-side dedup), counted
-    # per person and joined back (one small row per person; AQE broadcasts
-    # it when small).  A window union of the sets would copy the person's
-    # whole month list onto each of the person's rows.
-    month_ok = F.when(F.col("_m") != "", F.col("_m"))
-    per_metric = base.groupBy("_k", "_metric").agg(*aggs, F.collect_set(month_ok).alias("_months"))
-    months = (per_metric.select("_k", F.explode("_months").alias("_mo")).distinct()
+    for x in names:
+        aggs.append(F.try_divide(F.sum(f"s_{x}"), F.sum(f"n_{x}").cast("double")).alias(f"{x}_avg"))
+        # several values in the latest month: the largest
+        aggs.append(F.max_by(f"mx_{x}", F.when(F.col(f"n_{x}") > 0, F.col("_m"))).alias(f"{x}_latest"))
+    per_metric = per_month.groupBy("_k", "_metric").agg(*aggs)
+    months = (base.where(F.col("_m").isNotNull()).select("_k", "_m").distinct()
               .groupBy("_k").agg(F.count(F.lit(1)).alias("n_kpi_months")))
-    out = per_metric.drop("_months").join(months, "_k", "left").withColumn(
+    out = per_metric.join(months, "_k", "left").withColumn(
         "n_kpi_months", F.coalesce(F.col("n_kpi_months"), F.lit(0).cast("bigint")))
     return out.withColumnRenamed("_k", key).withColumnRenamed("_metric", "metric")
 
@@ -292,7 +272,8 @@ def period_aligned_rollup(facts: DataFrame, labels: DataFrame, key: str = "advis
         F.count(F.lit(1)).alias("n"), F.sum("_ptg").alias("s_ptg"), F.count("_ptg").alias("n_ptg"),
         F.sum("_wptg").alias("s_wptg"))
     first_day = F.to_date(F.concat(F.col("_lm"), F.lit("-01")))
-    lab = labels.select(F.col(label_key).cast("string").alias("_k"), F.col(label_month).alias("_lm")) \
+    # keys trimmed as the facts' are, and each (person, month) once
+    lab = labels.select(utrim(F.col(label_key).cast("string")).alias("_k"), F.col(label_month).alias("_lm")).distinct() \
         .withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(months - 1)))) \
         .withColumn("_m", F.date_format(F.add_months(first_day, -F.col("_i")), "yyyy-MM"))
     j = lab.join(per_month, ["_k", "_m"], "left")

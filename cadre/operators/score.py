@@ -93,8 +93,8 @@ def tier_counts(scored: DataFrame, labels: Sequence[str] = TIER_LABELS,
         "tier_index", "tier", F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("n"))
 
 
-def rank_by_risk(scored: DataFrame, prob: str = "p_at_risk", n: int | None = None) -> DataFrame:
-    """Rows ordered by P(at-risk) descending (a global sort — range
-    partitioned, not collected); ``n`` keeps a top-n report."""
-    ordered = scored.orderBy(F.desc(prob))
+def rank_by_risk(scored: DataFrame, prob: str = "p_at_risk", n: int | None = None, id_col: str = "row_id") -> DataFrame:
+    """Rows ordered by P(at-risk) descending, ties by id (a global sort
+    — range partitioned, not collected); ``n`` keeps a top-n report."""
+    ordered = scored.orderBy(F.desc(prob), id_col)
     return ordered.limit(n) if n else ordered

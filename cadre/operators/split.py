@@ -18,23 +18,40 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Hash parameters: a Mersenne prime modulus and a large multiplier; the id is
-# reduced first so the product never overflows a signed 64-bit integer.
+# A prime modulus below 2^31 and two multipliers: all products of reduced
+# values stay below 2^62, so the same 64-bit arithmetic runs in Spark and SQL.
 HASH_MOD = 2147483647
 HASH_MULT = 1103515245
+SEED_MULT = 48271
 DEFAULT_SEED = 42
 
 
+def _offset(seed: int) -> int:
+    return (seed * SEED_MULT + 12345) % HASH_MOD
+
+
 def hash_order(id_col, seed: int = DEFAULT_SEED):
-    """Portable pseudo-random order key in [0, 2^31-1) for an integer id."""
+    """Portable pseudo-random order key in [0, 2^31-1) for an integer id.
+
+    The seed is added to the id before two rounds of ``x * x + m * x`` modulo
+    a prime: unlike a linear step, which would only rotate one fixed order,
+    each seed gives an order of its own.
+    """
     c = F.col(id_col) if isinstance(id_col, str) else id_col
-    return F.pmod(F.pmod(c.cast("bigint"), F.lit(HASH_MOD)) * F.lit(HASH_MULT) + F.lit(seed),
-                  F.lit(HASH_MOD))
+    p = F.lit(HASH_MOD)
+    x = F.pmod(F.pmod(c.cast("bigint"), p) + F.lit(_offset(seed)).cast("bigint"), p)
+    for _ in range(2):
+        x = F.pmod(F.pmod(x * x, p) + F.pmod(x * F.lit(HASH_MULT), p), p)
+    return x
 
 
 def hash_order_sql(id_col: str, seed: int = DEFAULT_SEED) -> str:
-    m = HASH_MOD
-    return f"(((({id_col} % {m}) + {m}) % {m}) * {HASH_MULT} + {seed}) % {m}"
+    """SQL twin of :func:`hash_order`."""
+    p = HASH_MOD
+    x = f"((((CAST({id_col} AS BIGINT) % {p}) + {p}) % {p} + {_offset(seed)}) % {p})"
+    for _ in range(2):
+        x = f"((({x} * {x}) % {p} + ({x} * {HASH_MULT}) % {p}) % {p})"
+    return x
 
 
 # Buckets over the hash range: fine enough that a (stratum, bucket) window
@@ -56,6 +73,7 @@ def rank_within(df: DataFrame, strata: Sequence[str], order_key: str, tie: str,
     b = F.floor(F.col(order_key) * F.lit(float(n_buckets)) / F.lit(float(HASH_MOD))).cast("int")
     with_b = df.withColumn("_b", b)
     counts = with_b.groupBy(*strata, "_b").agg(F.count(F.lit(1)).alias("_nb"))
+    # windows over the counts: at most n_buckets rows for each stratum
     before = Window.partitionBy(*strata).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (counts
                .withColumn("_off", F.coalesce(F.sum("_nb").over(before), F.lit(0)))
@@ -100,3 +118,15 @@ def stratified_folds(df: DataFrame, label: str, id_col: str, k: int = 5,
     h = df.withColumn("_h", hash_order(id_col, seed))
     r = rank_within(h, [label], "_h", id_col, **kw)
     return r.withColumn(out, ((F.col("_rank") - 1) % F.lit(k)).cast("int")).drop("_h", "_rank", "_n")
+
+
+def permute_columns(df: DataFrame, cols: Sequence[str], id_col: str, seed: int = DEFAULT_SEED,
+                    prefix: str = "perm_") -> DataFrame:
+    """``df`` with ``{prefix}{col}``: the columns' values moved along one
+    random cyclic order of all rows (by about a third of them), nulls included,
+    so the multiset of each column is kept and no row keeps its own place."""
+    ranked = rank_within(df.withColumn("_h", hash_order(id_col, seed)), [], "_h", id_col)
+    step = F.greatest(F.floor(F.col("_n") / 3), F.lit(1))
+    donor = ranked.select(((F.col("_rank") - 1 + step) % F.col("_n") + 1).alias("_rank"),
+                          *[F.col(f"`{c}`").alias(f"{prefix}{c}") for c in cols])
+    return ranked.join(donor, "_rank").drop("_h", "_rank", "_n")

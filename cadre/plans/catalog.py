@@ -34,22 +34,14 @@ def _floor(v):
     return F.when((v < 0) & (t != v), t - F.lit(1.0)).otherwise(t)
 
 
-def round6(c):
-    """Round to 6 places as ``floor(floor(x*1e9+0.5)/1e9*1e6+0.5)/1e6``.
-
-    Plain IEEE multiply/add/floor/divide, so Spark and the SQL twin
-    (``sql_views.r6``) produce bit-identical doubles; the 9-place step
-    absorbs float-summation noise between the engines first.
-    """
-    y = _floor(c * F.lit(1e9) + F.lit(0.5)) / F.lit(1e9)
-    return _floor(y * F.lit(1e6) + F.lit(0.5)) / F.lit(1e6)
-
-
 def rounded(df: DataFrame) -> DataFrame:
-    """Round every double column (output hygiene for the oracle compare).
+    """Round every double column to 6 places (output hygiene for the oracle
+    compare) as ``floor(floor(x*1e9+0.5)/1e9*1e6+0.5)/1e6``.
 
-    Same arithmetic as :func:`round6`, staged over three projections so each
-    step's floor references a plain column: nesting the expressions would
+    Plain IEEE multiply/add/floor/divide, so Spark and the SQL twin
+    (``sql_views.r6``) produce bit-identical doubles; the 9-place step absorbs
+    float-summation noise between the engines first.  Staged over three
+    projections so each step's floor references a plain column: nesting the expressions would
     copy every (possibly large) input expression ~25 times per column.
     """
     dbl = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
@@ -72,4 +64,4 @@ def load_all() -> None:
         importlib.import_module(f"cadre.plans.{mod}")
 
 
-MODULES = ["q_rollup", "q_clean", "q_roster", "q_features", "q_labels", "q_encode", "q_metrics", "q_explain", "q_score", "q_ml"]
+MODULES = ["q_rollup", "q_clean", "q_roster", "q_features", "q_labels", "q_encode", "q_metrics", "q_explain", "q_score", "q_sources", "q_ml"]

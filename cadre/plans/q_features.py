@@ -177,8 +177,8 @@ def column_profile(spark, d):
     distinct categorical values, over customer."""
     c = table(spark, d, "customer").withColumn("is_odd", (F.col("c_custkey") % 2).cast("int")) \
         .withColumn("no_value", F.lit(None).cast("double"))
-    return rounded(profile.column_profile(c, ["is_odd"], ["c_nationkey", "c_acctbal", "no_value"],
-                                          ["c_mktsegment", "c_name"]))
+    out = profile.column_profile(c, ["is_odd"], ["c_nationkey", "c_acctbal", "no_value"], ["c_mktsegment", "c_name"])
+    return rounded(out.withColumn("values", F.array_join("values", "|")))
 
 
 _TYPED_COLS = [

@@ -1,14 +1,13 @@
 """Registered model queries (rows-only checks: L2, L4-L8, K2, K4, X1, X4).
 
 The modelling table is orders with line and customer attributes; the label
-is the tercile tier of the order total (the reference's tier model shape).
+is the tercile tier of the order's summed line prices (a tier model's shape).
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,17 +30,15 @@ def _ml_frame(spark, d) -> DataFrame:
     """Label (tercile tier), 80/20 + inner 85/15 stratified split, balanced
     weights from the training rows; checkpointed for the iterative fits."""
     # read by the cut-point jobs and again by the split: computed once
-    df = views.order_features(spark, d).persist(StorageLevel.MEMORY_AND_DISK)
-    tiered, _ = labels.tercile_tiers(df, "o_totalprice", out="label")
-    s = split.stratified_split(tiered.filter(F.col("label").isNotNull()), "label", "row_id", 0.2, 0.15)
-    w = metrics.class_weights(s.filter(F.col("split") != "test"), "label") \
-        .select(F.col("class").alias("label"), "weight")
-    out = s.join(w, "label", "left").withColumn("is_val", F.col("split") == "val")
-    # every fit re-reads this frame: a reliable checkpoint in the shared
-    # folder cuts the lineage, so a lost executor costs a re-read, not a replay
-    framed = cut_lineage(out)
-    df.unpersist()
-    return framed
+    df = cut_lineage(views.order_features(spark, d))
+    tiered, _ = labels.tercile_tiers(df, "sum_price", out="label")
+    s = cut_lineage(split.stratified_split(tiered.filter(F.col("label").isNotNull()), "label", "row_id", 0.2, 0.15))
+    # k weights, as a chain of literals: the rows are not shuffled on the label
+    weights = {r["class"]: r["weight"] for r in metrics.class_weights(s.filter(F.col("split") != "test"), "label").collect()}
+    weight = F.lit(None).cast("double")
+    for k, w in weights.items():
+        weight = F.when(F.col("label") == k, F.lit(w)).otherwise(weight)
+    return s.withColumn("weight", weight).withColumn("is_val", F.col("split") == "val")
 
 
 def _fit(frame, spec, estimator):
@@ -68,16 +65,16 @@ def train_forest(spark, d):
 @register("train_logreg")
 def train_logreg(spark, d):
     """Balanced multinomial logistic regression + its coefficient
-    top/bottom-5 per class (X4)."""
+    top/bottom-12 per class (X4), on scaled features."""
     f = _ml_frame(spark, d)
     n = f.filter(F.col("split") != "test").count()
     m = _fit(f, SPEC, train.logreg(n_train=n))
     lr = m.stages[-1]
-    names = SPEC.assembled()
+    names = SPEC.inputs  # as linear_stages assembles them
     rows = [(int(c), names[j], float(lr.coefficientMatrix[c, j]))
             for c in range(lr.coefficientMatrix.numRows) for j in range(len(names))]
     coefs = spark.createDataFrame(rows, "class int, feature string, coef double")
-    top = explain.coef_topk(coefs, 5)
+    top = explain.coef_topk(coefs, 12)
     ev = train.evaluate(m, _test(f), K, "logreg", _baseline(f), n_features=len(SPEC.inputs))
     ev = ev.select(F.lit(None).cast("int").alias("class"), F.lit(None).cast("string").alias("direction"),
                    F.lit(None).cast("int").alias("rank"), F.lit(None).cast("string").alias("feature"),
@@ -95,8 +92,7 @@ def tune_cv(spark, d):
     stratified CV on macro F1; one row per trial, best flagged; the best
     parameters refit on all training rows and scored on the test rows."""
     f = _ml_frame(spark, d)
-    tr = split.stratified_folds(f.filter(F.col("split") != "test").drop("split"), "label", "row_id", 5)
-    tr = tr.persist(StorageLevel.MEMORY_AND_DISK)
+    tr = cut_lineage(split.stratified_folds(f.filter(F.col("split") != "test").drop("split"), "label", "row_id", 5))
     model, maps, avg = train.tune(SPEC, train.forest(), tr, "fold", 5, n_trials=N_TRIALS)
     rows = [(i, ";".join(f"{p.name}={v}" for p, v in sorted(m.items(), key=lambda kv: kv[0].name)),
              float(avg[i])) for i, m in enumerate(maps)]
@@ -120,8 +116,8 @@ def permutation_importance(spark, d):
 def _scored(spark, d):
     f = _ml_frame(spark, d)
     m = _fit(f, SPEC, train.forest())
-    # the test rows as an uploaded all-text batch (S5), validated (K1)
-    raw = _test(f).select("row_id", *[F.col(c).cast("string").alias(c) for c in SPEC.inputs])
+    # all rows as an uploaded all-text batch (S5), validated (K1)
+    raw = f.select("row_id", *[F.col(c).cast("string").alias(c) for c in SPEC.inputs])
     schema = {**{c: "categorical" for c in SPEC.categorical}, **{c: "numeric" for c in SPEC.numeric}}
     valid = score.validate_rows(raw, schema, keep=["row_id"])
     return score.score_batch(m, valid, labels=TIER_LABELS)
@@ -140,7 +136,7 @@ def score_batch(spark, d):
 def scored_summary(spark, d):
     """Scored rows per tier (0 for tiers never predicted) and the
     top-10 rows by P(at-risk) (W8)."""
-    s = _scored(spark, d).persist(StorageLevel.MEMORY_AND_DISK)
+    s = cut_lineage(_scored(spark, d).select("row_id", "predicted_tier", "p_at_risk"))
     counts = score.tier_counts(s).select(F.lit("count").alias("part"), "tier", "n",
                                          F.lit(None).cast("bigint").alias("row_id"),
                                          F.lit(None).cast("double").alias("p_at_risk"))
@@ -166,6 +162,6 @@ def experiment_table(spark, d):
     ]
     rows = [train.evaluate(_fit(f, spec, est), _test(f), K, name, base, n_features=len(spec.inputs))
             for name, spec, est in runs]
-    table = reduce(DataFrame.unionByName, rows).persist(StorageLevel.MEMORY_AND_DISK)
+    table = reduce(DataFrame.unionByName, rows)  # one collected row per model
     winner = train.pick_best(table, "accuracy")
     return rounded(table.withColumn("winner", F.col("model") == F.lit(winner)))

@@ -37,7 +37,7 @@ def kpi_rollup(spark, d):
 
 @register("kpi_top_metrics", f"""
 WITH {V.KPI},
-c AS (SELECT metric, count(*) AS n_rows FROM kpi WHERE metric IS NOT NULL GROUP BY metric)
+c AS (SELECT metric, count(*) AS n_rows FROM kpi WHERE metric IS NOT NULL AND {KEY_OK} GROUP BY metric)
 SELECT metric, n_rows, CAST(row_number() OVER (ORDER BY n_rows DESC, metric) AS INTEGER) AS rank
 FROM c ORDER BY n_rows DESC, metric LIMIT 30
 """)
@@ -48,7 +48,7 @@ def kpi_top_metrics(spark, d):
 
 @register("kpi_metric_pivot", f"""
 WITH {V.KPI},
-c AS (SELECT metric, count(*) AS n_rows FROM kpi WHERE metric IS NOT NULL GROUP BY metric),
+c AS (SELECT metric, count(*) AS n_rows FROM kpi WHERE metric IS NOT NULL AND {KEY_OK} GROUP BY metric),
 top AS (SELECT metric FROM c ORDER BY n_rows DESC, metric LIMIT 30)
 SELECT advisor, metric,
        (floor(floor((avg(ptg)) * 1e9 + 0.5) / 1e9 * 1e6 + 0.5) / 1e6) AS ptg_avg, (floor(floor((avg(wptg)) * 1e9 + 0.5) / 1e9 * 1e6 + 0.5) / 1e6) AS wptg_avg,
@@ -62,13 +62,44 @@ def kpi_metric_pivot(spark, d):
     return rounded(rollup.metric_means_long(views.kpi(spark, d), n=30))
 
 
+# An explicit list of 30 metrics: the first names in sorted order.
+WIDE_METRICS = [f"{a} {b}" for a in ("blue", "cold", "hot", "large") for b in
+                ("anvil", "bolt", "gear", "gizmo", "plate", "ring", "rod", "widget")][:30]
+_WIDE_SQL = ",\n       ".join(
+    V.r6(f"avg(CASE WHEN metric = '{m}' THEN {v} END)") + f" AS {m.replace(' ', '_')}_{v}_avg"
+    for m in WIDE_METRICS for v in ("ptg", "wptg", "score"))
+
+
+@register("kpi_metric_pivot_wide", f"""
+WITH {V.KPI}
+SELECT advisor, {_WIDE_SQL}
+FROM kpi WHERE {KEY_OK} GROUP BY advisor
+""")
 def kpi_metric_pivot_wide(spark, d):
-    """The same top-30 means as a wide Spark pivot ``{metric}_{measure}_avg``
-    (rows-only check, so no output rounding)."""
-    return rollup.metric_pivot(views.kpi(spark, d), n=30)
+    """Means of 30 listed metrics as ``{metric}_{measure}_avg`` columns, one row
+    for every advisor (A8, wide form)."""
+    return rounded(rollup.metric_pivot(views.kpi(spark, d), metrics=WIDE_METRICS))
 
 
-register("kpi_metric_pivot_wide")(kpi_metric_pivot_wide)
+@register("person_features", f"""
+WITH {V.KPI},
+k AS (SELECT * FROM kpi WHERE {KEY_OK}),
+lm AS (SELECT advisor, max(month) AS latest_m FROM k GROUP BY advisor),
+lp AS (SELECT advisor, max(month) AS lp_m FROM k WHERE ptg IS NOT NULL GROUP BY advisor)
+SELECT k.advisor, {V.r6('avg(score)')} AS kpi_avg_score, {V.r6('avg(ptg)')} AS kpi_avg_ptg,
+       {V.r6('avg(wptg)')} AS kpi_avg_wptg,
+       {V.r6('max(CASE WHEN k.month = lp.lp_m THEN ptg END)')} AS kpi_latest_ptg,
+       {V.r6('sum(CASE WHEN k.month = lm.latest_m THEN wptg END)')} AS kpi_composite_wptg_latest,
+       {V.r6('CASE WHEN count(CASE WHEN ptg >= 100 THEN 1 END) > 0 THEN count(CASE WHEN ptg >= 100 THEN 1 END) / CAST(count(ptg) AS DOUBLE) END')} AS kpi_pct_above_target,
+       CASE WHEN count(DISTINCT k.month) > 0 THEN count(DISTINCT k.month) END AS n_kpi_months,
+       count(DISTINCT metric) AS n_kpi_metrics,
+       {_WIDE_SQL}
+FROM k LEFT JOIN lm ON k.advisor = lm.advisor LEFT JOIN lp ON k.advisor = lp.advisor
+GROUP BY k.advisor
+""")
+def person_features(spark, d):
+    """One row per advisor: the dense rollup (A1-A6) and 90 per-metric means."""
+    return rounded(rollup.person_features(views.kpi(spark, d), metrics=WIDE_METRICS))
 
 
 _LATEST = """

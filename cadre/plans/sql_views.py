@@ -1,8 +1,10 @@
 """DuckDB SQL twins of ``cadre.plans.views`` (used by the oracle queries)."""
 
+from cadre.operators.split import hash_order_sql
+
 
 def r6(expr: str) -> str:
-    """SQL twin of ``catalog.round6`` (same IEEE operations)."""
+    """SQL twin of ``catalog.rounded`` (same IEEE operations)."""
     return f"(floor(floor(({expr}) * 1e9 + 0.5) / 1e9 * 1e6 + 0.5) / 1e6)"
 
 
@@ -73,7 +75,7 @@ cuts AS (SELECT quantile_cont(v, CAST(1 AS DOUBLE) / 3) AS p33,
 tiers AS (SELECT CAST(advisor AS BIGINT) AS row_id,
                  CASE WHEN v <= p33 THEN 0 WHEN v <= p67 THEN 1 ELSE 2 END AS class
           FROM roll, cuts WHERE v IS NOT NULL),
-tr AS (SELECT *, row_number() OVER (PARTITION BY class ORDER BY ((((row_id % 2147483647) + 2147483647) % 2147483647) * 1103515245 + 42) % 2147483647, row_id) AS rk,
+tr AS (SELECT *, row_number() OVER (PARTITION BY class ORDER BY {hash_order_sql('row_id')}, row_id) AS rk,
               count(*) OVER (PARTITION BY class) AS n FROM tiers),
 sp AS (SELECT row_id, class, CASE WHEN rk <= round(CAST(0.2 AS DOUBLE) * n) THEN 'test' ELSE 'train' END AS split
        FROM tr),

@@ -111,11 +111,10 @@ def kpi_feature_long(spark: SparkSession, d: str) -> DataFrame:
 def advisor_split(spark: SparkSession, d: str) -> DataFrame:
     """Advisors with class = tercile tier of their mean PTG and an 80/20
     stratified train/test split: (row_id, class, split)."""
-    from pyspark import StorageLevel
-
     from cadre.operators import labels, rollup, split
+    from cadre.session import cut_lineage
     # one row per advisor, read by the cut-point jobs and by the split
-    roll = rollup.kpi_rollup(kpi(spark, d)).persist(StorageLevel.MEMORY_AND_DISK)
+    roll = cut_lineage(rollup.kpi_rollup(kpi(spark, d)).select("advisor", "kpi_avg_ptg"))
     tiered, _ = labels.tercile_tiers(roll, "kpi_avg_ptg", out="class")
     t = tiered.select(F.col("advisor").cast("bigint").alias("row_id"), "class") \
         .filter(F.col("class").isNotNull())
@@ -127,31 +126,30 @@ def kpi_model(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFr
     feature, class mean minus overall mean.  Returns (coefficients
     (class, feature, coef), baseline means (feature, mean), test-advisor
     features (row_id, feature, x))."""
-    from pyspark import StorageLevel
-    # both small (advisors x features; advisors) and read several times below
-    feats = kpi_feature_long(spark, d).withColumn("row_id", F.col("row_id").cast("bigint")) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    s = advisor_split(spark, d).persist(StorageLevel.MEMORY_AND_DISK)
+    from cadre.session import cut_lineage
+    # advisors x features and advisors, read several times below
+    feats = cut_lineage(kpi_feature_long(spark, d).withColumn("row_id", F.col("row_id").cast("bigint")))
+    s = cut_lineage(advisor_split(spark, d))
     train = feats.join(s.filter(F.col("split") == "train"), "row_id")
-    means = train.groupBy("feature").agg(F.avg("x").alias("mean"))
-    cm = train.groupBy("class", "feature").agg(F.avg("x").alias("cmean"))
-    coefs = cm.join(means, "feature").select(
-        "class", "feature", F.coalesce(F.col("cmean") - F.col("mean"), F.lit(0.0)).alias("coef"))
+    by_class = cut_lineage(train.groupBy("class", "feature").agg(F.sum("x").alias("s"), F.count("x").alias("n")))
+    means = by_class.groupBy("feature").agg(F.try_divide(F.sum("s"), F.sum("n").cast("double")).alias("mean"))
+    coefs = by_class.join(means, "feature").select(
+        "class", "feature", F.coalesce(F.try_divide(F.col("s"), F.col("n").cast("double")) - F.col("mean"), F.lit(0.0)).alias("coef"))
     test = feats.join(s.filter(F.col("split") == "test").select("row_id"), "row_id")
     return coefs, means, test
 
 
 def order_features(spark: SparkSession, d: str) -> DataFrame:
     """Order-level modelling table: order attributes, per-order line
-    aggregates and the customer's attributes; target ``o_totalprice``."""
-    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus",
-                                         "o_orderpriority", "o_totalprice")
+    aggregates and the customer's attributes; target ``sum_price``, the sum of
+    the order's line prices (which the line counts and quantities explain)."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
     li = table(spark, d, "lineitem").groupBy("l_orderkey").agg(
         F.count(F.lit(1)).alias("n_lines"), F.sum("l_quantity").alias("sum_qty"),
-        F.avg("l_discount").alias("avg_disc"), F.avg("l_tax").alias("avg_tax"))
+        F.sum("l_extendedprice").alias("sum_price"), F.avg("l_discount").alias("avg_disc"), F.avg("l_tax").alias("avg_tax"))
     c = table(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_nationkey", "c_acctbal")
     j = (o.join(li, o.o_orderkey == li.l_orderkey, "left")
          .join(c, o.o_custkey == c.c_custkey, "left"))
     return j.select(F.col("o_orderkey").alias("row_id"), "o_orderstatus", "o_orderpriority",
                     "c_mktsegment", F.col("c_nationkey").cast("string").alias("c_nationkey"),
-                    "c_acctbal", "n_lines", "sum_qty", "avg_disc", "avg_tax", "o_totalprice")
+                    "c_acctbal", "n_lines", "sum_qty", "avg_disc", "avg_tax", "sum_price")

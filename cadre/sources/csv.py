@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,39 +11,58 @@ from pyspark.sql import types as T
 from cadre.functions.text import READ_NULL_TOKENS, norm_header
 from cadre.operators.clean import clean_frame
 
-OVERFLOW = "_overflow"
+MALFORMED = "_malformed"
 
 
 def _header(spark: SparkSession, path: str, sep: str) -> list[str]:
-    """Header names (the reader parses only the first line for this)."""
-    return spark.read.option("header", True).option("sep", sep).option("inferSchema", False) \
-        .option("multiLine", True).option("escape", '"').csv(path).columns
+    """Names of the raw first line (one row is read).
+
+    Spark would number repeated names (``PTG, PTG`` -> ``PTG0, PTG1``) and so
+    hide them; here the first keeps its name and later ones get ``.1``, ``.2``.
+    """
+    first = spark.read.text(path).limit(1).collect()
+    line = first[0]["value"].lstrip("\ufeff").rstrip("\r") if first else ""
+    names = next(csv.reader([line], delimiter=sep), [])
+    seen: dict[str, int] = {}
+    out = []
+    for n in map(norm_header, names):
+        k = seen.get(n, 0)
+        seen[n] = k + 1
+        out.append(f"{n}.{k}" if k else n)
+    return out
+
+
+def _n_fields(raw, sep: str):
+    """Fields of a raw record: separators outside quotes, plus one."""
+    bare = F.regexp_replace(raw, '"([^"]|"")*"', "")
+    return F.length(bare) - F.length(F.replace(bare, F.lit(sep))) + 1
 
 
 def read_dirty_csv(spark: SparkSession, path: str, sep: str = ",", null_tokens=READ_NULL_TOKENS,
-                   skip_overlong: bool = True, clean: bool = False) -> DataFrame:
-    """Every column as text, header normalised (NBSP -> space,
-    strip; Spark drops a UTF-8 BOM), quoted multi-line fields allowed.
-
-    * S2: rows with more fields than the header are skipped; short rows are
-      kept with nulls.  ``DROPMALFORMED`` would also drop the short rows,
-      so an extra trailing ``_overflow`` column catches surplus fields (a
-      row whose only surplus field is empty is not caught).
+                   skip_overlong: bool = True, clean: bool = False, multi_line: bool = False) -> DataFrame:
+    """Every column as text, header normalised (BOM dropped, NBSP ->
+    space, strip).
+
+    * ``multi_line``: quoted fields may hold line breaks; each file is then
+      one task, so it is off unless asked for.
+    * S2: rows with more fields than the header are skipped, even if the
+      surplus is empty; short rows are kept with nulls.  Spark hands out the
+      raw text of both kinds, and its fields are counted.
     * S3: the pandas default missing-value tokens become null.
     * ``clean``: also apply the full value clean (F1).
     """
     names = _header(spark, path, sep)
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names] +
-                          [T.StructField(OVERFLOW, T.StringType())])
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, MALFORMED]])
     df = (spark.read.schema(schema).option("header", True).option("enforceSchema", True)
-          .option("sep", sep).option("multiLine", True).option("escape", '"')
-          .option("mode", "PERMISSIVE").csv(path))
+          .option("sep", sep).option("multiLine", multi_line).option("escape", '"')
+          .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", MALFORMED)
+          .option("columnPruning", False).csv(path))
     if skip_overlong:
-        df = df.filter(F.col(OVERFLOW).isNull())
-    df = df.drop(OVERFLOW)
+        raw = F.col(MALFORMED)
+        df = df.filter(raw.isNull() | (_n_fields(raw, sep) <= len(names)))
     tokens = list(null_tokens)
     df = df.select(*[F.when(F.col(f"`{n}`").isin(tokens), F.lit(None).cast("string"))
-                     .otherwise(F.col(f"`{n}`")).alias(norm_header(n)) for n in names])
+                     .otherwise(F.col(f"`{n}`")).alias(n) for n in names])
     return clean_frame(df) if clean else df
 
 

@@ -6,13 +6,15 @@ def test_header_normalise_and_resolve(spark):
     df = spark.createDataFrame([(1, 2, 3)], "`Advisor ID ` int, `email` int, `PTG` int")
     n = columns.normalise_headers(df)
     assert n.columns == ["Advisor ID", "email", "PTG"]
-    assert columns.find_col(df.columns, ["advisor id"]) == "Advisor ID "
-    assert columns.find_col(["a", "A "], ["a"]) == "A "                 # last duplicate wins
-    assert columns.detect_emp_col(["x", "Game Changer Employee Number"]) == "Game Changer Employee Number"
-    assert columns.detect_emp_col(["My Employee Number (new)"]) == "My Employee Number (new)"
-    assert columns.detect_email_col(["Email Address"]) == "Email Address"
-    assert columns.detect_star_col(["latest star rating"]) == "latest star rating"
-    assert columns.detect_ptg_col(["Latest Weighted PTG"]) == "Latest Weighted PTG"
+    assert columns.resolve(df.columns, columns.NameRule(["advisor id"])) == "Advisor\u00a0ID "
+    assert columns.resolve(["a", "A "], columns.NameRule(["a"])) == "A "                 # last duplicate wins
+    assert columns.resolve(["x", "Game Changer Employee Number"], "employee") == "Game Changer Employee Number"
+    assert columns.resolve(["My Employee\u00a0Number (new)"], "employee") == "My Employee\u00a0Number (new)"
+    assert columns.resolve(["Emp No", "Advisor ID"], "employee") == "Advisor ID"          # candidate order, not table order
+    assert columns.resolve(["Email Address"], "email") == "Email Address"
+    assert columns.resolve(["latest star rating"], "star") == "latest star rating"
+    assert columns.resolve(["Latest Weighted PTG"], "ptg_target") == "Latest Weighted PTG"
+    assert columns.resolve(["x"], "star") is None
 
 
 def test_select_reindex_drop(spark):
@@ -28,15 +30,17 @@ def test_feature_sets():
             "dist_bucket", "Latest STAR Rating", "Role Type", "tenure_months", "Record ID"]
     flags = columns.flag_cols(cols)
     assert flags == ["L-English", "CL-PRC", "Tr-Bus"]
-    pre = columns.prehire_features(cols, flags)
+    pre = columns.feature_set(cols, "prehire", first=flags)
     # Tr-Bus, CL-PRC, GC Barangay and dist_bucket are on the always-drop list
     assert pre == ["L-English", "GC Region", "Site Distance", "cnt_L"]
-    plus = columns.prehire_features(cols, flags, include_onboarding=True)
+    plus = columns.feature_set(cols, "prehire", "onboarding", first=flags)
     assert plus[-2:] == ["Role Type", "tenure_months"]
-    kpi = columns.kpi_driver_features(["sc_avg_ptg", "QA_ptg_avg", "n_kpi_months", "Role Type", "x"])
+    kpi = columns.feature_set(["sc_avg_ptg", "QA_ptg_avg", "n_kpi_months", "Role Type", "x"], "kpi_driver")
     assert kpi == ["sc_avg_ptg", "QA_ptg_avg", "n_kpi_months", "Role Type"]
-    ex = columns.features_by_exclusion(cols, ["record id"], exclude_prefixes=["L-"])
-    assert "Record ID" not in ex and "L-English" not in ex
+    demo = columns.feature_set(cols, "demographic")
+    assert demo == ["GC Region", "Site Distance", "tenure_months"]
+    ex = columns.features_by_exclusion([*cols, "Hire Date", "_y", "GC City"])
+    assert ex == ["GC Region", "Site Distance", "Role Type", "tenure_months", "GC City"]
     shared, only = columns.shared_and_only(["a", "b", "c"], ["c", "d", "a"])
     assert shared == ["a", "c"] and only == ["d"]
 

@@ -9,13 +9,27 @@ from cadre.operators import explain, labels, metrics
 from cadre.operators.windows import running_sums
 
 
-def test_exact_quantiles_bracket_path_matches_percentile(spark):
+@pytest.mark.parametrize("ties", [0.0, 0.8])
+def test_exact_quantiles_match_percentile(spark, ties):
     rnd = random.Random(3)
-    vals = [(round(rnd.gauss(100, 20), 2),) for _ in range(5000)] + [(None,)]
+    vals = [(0.0 if rnd.random() < ties else round(rnd.gauss(100, 20), 2),) for _ in range(5000)] + [(None,)]
     df = spark.createDataFrame(vals, "v double")
-    n1, q1 = labels.exact_quantiles(df, "v", [1 / 3, 2 / 3])
-    n2, q2 = labels.exact_quantiles(df, "v", [1 / 3, 2 / 3], exact_limit=0, accuracy=500)
-    assert n1 == n2 == 5000 and q1 == pytest.approx(q2, abs=1e-9)
+    probs = [0.0, 1 / 3, 0.5, 2 / 3, 1.0]
+    n, q = labels.exact_quantiles(df, "v", probs)
+    want = df.agg(F.percentile("v", F.array(*[F.lit(p) for p in probs]))).first()[0]
+    assert n == 5000 and q == pytest.approx(want, abs=1e-9)
+    assert labels.exact_quantiles(df.where("v is null"), "v", [0.5])[0] == 0
+
+
+def test_buckets_stay_even_with_an_outlier(spark):
+    from cadre.operators.windows import bucket_of, quantile_edges
+    df = spark.range(20_000).selectExpr("id / 20000.0D AS v").union(spark.createDataFrame([(1e12,)], "v double"))
+    edges = quantile_edges(df, "v", 64)
+    n = [r["count"] for r in df.groupBy(bucket_of(F.col("v"), edges).alias("b")).count().collect()]
+    assert len(n) == 64 and max(n) <= 2 * sum(n) / len(n)
+    x = [edges[0] - 1, edges[0], edges[-1], float("inf"), -float("inf")]
+    got = [r[0] for r in spark.createDataFrame([(i, v) for i, v in enumerate(x)], "i int, v double").orderBy("i").select(bucket_of(F.col("v"), edges)).collect()]
+    assert got == [0, 1, len(edges), len(edges), 0]
 
 
 def test_tercile_guards(spark):

@@ -1,28 +1,9 @@
-"""Remaining helpers: streaming state compaction, schema -> StructType,
-CrossValidator-based tuning variant, lineage cut."""
+"""Remaining helpers: schema -> StructType, lineage cut."""
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cadre.operators import rollup, train
 from cadre.session import cut_lineage
 from cadre.sources import artifacts
-from cadre.streaming import kpi_stream
-
-SCHEMA = "advisor string, month string, metric string, score string, ptg string, wptg string"
-
-
-def test_compacted_state_gives_same_rollup(spark, tmp_path):
-    rows_ = [(f"A{i % 2}", f"2026-0{1 + i % 3}", f"m{i % 4}", str(i), str(95 + i % 10), "1") for i in range(24)]
-    df = spark.createDataFrame(rows_, SCHEMA)
-    state = tmp_path / "state"
-    rollup.kpi_grain(df.filter("metric = 'm0'")).write.parquet(str(state / "batch_id=0"))
-    rollup.kpi_grain(df.filter("metric <> 'm0'")).write.parquet(str(state / "batch_id=1"))
-    kpi_stream.compact_state(spark, str(state), str(tmp_path / "compact"))
-    compacted = rollup.rollup_from_grain(spark.read.parquet(str(tmp_path / "compact")))
-    assert sorted(map(tuple, compacted.collect())) == sorted(map(tuple, rollup.kpi_rollup(df).collect()))
-    assert sorted(map(tuple, kpi_stream.rollup_from_state(spark, str(state)).collect())) == \
-        sorted(map(tuple, rollup.kpi_rollup(df).collect()))
-
 
 def test_spark_schema_from_model_schema():
     feats = {"a": {"type": "binary", "values": [0, 1]}, "b": {"type": "numeric", "range": [0, 1]},
@@ -31,23 +12,9 @@ def test_spark_schema_from_model_schema():
     assert [f.dataType for f in st.fields] == [T.DoubleType(), T.DoubleType(), T.StringType()]
 
 
-def test_crossvalidator_variant_and_lineage_cut(spark):
+def test_lineage_cut(spark):
     rows_ = [(i, "a" if i % 2 else "b", float(i % 7), i % 3, i % 3) for i in range(90)]
     df = spark.createDataFrame(rows_, "row_id int, cat string, num double, label int, fold int") \
         .withColumn("weight", F.lit(1.0))
     cut = cut_lineage(df)
     assert cut.count() == 90
-    spec = train.FeatureSpec(categorical=["cat"], numeric=["num"])
-    model, maps, avg = train.tune_cv_builtin(spec, train.forest(numTrees=3, minInstancesPerNode=1), cut,
-                                             "fold", 3, n_trials=2, space={"maxDepth": ("int", 2, 3)})
-    assert len(avg) == 2 and model.transform(cut).count() == 90
-
-
-def test_spread_guard(spark):
-    from cadre.sources import tables
-    df = spark.range(100).coalesce(1)
-    assert tables.spread(df, size_bytes=10) is df                       # dimension-sized: untouched
-    spread = tables.spread(df, size_bytes=10 << 20)
-    assert spread.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    many = spark.range(100).repartition(spark.sparkContext.defaultParallelism + 2)
-    assert tables.spread(many, size_bytes=10 << 20) is many             # already split: untouched

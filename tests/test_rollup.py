@@ -35,11 +35,29 @@ def test_kpi_rollup_semantics(spark):
     assert z["A2"]["kpi_pct_above_target"] == 0.0
 
 
-def test_grain_merge_equals_single_pass(spark):
-    df = kpi_rows(spark)
-    a, b = df.filter(F.col("metric") == "QA"), df.filter(F.col("metric") != "QA")
-    merged = rollup.rollup_from_grain(rollup.merge_grain(rollup.kpi_grain(a).unionByName(rollup.kpi_grain(b))))
-    assert sorted(map(tuple, merged.collect())) == sorted(map(tuple, rollup.kpi_rollup(df).collect()))
+def test_blank_texts_are_no_month_and_no_metric(spark):
+    df = spark.createDataFrame([("A", "", "", "1", "1", "1"), ("A", None, "\u00a0", "2", None, None)], KPI_SCHEMA)
+    r = rollup.kpi_rollup(df).first()
+    assert r["n_kpi_months"] is None and r["n_kpi_metrics"] == 0 and r["kpi_avg_score"] == 1.5
+
+
+def test_person_features_keep_persons_without_top_metrics(spark):
+    df = spark.createDataFrame([("A", "2026-01", "m", "1", "2", "3"), ("A", "2026-01", "m", "3", "4", "5"),
+                                ("B", "2026-01", "other", "1", "1", "1"), (" ", "2026-01", "m", "9", "9", "9"),
+                                ("C", None, None, None, None, None)], KPI_SCHEMA)
+    rows = {r["advisor"]: r for r in rollup.person_features(df, n=1).collect()}
+    assert set(rows) == {"A", "B", "C"} and rows["A"]["m_score_avg"] == 2.0
+    assert rows["B"]["m_ptg_avg"] is None and rows["B"]["kpi_avg_ptg"] == 1.0 and rows["C"]["n_kpi_metrics"] == 0
+    # rows without a valid key do not choose the top metrics
+    more = spark.createDataFrame([("nan", "2026-01", "z", "1", "1", "1")] * 9, KPI_SCHEMA)
+    assert rollup.top_metric_list(df.union(more), n=1) == ["m"]
+
+
+def test_period_rollup_trims_and_joins_each_label_once(spark):
+    facts = spark.createDataFrame([("A", "2026-01", "m", "1", "2", "3"), ("A", "2026-03", "m", "1", "4", "5")], KPI_SCHEMA)
+    labels = spark.createDataFrame([(" A", "2026-03"), ("A", "2026-03"), ("A", "2026-01")], "advisor string, eval_month string")
+    got = {(r["advisor"], r["eval_month"]): (r["n_rows"], r["sum_wptg"]) for r in rollup.period_aligned_rollup(facts, labels).collect()}
+    assert got == {("A", "2026-03"): (2, 8.0), ("A", "2026-01"): (1, 3.0)}
 
 
 def test_top_metrics_tie_by_name_and_pivot_cap(spark):

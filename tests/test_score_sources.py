@@ -1,4 +1,4 @@
-"""Validation/scoring (K1, K2, K4, P12), sources and sinks (S1-S12), streaming."""
+"""Validation/scoring (K1, K2, K4, P12), sources and sinks."""
 import os
 
 import pytest
@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from cadre.operators import profile, score, train
 from cadre.sources import artifacts, csv
-from cadre.streaming import kpi_stream
 
 SCHEMA = {"ChS-big": "binary", "Site Distance": "numeric", "GC Region": "categorical"}
 
@@ -109,20 +108,3 @@ def test_reports_and_exports(spark, tmp_path):
     c = spark.createDataFrame([(1, "a", 0, 0.1)], "row_id int, feature string, class int, contribution double")
     artifacts.export_explanations(c, c.select("feature"), str(tmp_path / "exp"), {"n": 1})
     assert os.path.isdir(tmp_path / "exp" / "contributions" / "class=0")
-
-
-def test_streaming_ingest_equals_batch(spark, tmp_path):
-    from cadre.operators import rollup
-    schema = "advisor string, month string, metric string, score string, ptg string, wptg string"
-    rows_ = [(f"A{i % 3}", f"2026-0{1 + i % 4}", f"m{i % 5}", str(i), str(90 + i % 20), str(i % 4))
-             for i in range(60)]
-    src = tmp_path / "src"
-    spark.createDataFrame(rows_[:30], schema).write.parquet(str(src / "c1"))
-    spark.createDataFrame(rows_[30:], schema).write.parquet(str(src / "c2"))
-    q = kpi_stream.start_kpi_ingest(spark, str(src) + "/*", spark.createDataFrame([], schema).schema,
-                                    str(tmp_path / "state"), str(tmp_path / "ckpt"),
-                                    options={"maxFilesPerTrigger": 1})
-    q.awaitTermination(120)
-    got = sorted(map(tuple, kpi_stream.rollup_from_state(spark, str(tmp_path / "state")).collect()))
-    want = sorted(map(tuple, rollup.kpi_rollup(spark.createDataFrame(rows_, schema)).collect()))
-    assert got == want
