@@ -14,8 +14,8 @@ Signatures are cut into bands.  In each band's bucket one document leads: the
 one that shares its bands with the most others, which in a group of copies is
 the text they come from.  Documents are compared with their leader, first by
 signature, then exactly, and those that are not near it go on to another round
-among themselves, until no bucket has two left.  So a bucket of n copies costs
-n comparisons, not n ** 2.  Links join documents into groups; equal texts are grouped by their hash before
+(there with a few leaders each), until no bucket has two left.  So a bucket of
+n copies costs n comparisons, not n ** 2.  Links join documents into groups; equal texts are grouped by their hash before
 any of this and compared once.
 
 Defined cases: null and empty texts have no element, are equal to each other
@@ -41,6 +41,8 @@ WORDS = 5
 SIMILAR = 0.8
 BANDS, ROWS = 24, 6
 COORDS = BANDS * ROWS
+#: Leaders of a bucket after the first round, whose buckets hold what is near no leader yet.
+MORE_LEADERS = 8
 #: Signatures that agree in a smaller share are not compared exactly: five
 #: standard deviations below SIMILAR.
 LEAST_AGREEMENT = SIMILAR - 5 * float(np.sqrt(SIMILAR * (1 - SIMILAR) / COORDS))
@@ -173,16 +175,18 @@ def _near(pairs: DataFrame) -> DataFrame:
     return pairs.select("id", "lead", "text", "lead_text").mapInArrow(run, schema)
 
 
-def _led(entries: DataFrame) -> DataFrame:
-    """(band, id, lead) of every entry that does not lead its bucket."""
+def _led(entries: DataFrame, leaders: int) -> DataFrame:
+    """(band, id, lead): every entry with each of its bucket's (at most
+    ``leaders``) leaders but itself."""
     sizes = written(entries.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "minhash-sizes")
     shared = written(entries.join(sizes, "band"), "minhash-shared")
     # tables that are joined are written first: the join can then split the rows of one key
     weight = written(shared.groupBy("id").agg(F.sum("n").alias("w")), "minhash-weights")
     first = F.max(F.struct(F.col("w"), F.bitwise_not("id").alias("other")))
-    leaders = written(shared.join(weight, "id").groupBy("band").agg(first.alias("x"))
-                      .select("band", F.bitwise_not("x.other").alias("lead")), "minhash-leaders")
-    return shared.join(leaders, "band").where("id <> lead").select("band", "id", "lead")
+    group = F.pmod(F.xxhash64("id"), F.lit(leaders)).alias("g")
+    lead = written(shared.join(weight, "id").groupBy("band", group).agg(first.alias("x"))
+                   .select("band", F.bitwise_not("x.other").alias("lead")), "minhash-leaders")
+    return shared.join(lead, "band").where("id <> lead").select("band", "id", "lead")
 
 
 def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
@@ -194,7 +198,7 @@ def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
     entries = signed.select("id", F.explode("bands").alias("band"))
     sigs = signed.select("id", "sig")
     found, failed, texts = [], [], None
-    while not (led := written(_led(entries), "minhash-led")).isEmpty():
+    while not (led := written(_led(entries, MORE_LEADERS if failed else 1), "minhash-led")).isEmpty():
         pairs = led.select("id", "lead").distinct()
         if failed:
             pairs = pairs.join(spark.read.schema(pair).parquet(*failed), ["id", "lead"], "left_anti")
@@ -214,8 +218,9 @@ def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
         near = spark.read.schema(pair).parquet(*found) if found else spark.createDataFrame([], pair)
         failed.append(f"{path}/far-{turn}")
         pairs.join(near, ["id", "lead"], "left_anti").write.parquet(failed[-1])
-        # in each bucket, the documents that are not near its leader go on without it
-        entries = written(led.join(near, ["id", "lead"], "left_anti").select("id", "band"), "minhash-left")
+        # in each bucket, the documents that are near none of its leaders go on without them
+        done = led.join(near, ["id", "lead"], "left_semi").select("id", "band").union(led.select(F.col("lead").alias("id"), "band"))
+        entries = written(led.select("id", "band").distinct().join(done, ["id", "band"], "left_anti"), "minhash-left")
     return spark.read.schema(pair).parquet(*found) if found else spark.createDataFrame([], pair)
 
 
@@ -252,7 +257,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     member = written(signed.select("id", "h1", "h2").join(texts, ["h1", "h2"]).select("id", "rep").distinct(), "minhash-members")
     reps = signed.join(texts.withColumnRenamed("rep", "id"), ["id", "h1", "h2"], "left_semi").dropDuplicates(["id", "h1", "h2"])
     reps = written(reps.select("id", "sig", "bands"), "minhash-firsts")
-    near = written(links(thin, reps).distinct(), "minhash-edges")
+    near = links(thin, reps).select(F.greatest("id", "lead").alias("id"), F.least("id", "lead").alias("lead"))
+    near = written(near.distinct(), "minhash-edges")
     root = components(near.union(member.select("id", F.col("rep").alias("lead"))))
     degree = near.select("id").union(near.select(F.col("lead").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
     own = member.groupBy("id").agg(F.min("rep").alias("rep")).join(degree.withColumnRenamed("id", "rep"), "rep", "left")
