@@ -168,7 +168,7 @@ def permute_column(spark, d):
     return split.permute_columns(o, ["x"], "o_orderkey")
 
 
-@register("score_linear_batch", f"""
+_LINEAR_SQL = f"""
 WITH {V.PRED},
 s AS (SELECT row_id, label, p0, p1, p2, coalesce(CASE WHEN row_id % 10 = 0 THEN NULL ELSE p0 END, 0.0) AS x FROM pred),
 m AS (SELECT label, avg(x) AS mx FROM s GROUP BY label),
@@ -179,7 +179,10 @@ SELECT row_id, CASE WHEN e0 >= e1 AND e0 >= e2 THEN 'At-Risk' WHEN e1 >= e2 THEN
        {V.r6('e0 / (e0 + e1 + e2)')} AS p_at_risk, {V.r6('e1 / (e0 + e1 + e2)')} AS p_developing,
        {V.r6('e2 / (e0 + e1 + e2)')} AS p_high_performer
 FROM e
-""")
+"""
+
+
+@register("score_linear_batch", _LINEAR_SQL)
 def score_linear_batch(spark, d):
     """A whole all-text batch validated and scored through a saved
     and reloaded model whose coefficients are the class means of one feature
@@ -205,3 +208,21 @@ def score_linear_batch(spark, d):
     batch = score.validate_rows(raw, {f: "numeric" for f in meta["features"]}, keep=["row_id"])
     out = score.score_batch(model, batch, labels=TIER_LABELS)
     return rounded(out.select("row_id", "predicted_tier", "p_at_risk", "p_developing", "p_high_performer"))
+
+
+@register("scored_linear_summary", f"""
+WITH scored AS ({_LINEAR_SQL}),
+t AS (SELECT unnest(['At-Risk', 'Developing', 'High Performer']) AS tier)
+SELECT 'count' AS part, t.tier, count(s.row_id) AS n, CAST(NULL AS BIGINT) AS row_id, CAST(NULL AS DOUBLE) AS p_at_risk
+FROM t LEFT JOIN scored s ON s.predicted_tier = t.tier GROUP BY t.tier
+UNION ALL SELECT 'by_risk', predicted_tier, NULL, row_id, p_at_risk FROM scored
+""")
+def scored_linear_summary(spark, d):
+    """The scored batch's rows per tier (0 for a tier that is never
+    predicted) and all its rows by P(at-risk)."""
+    s = score_linear_batch(spark, d)
+    counts = score.tier_counts(s).select(F.lit("count").alias("part"), "tier", "n", F.lit(None).cast("bigint").alias("row_id"),
+                                         F.lit(None).cast("double").alias("p_at_risk"))
+    rows = score.rank_by_risk(s).select(F.lit("by_risk").alias("part"), F.col("predicted_tier").alias("tier"),
+                                        F.lit(None).cast("bigint").alias("n"), "row_id", "p_at_risk")
+    return counts.unionByName(rows)

@@ -151,5 +151,5 @@ def order_features(spark: SparkSession, d: str) -> DataFrame:
     j = (o.join(li, o.o_orderkey == li.l_orderkey, "left")
          .join(c, o.o_custkey == c.c_custkey, "left"))
     return j.select(F.col("o_orderkey").alias("row_id"), "o_orderstatus", "o_orderpriority",
-                    "c_mktsegment", F.col("c_nationkey").cast("string").alias("c_nationkey"),
+                    "c_mktsegment", F.concat(F.lit("N"), F.col("c_nationkey").cast("string")).alias("c_nationkey"),
                     "c_acctbal", "n_lines", "sum_qty", "avg_disc", "avg_tax", "sum_price")

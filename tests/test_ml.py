@@ -46,3 +46,38 @@ def test_latest_period_rows(spark):
                                 ("B", None, 4), ("B", "2025-12", 5)], "advisor string, month string, v int")
     got = sorted(r["v"] for r in rollup.latest_period_rows(df).collect())
     assert got == [2, 3, 5]
+
+
+def test_models_learn_a_table_with_signal(spark):
+    from cadre.plans import catalog
+    catalog.load_all()
+    d = "/root/testdata/sf0.001"
+    f = catalog.QUERIES["train_forest"](spark, d).first()
+    assert f["accuracy"] > f["baseline_accuracy"] + 0.2
+    lr = catalog.QUERIES["train_logreg"](spark, d)
+    ev = lr.where("model is not null").first()
+    assert ev["accuracy"] > ev["baseline_accuracy"] + 0.2
+    up = {r["class"]: r["feature"] for r in lr.where("direction = 'up' and rank = 1").collect()}
+    assert up[2] in ("n_lines", "sum_qty")  # the top tier is the orders with most lines and units
+    imp = {r["feature"]: r["importance"] for r in catalog.QUERIES["permutation_importance"](spark, d).collect()}
+    assert max(imp, key=imp.get) in ("n_lines", "sum_qty") and max(imp.values()) > 0.05
+
+
+def test_permutation_moves_rows_and_keeps_values(spark):
+    from collections import Counter
+
+    from cadre.operators import split
+    df = spark.range(5000).selectExpr("id", "CASE WHEN id % 5 = 0 THEN NULL ELSE id * 10 END AS x")
+    rows = split.permute_columns(df, ["x"], "id").collect()
+    assert Counter(r["x"] for r in rows) == Counter(r["perm_x"] for r in rows) and len(rows) == 5000
+    assert sum(r["x"] is not None and r["x"] == r["perm_x"] for r in rows) == 0
+    assert [r["perm_x"] for r in split.permute_columns(spark.range(1).selectExpr("id", "id AS x"), ["x"], "id").collect()] == [0]
+
+
+def test_seeds_give_different_splits(spark):
+    from cadre.operators import split
+    df = spark.range(20_000).selectExpr("id", "id % 3 AS label")
+    a = split.stratified_split(df, "label", "id", 0.2, None, seed=42).select("id", F.col("split").alias("a"))
+    b = split.stratified_split(df, "label", "id", 0.2, None, seed=43).select("id", F.col("split").alias("b"))
+    same = a.join(b, "id").where("a = b").count() / 20_000
+    assert 0.66 < same < 0.70  # 0.8 ** 2 + 0.2 ** 2
