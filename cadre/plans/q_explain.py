@@ -101,6 +101,28 @@ def group_contributions(spark, d):
     return rounded(explain.group_contributions(_contrib(spark, d), "row_id", KPI_GROUPS))
 
 
+@register("explanation_samples", f"""
+WITH {V.EXPLAIN},
+share AS (SELECT class, count(*) / CAST((SELECT count(*) FROM sp WHERE split = 'train') AS DOUBLE) AS p
+          FROM sp WHERE split = 'train' GROUP BY class),
+g AS (SELECT row_id, {_group_sql()} AS "group", class, sum(contribution) AS c FROM contrib GROUP BY 1, 2, 3)
+SELECT g.row_id, CAST(sp.class AS INTEGER) AS actual, CAST(g.class AS INTEGER) AS class,
+       {R('ln(least(greatest(share.p, CAST(1e-9 AS DOUBLE)), 1.0))')} AS base_log_odds, g."group", {R('g.c')} AS contribution
+FROM g JOIN sp ON g.row_id = sp.row_id JOIN share ON share.class = g.class
+""")
+def explanation_samples(spark, d):
+    """The explained advisors' actual class, base log-odds (of the training
+    shares) and summed contributions per feature group."""
+    coefs, means, test = views.kpi_model(spark, d)
+    split = views.advisor_split(spark, d)
+    counts = {r["class"]: r["count"] for r in split.where("split = 'train'").groupBy("class").count().collect()}
+    n = sum(counts.values())
+    pred = split.where("split = 'test'").select("row_id", F.col("class").cast("int").alias("label"),
+                                                *[F.lit(counts.get(c, 0) / n).alias(f"p{c}") for c in range(3)])
+    contrib = explain.linear_contributions(test, coefs, "row_id", baseline=means)
+    return rounded(explain.sample_table(pred, contrib, ["p0", "p1", "p2"], groups=KPI_GROUPS))
+
+
 @register("coef_topk", f"""
 WITH {V.EXPLAIN},
 r AS (SELECT class, feature, coef,
