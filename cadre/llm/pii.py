@@ -107,6 +107,17 @@ def script_of(word: str) -> str:
     return "LATIN"
 
 
+_DIGIT = re.compile(r"\d")
+_TITLE_WORDS = sorted(TITLES)
+_GIVEN_WORDS = sorted(GENDER)
+
+
+def _kinds(text: str) -> list[str]:
+    """Kinds of ``PATTERNS`` whose matches the text's characters allow."""
+    number = _DIGIT.search(text) is not None
+    return [k for k in PATTERNS if ("@" in text if k == "email" else number or (k == "secret" and ("=" in text or ":" in text)))]
+
+
 def _canonical(kind: str, text: str) -> tuple[str, str]:
     digits = re.sub(r"\D", "", text)
     if kind == "email":
@@ -137,13 +148,16 @@ def _named(text: str) -> Iterator[Mention]:
             shown = gender if not family or script in ("CYRILLIC", "GREEK") else "N"
             yield Mention(a, a + len(w), f"{'family' if family else 'given'} {script} {shown}", w.casefold())
 
-    for m in _TITLED.finditer(text):
+    # the patterns are only tried on texts that hold one of their fixed words
+    titled = _TITLED.finditer(text) if any(w in text for w in _TITLE_WORDS) else ()
+    given = _KNOWN.finditer(text) if any(w in text for w in _GIVEN_WORDS) else ()
+    for m in titled:
         known = next((GENDER[w] for w in m["v"].split(" ") if w in GENDER), "N")
         yield from words(m, TITLES[m["t"]] if TITLES[m["t"]] != "N" else known)
-    for m in _KNOWN.finditer(text):
+    for m in given:
         if len(m["v"].split(" ")) > 1 and m["v"].split(" ")[1][0].isupper():
             yield from words(m, GENDER[m["v"].split(" ")[0]])
-    for m in _CJK.finditer(text):
+    for m in () if text.isascii() else _CJK.finditer(text):
         gender = "M" if m["t"] == "先生" else "F"
         a, b = m.span("v")
         yield Mention(a, a + 1, "family CJK N", m["v"][0])
@@ -160,10 +174,8 @@ def detect(text: str) -> list[Mention]:
             taken.append((m.start, m.end))
             found.append(m)
 
-    for kind, pattern in PATTERNS.items():
-        if kind == "email" and "@" not in text:
-            continue
-        for m in pattern.finditer(text):
+    for kind in _kinds(text):
+        for m in PATTERNS[kind].finditer(text):
             group = next((g for g in ("v", "w") if m.groupdict().get(g)), 0)
             add(Mention(*m.span(group), *_canonical(kind, m[group])))
     names = list(_named(text))
