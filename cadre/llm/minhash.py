@@ -175,18 +175,22 @@ def _near(pairs: DataFrame) -> DataFrame:
     return pairs.select("id", "lead", "text", "lead_text").mapInArrow(run, schema)
 
 
-def _led(entries: DataFrame, leaders: int) -> DataFrame:
-    """(band, id, lead): every entry with each of its bucket's (at most
-    ``leaders``) leaders but itself."""
+def _first_leaders(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The entries of buckets of two or more, and (band, lead): in each the
+    document that shares its bands with the most others."""
+    # tables that are joined are written first: the join can then split the rows of one key
     sizes = written(entries.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "minhash-sizes")
     shared = written(entries.join(sizes, "band"), "minhash-shared")
-    # tables that are joined are written first: the join can then split the rows of one key
     weight = written(shared.groupBy("id").agg(F.sum("n").alias("w")), "minhash-weights")
     first = F.max(F.struct(F.col("w"), F.bitwise_not("id").alias("other")))
-    group = F.pmod(F.xxhash64("id"), F.lit(leaders)).alias("g")
-    lead = written(shared.join(weight, "id").groupBy("band", group).agg(first.alias("x"))
-                   .select("band", F.bitwise_not("x.other").alias("lead")), "minhash-leaders")
-    return shared.join(lead, "band").where("id <> lead").select("band", "id", "lead")
+    lead = shared.join(weight, "id").groupBy("band").agg(first.alias("x")).select("band", F.bitwise_not("x.other").alias("lead"))
+    return shared.select("id", "band"), lead
+
+
+def _more_leaders(entries: DataFrame) -> DataFrame:
+    """(band, lead): a few documents of each bucket, one for each residue of a hash."""
+    group = F.pmod(F.xxhash64("id"), F.lit(MORE_LEADERS)).alias("g")
+    return entries.groupBy("band", group).agg(F.min("id").alias("lead")).select("band", "lead")
 
 
 def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
@@ -195,32 +199,38 @@ def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     path = scratch_path(spark, "minhash-links")
     pair = "id long, lead long"
-    entries = signed.select("id", F.explode("bands").alias("band"))
-    sigs = signed.select("id", "sig")
-    found, failed, texts = [], [], None
-    while not (led := written(_led(entries, MORE_LEADERS if failed else 1), "minhash-led")).isEmpty():
+    entries, lead = _first_leaders(signed.select("id", F.explode("bands").alias("band")))
+    sigs, texts = signed.select("id", "sig"), None
+    found: list[str] = []
+    tried: list[str] = []
+    while True:
+        lead = written(lead, "minhash-leaders")
+        led = written(entries.join(lead, "band").where("id <> lead").select("band", "id", "lead"), "minhash-led")
+        if led.isEmpty():
+            break
         pairs = led.select("id", "lead").distinct()
-        if failed:
-            pairs = pairs.join(spark.read.schema(pair).parquet(*failed), ["id", "lead"], "left_anti")
-        pairs = written(pairs, "minhash-pairs")
+        if tried:
+            pairs = pairs.join(spark.read.schema(pair).parquet(*tried), ["id", "lead"], "left_anti")
+        tried.append(f"{path}/tried-{len(tried)}")
+        pairs.write.parquet(tried[-1])
+        pairs = spark.read.schema(pair).parquet(tried[-1])
         if texts is None:  # later rounds ask for no other documents
             ids = written(pairs.select("id").union(pairs.select("lead")).distinct(), "minhash-ids")
             sigs = written(sigs.join(ids, "id", "left_semi"), "minhash-sigs")
-        close = _agreeing(pairs.join(sigs, "id").join(sigs.select(F.col("id").alias("lead"), F.col("sig").alias("lead_sig")), "lead"))
-        close = written(close, "minhash-close")
-        turn = len(failed)
-        if texts is None:
             texts = written(docs.join(ids, "id", "left_semi").dropDuplicates(["id"]), "minhash-texts")
+        close = written(_agreeing(pairs.join(sigs, "id").join(
+            sigs.select(F.col("id").alias("lead"), F.col("sig").alias("lead_sig")), "lead")), "minhash-close")
         if not close.isEmpty():
             both = close.join(texts, "id").join(texts.select(F.col("id").alias("lead"), F.col("text").alias("lead_text")), "lead")
-            found.append(f"{path}/near-{turn}")
+            found.append(f"{path}/near-{len(tried)}")
             _near(both).write.parquet(found[-1])
-        near = spark.read.schema(pair).parquet(*found) if found else spark.createDataFrame([], pair)
-        failed.append(f"{path}/far-{turn}")
-        pairs.join(near, ["id", "lead"], "left_anti").write.parquet(failed[-1])
         # in each bucket, the documents that are near none of its leaders go on without them
-        done = led.join(near, ["id", "lead"], "left_semi").select("id", "band").union(led.select(F.col("lead").alias("id"), "band"))
+        done = lead.select(F.col("lead").alias("id"), "band")
+        if found:
+            near = spark.read.schema(pair).parquet(*found)
+            done = done.union(led.join(near, ["id", "lead"], "left_semi").select("id", "band"))
         entries = written(led.select("id", "band").distinct().join(done, ["id", "band"], "left_anti"), "minhash-left")
+        lead = _more_leaders(entries)
     return spark.read.schema(pair).parquet(*found) if found else spark.createDataFrame([], pair)
 
 
@@ -231,19 +241,25 @@ def components(edges: DataFrame) -> DataFrame:
     rounds logarithmic in a component's size and never gather a component.
     """
     e = written(edges.select(F.greatest("id", "lead").alias("u"), F.least("id", "lead").alias("v")).where("u > v").distinct(), "cc")
-    state = None
-    while True:
+    while not _stars(e):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = written(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "cc-large")
+        # written, so that the join can split the edges of one node
+        low = written(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "cc-least")
         # every larger neighbour of u is tied to the smallest id around u
         e = written(both.join(low, "u").where("v > u and v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "cc")
-        low = written(e.groupBy("u").agg(F.min("v").alias("m")), "cc-small")
-        tied = e.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x"))
+        # every smaller neighbour, and u, to the smallest: a node has few smaller ones by now
+        tied = e.join(e.groupBy("u").agg(F.min("v").alias("m")), "u").select(F.explode(F.array(
+            F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x"))
         e = written(tied.select("x.u", "x.v").where("u > v").distinct(), "cc")
-        now = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if state == now:
-            return e.select(F.col("u").alias("id"), F.col("v").alias("root"))
-        state = now
+    return e.select(F.col("u").alias("id"), F.col("v").alias("root"))
+
+
+def _stars(e: DataFrame) -> bool:
+    """Whether each edge's larger end has one edge and its smaller end none upwards."""
+    kinds = e.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(
+        e.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    per = kinds.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return per.where("up > 1 or (up > 0 and down > 0)").isEmpty()
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
