@@ -14,8 +14,9 @@ Signatures are cut into bands.  In each band's bucket one document leads: the
 one that shares its bands with the most others, which in a group of copies is
 the text they come from.  Documents are compared with their leader, first by
 signature, then exactly, and those that are not near it go on to another round
-(there with a few leaders each), until no bucket has two left.  So a bucket of
-n copies costs n comparisons, not n ** 2.  Links join documents into groups; equal texts are grouped by their hash before
+in finer buckets, split by more of their coordinates, until no bucket has two
+left.  So a bucket of n copies costs n comparisons, not n ** 2, and one of n
+texts that merely share a passage falls apart.  Links join documents into groups; equal texts are grouped by their hash before
 any of this and compared once.
 
 Defined cases: null and empty texts have no element, are equal to each other
@@ -27,6 +28,7 @@ ties go to the smallest id; other columns travel unchanged through
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,14 +37,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadre.llm.common import free_name, narrow, scratch_path, whole, written
+from cadre.llm.common import free_name, maybe_broadcast, narrow, scratch_path, whole, written
 
 WORDS = 5
 SIMILAR = 0.8
-BANDS, ROWS = 24, 6
-COORDS = BANDS * ROWS
-#: Leaders of a bucket after the first round, whose buckets hold what is near no leader yet.
-MORE_LEADERS = 8
+COORDS = 120
+#: Bands over the first coordinates: texts of similarity 0.8 share one of the
+#: 12 with probability 0.998.
+BANDS, ROWS = 12, 4
+#: Ids of compared documents are broadcast up to this number, else joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+#: After each round the buckets that are left are split by this many more
+#: coordinates, in 8 ways after the first round, 4 after the second, then 2.
+FINER_COORDS, FINER_WAYS = 5, (8, 4, 2)
 #: Signatures that agree in a smaller share are not compared exactly: five
 #: standard deviations below SIMILAR.
 LEAST_AGREEMENT = SIMILAR - 5 * float(np.sqrt(SIMILAR * (1 - SIMILAR) / COORDS))
@@ -136,7 +143,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 if not len(sig):
                     bands.append([])
                     continue
-                rows = sig.reshape(BANDS, ROWS).astype(np.uint64)
+                rows = sig[:BANDS * ROWS].reshape(BANDS, ROWS).astype(np.uint64)
                 band = np.arange(1, BANDS + 1, dtype=np.uint64)
                 for j in range(ROWS):
                     band = _mix(band * _G + rows[:, j])
@@ -175,22 +182,31 @@ def _near(pairs: DataFrame) -> DataFrame:
     return pairs.select("id", "lead", "text", "lead_text").mapInArrow(run, schema)
 
 
-def _first_leaders(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The entries of buckets of two or more, and (band, lead): in each the
-    document that shares its bands with the most others."""
+def _weighted(entries: DataFrame) -> DataFrame:
+    """The entries (id, band) of buckets of two or more, with the weight of
+    their document: how many others, counted per band, share its bands."""
     # tables that are joined are written first: the join can then split the rows of one key
     sizes = written(entries.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "minhash-sizes")
     shared = written(entries.join(sizes, "band"), "minhash-shared")
     weight = written(shared.groupBy("id").agg(F.sum("n").alias("w")), "minhash-weights")
-    first = F.max(F.struct(F.col("w"), F.bitwise_not("id").alias("other")))
-    lead = shared.join(weight, "id").groupBy("band").agg(first.alias("x")).select("band", F.bitwise_not("x.other").alias("lead"))
-    return shared.select("id", "band"), lead
+    return written(shared.join(weight, "id").select("id", "band", "w"), "minhash-weighted")
 
 
-def _more_leaders(entries: DataFrame) -> DataFrame:
-    """(band, lead): a few documents of each bucket, one for each residue of a hash."""
-    group = F.pmod(F.xxhash64("id"), F.lit(MORE_LEADERS)).alias("g")
-    return entries.groupBy("band", group).agg(F.min("id").alias("lead")).select("band", "lead")
+def _leaders(entries: DataFrame) -> DataFrame:
+    """(band, lead) of the buckets of two or more: the document of the largest
+    weight, ties to the smallest id."""
+    first = F.max(F.struct(F.col("w"), F.bitwise_not("id").alias("other"))).alias("x")
+    lead = entries.groupBy("band").agg(first, F.count(F.lit(1)).alias("n"))
+    return lead.where("n > 1").select("band", F.bitwise_not("x.other").alias("lead"))
+
+
+def _finer(entries: DataFrame, sigs: DataFrame, level: int) -> DataFrame:
+    """Entries of finer buckets: each bucket is split by more coordinates of
+    the signature, in several ways, so that similar texts share one again."""
+    pick = random.Random(level)
+    ways = [sorted(pick.sample(range(COORDS), FINER_COORDS)) for _ in range(FINER_WAYS[min(level, len(FINER_WAYS)) - 1])]
+    keys = F.array(*[F.xxhash64("band", F.lit(i), *[F.substring("sig", 4 * c + 1, 4) for c in way]) for i, way in enumerate(ways)])
+    return entries.join(sigs, "id").select("id", "w", F.explode(keys).alias("band"))
 
 
 def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
@@ -199,13 +215,13 @@ def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     path = scratch_path(spark, "minhash-links")
     pair = "id long, lead long"
-    entries, lead = _first_leaders(signed.select("id", F.explode("bands").alias("band")))
+    entries = _weighted(signed.select("id", F.explode("bands").alias("band")))
     sigs, texts = signed.select("id", "sig"), None
     found: list[str] = []
     tried: list[str] = []
     while True:
-        lead = written(lead, "minhash-leaders")
-        led = written(entries.join(lead, "band").where("id <> lead").select("band", "id", "lead"), "minhash-led")
+        lead = written(_leaders(entries), "minhash-leaders")
+        led = written(entries.join(lead, "band").where("id <> lead").select("band", "id", "w", "lead"), "minhash-led")
         if led.isEmpty():
             break
         pairs = led.select("id", "lead").distinct()
@@ -216,8 +232,9 @@ def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
         pairs = spark.read.schema(pair).parquet(tried[-1])
         if texts is None:  # later rounds ask for no other documents
             ids = written(pairs.select("id").union(pairs.select("lead")).distinct(), "minhash-ids")
-            sigs = written(sigs.join(ids, "id", "left_semi"), "minhash-sigs")
-            texts = written(docs.join(ids, "id", "left_semi").dropDuplicates(["id"]), "minhash-texts")
+            some = maybe_broadcast(ids, BROADCAST_IDS)  # then neither texts nor signatures move
+            sigs = written(sigs.join(some, "id", "left_semi"), "minhash-sigs")
+            texts = written(docs.join(some, "id", "left_semi").dropDuplicates(["id"]), "minhash-texts")
         close = written(_agreeing(pairs.join(sigs, "id").join(
             sigs.select(F.col("id").alias("lead"), F.col("sig").alias("lead_sig")), "lead")), "minhash-close")
         if not close.isEmpty():
@@ -229,8 +246,8 @@ def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
         if found:
             near = spark.read.schema(pair).parquet(*found)
             done = done.union(led.join(near, ["id", "lead"], "left_semi").select("id", "band"))
-        entries = written(led.select("id", "band").distinct().join(done, ["id", "band"], "left_anti"), "minhash-left")
-        lead = _more_leaders(entries)
+        left = written(led.select("id", "band", "w").distinct().join(done, ["id", "band"], "left_anti"), "minhash-left")
+        entries = written(_finer(left, sigs, len(tried)), "minhash-finer")
     return spark.read.schema(pair).parquet(*found) if found else spark.createDataFrame([], pair)
 
 
