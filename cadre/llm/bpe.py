@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cadre.llm.common import SPACE, free_name, top_counts, whole, written
+from cadre.llm.common import SPACE, free_name, text_parts, top_counts, whole, written
 
 #: Words in the lexicon, characters encoded at a time, words remembered by a worker.
 LEXICON_WORDS = 1 << 16
@@ -464,18 +464,6 @@ def _encoder(path: str, lexicon: bytes) -> Encoder:
     return _encoders[key]
 
 
-def _chunks(texts: list[str]) -> Iterator[list[str]]:
-    part, size = [], 0
-    for t in texts:
-        part.append(t)
-        size += len(t)
-        if size >= CHUNK:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
-
-
 def encode(docs: DataFrame, path: str, text_col: str = "text", out: str = "ids",
            lexicon_words: int = LEXICON_WORDS) -> DataFrame:
     """``docs`` with the ids of its text in column ``out`` (array of int)."""
@@ -487,13 +475,11 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", out: str = "ids",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(path, lexicon.value)
         for b in batches:
-            done = 0
-            for part in _chunks([t or "" for t in b.column(at).to_pylist()]):
-                ids = enc.encode(part)
+            for start, part in text_parts(b, at, CHUNK):
+                ids = enc.encode([t or "" for t in part])
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 col = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids), pa.int32()))
-                rows = b.slice(done, len(part))
-                done += len(part)
+                rows = b.slice(start, len(part))
                 yield pa.RecordBatch.from_arrays([*rows.columns, col], names=names)
 
     return docs.mapInArrow(run, schema)

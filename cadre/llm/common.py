@@ -7,6 +7,9 @@ import tempfile
 import uuid
 import zipfile
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -107,3 +110,19 @@ def top_counts(counts: DataFrame, size: int, key: str = "w", n: str = "n") -> li
     if least is None:
         return []
     return [tuple(r) for r in counts.where(step >= least).orderBy(F.desc(n), key).limit(size).select(key, n).collect()]
+
+
+def text_parts(batch: pa.RecordBatch, column: str | int, chars: int) -> Iterator[tuple[int, list[str | None]]]:
+    """(first row, texts) of about ``chars`` characters each: of a batch, only
+    that much is held as Python strings at a time."""
+    col = batch.column(column)
+    start, part, size = 0, [], 0
+    for lo in range(0, len(col), 64):
+        for t in col.slice(lo, 64).to_pylist():
+            part.append(t)
+            size += len(t or "")
+            if size >= chars:
+                yield start, part
+                start, part, size = start + len(part), [], 0
+    if part:
+        yield start, part

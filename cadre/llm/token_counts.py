@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
-from cadre.llm.common import narrow, scratch_path, whole, written
+from cadre.llm.common import narrow, scratch_path, text_parts, whole, written
 
 CACHE = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("n_tokens", T.LongType())])
 #: Characters given to the encoder at a time.
@@ -56,24 +56,12 @@ def _counter(path: str):
     return _loaded[path]
 
 
-def _chunks(texts: list[str]) -> Iterator[list[str]]:
-    part, size = [], 0
-    for t in texts:
-        part.append(t)
-        size += len(t)
-        if size >= CHUNK:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
-
-
 def encode_misses(misses: DataFrame, tokenizer: str) -> DataFrame:
     """(digest, n_tokens) of rows (digest, text)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = _counter(tokenizer)
         for b in batches:
-            n = [x for part in _chunks(b.column("text").to_pylist()) for x in count(part)]
+            n = [x for _, part in text_parts(b, "text", CHUNK) for x in count(part)]
             yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array(n, pa.int64())], names=["digest", "n_tokens"])
     return misses.select("digest", "text").mapInArrow(run, CACHE)
 
