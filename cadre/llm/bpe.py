@@ -41,7 +41,7 @@ from cadre.llm.common import SPACE, free_name, text_parts, top_counts, whole, wr
 #: Words in the lexicon, characters encoded at a time, words remembered by a worker.
 LEXICON_WORDS = 1 << 16
 CHUNK = 1 << 21
-MEMO = 500_000
+MEMO = 200_000
 #: Words longer than this many bytes are merged one by one with a heap.
 WIDE = 32
 

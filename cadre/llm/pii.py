@@ -220,7 +220,7 @@ def _luhn(digits: str) -> bool:
 
 def _like(s: _Stream, text: str) -> str:
     """Each letter and digit by another of its kind and script (a hexadecimal text stays one)."""
-    letters = "abcdef" if re.fullmatch(r"[0-9a-f]+", text) else "abcdefghijklmnopqrstuvwxyz"
+    letters = "abcdef" if re.fullmatch(r"[0-9a-fA-F]+", text) else "abcdefghijklmnopqrstuvwxyz"
     out = []
     for c in text:
         if c.isdigit():
