@@ -408,9 +408,9 @@ class Encoder:
 
     def __init__(self, path: str, lexicon: bytes):
         self.tok, self.lexicon = tokenizer(path), Lexicon(lexicon)
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.codes = _Codes()
         self.ids = Ids(np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64))
 
@@ -431,7 +431,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.codes) > MEMO:
-            self._forget()
+            self.forget()
         split, find, added, ids = self.tok.split, self.codes.__getitem__, self.tok.added_pattern, self.tok.added
         cut = []
         for t in texts:
@@ -481,6 +481,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", out: str = "ids",
                 col = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids), pa.int32()))
                 rows = b.slice(start, len(part))
                 yield pa.RecordBatch.from_arrays([*rows.columns, col], names=names)
+        enc.forget()  # the worker may go on to other work
 
     return docs.mapInArrow(run, schema)
 
