@@ -464,23 +464,33 @@ def _encoder(path: str, lexicon: bytes) -> Encoder:
     return _encoders[key]
 
 
+def _texts(table: np.ndarray, ids: list[np.ndarray | None]) -> list[str | None]:
+    return [None if x is None else b"".join(table[x].tolist()).decode("utf-8", "replace") for x in ids]
+
+
 def encode(docs: DataFrame, path: str, text_col: str = "text", out: str = "ids",
-           lexicon_words: int = LEXICON_WORDS) -> DataFrame:
-    """``docs`` with the ids of its text in column ``out`` (array of int)."""
+           lexicon_words: int = LEXICON_WORDS, decoded: str | None = None) -> DataFrame:
+    """``docs`` with the ids of its text in column ``out`` (array of int) and,
+    if ``decoded`` names a column, their decoding, made in the same pass."""
     out = free_name(docs.columns, out)
     lexicon = docs.sparkSession.sparkContext.broadcast(build_lexicon(docs, path, text_col, lexicon_words))
     at, names = docs.columns.index(text_col), [*docs.columns, out]
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
+    if decoded:
+        names.append(free_name(names, decoded))
+        schema = schema.add(names[-1], T.StringType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(path, lexicon.value)
+        table = np.array(enc.tok.token_bytes, object)
         for b in batches:
             for start, part in text_parts(b, at, CHUNK):
                 ids = enc.encode([t or "" for t in part])
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                col = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids), pa.int32()))
-                rows = b.slice(start, len(part))
-                yield pa.RecordBatch.from_arrays([*rows.columns, col], names=names)
+                cols = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids), pa.int32()))]
+                if decoded:
+                    cols.append(pa.array(_texts(table, ids), pa.string()))
+                yield pa.RecordBatch.from_arrays([*b.slice(start, len(part)).columns, *cols], names=names)
         enc.forget()  # the worker may go on to other work
 
     return docs.mapInArrow(run, schema)
@@ -495,10 +505,8 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.array(tokenizer(path).token_bytes, object)
         for b in batches:
-            texts = []
-            for row in b.column(at):
-                ids = row.values
-                texts.append(None if ids is None else b"".join(table[ids.to_numpy(zero_copy_only=False)].tolist()).decode("utf-8", "replace"))
+            rows = (row.values for row in b.column(at))
+            texts = _texts(table, [None if x is None else x.to_numpy(zero_copy_only=False) for x in rows])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=names)
 
     return df.mapInArrow(run, schema)

@@ -99,7 +99,7 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of every whole text and their decoding."""
     path = tokenizer_path("byte_bpe_50k.json")
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    out = bpe.decode(bpe.encode(docs, path).select("doc_id", "ids"), path)
+    out = bpe.encode(docs, path, decoded="decoded")
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                       F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
                       F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -44,7 +44,7 @@ def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Operator 6: the ids of each text, checked by decoding them."""
     ship(spark)
     path = tokenizer_path("byte_bpe_50k.json")
-    out = bpe.decode(bpe.encode(docs, path), path)
+    out = bpe.encode(docs, path, decoded="decoded")
     return out.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"),
                       (F.col("decoded") == whole("text")).alias("round_trip"))
 
