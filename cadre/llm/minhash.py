@@ -216,38 +216,34 @@ def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
     path = scratch_path(spark, "minhash-links")
     pair = "id long, lead long"
     entries = _weighted(signed.select("id", F.explode("bands").alias("band")))
+    # written, so that the join can split the entries of a large bucket; later buckets are parts of these
+    lead = written(_leaders(entries), "minhash-leaders")
     sigs, texts = signed.select("id", "sig"), None
     found: list[str] = []
-    tried: list[str] = []
+    turn = 0
     while True:
-        lead = written(_leaders(entries), "minhash-leaders")
+        # one row for each entry of a bucket of two or more but its leader
         led = written(entries.join(lead, "band").where("id <> lead").select("band", "id", "w", "lead"), "minhash-led")
         if led.isEmpty():
             break
         pairs = led.select("id", "lead").distinct()
-        if tried:
-            pairs = pairs.join(spark.read.schema(pair).parquet(*tried), ["id", "lead"], "left_anti")
-        tried.append(f"{path}/tried-{len(tried)}")
-        pairs.write.parquet(tried[-1])
-        pairs = spark.read.schema(pair).parquet(tried[-1])
         if texts is None:  # later rounds ask for no other documents
             ids = written(pairs.select("id").union(pairs.select("lead")).distinct(), "minhash-ids")
             some = maybe_broadcast(ids, BROADCAST_IDS)  # then neither texts nor signatures move
             sigs = written(sigs.join(some, "id", "left_semi"), "minhash-sigs")
             texts = written(docs.join(some, "id", "left_semi").dropDuplicates(["id"]), "minhash-texts")
+        turn += 1
         close = written(_agreeing(pairs.join(sigs, "id").join(
             sigs.select(F.col("id").alias("lead"), F.col("sig").alias("lead_sig")), "lead")), "minhash-close")
+        left = led
         if not close.isEmpty():
             both = close.join(texts, "id").join(texts.select(F.col("id").alias("lead"), F.col("text").alias("lead_text")), "lead")
-            found.append(f"{path}/near-{len(tried)}")
+            found.append(f"{path}/near-{turn}")
             _near(both).write.parquet(found[-1])
-        # in each bucket, the documents that are near none of its leaders go on without them
-        done = lead.select(F.col("lead").alias("id"), "band")
-        if found:
-            near = spark.read.schema(pair).parquet(*found)
-            done = done.union(led.join(near, ["id", "lead"], "left_semi").select("id", "band"))
-        left = written(led.select("id", "band", "w").distinct().join(done, ["id", "band"], "left_anti"), "minhash-left")
-        entries = written(_finer(left, sigs, len(tried)), "minhash-finer")
+            left = led.join(spark.read.schema(pair).parquet(found[-1]), ["id", "lead"], "left_anti")
+        # documents that are not near their bucket's leader go on without it
+        entries = written(_finer(left, sigs, turn), "minhash-finer")
+        lead = _leaders(entries)
     return spark.read.schema(pair).parquet(*found) if found else spark.createDataFrame([], pair)
 
 
