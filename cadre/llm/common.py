@@ -68,6 +68,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of thin tables for each task that goes on with them.
+TASK_ROWS = 50_000
+
+
+def sized(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of at most ``rows`` thin rows, in no more partitions than they
+    fill: the partitions of a shuffle are joined where there is little in them."""
+    return df.coalesce(max(1, -(-rows // TASK_ROWS)))
+
+
 def free_name(taken: list[str], name: str) -> str:
     """``name``, or ``name_2``, ... if a column (in any case) already has it."""
     low, out, n = {t.lower() for t in taken}, name, 1

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadre.llm.common import free_name, maybe_broadcast, narrow, scratch_path, whole, written
+from cadre.llm.common import free_name, maybe_broadcast, narrow, scratch_path, sized, whole, written
 
 WORDS = 5
 SIMILAR = 0.8
@@ -223,10 +223,11 @@ def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
     turn = 0
     while True:
         # one row for each entry of a bucket of two or more but its leader
-        led = written(entries.join(lead, "band").where("id <> lead").select("band", "id", "w", "lead"), "minhash-led")
-        if led.isEmpty():
+        led = entries.join(lead, "band").where("id <> lead").select("band", "id", "w", "lead")
+        led = written(sized(led, rows) if turn else led, "minhash-led")
+        if not (rows := led.count()):
             break
-        pairs = led.select("id", "lead").distinct()
+        pairs = sized(led.select("id", "lead").distinct(), rows)
         if texts is None:  # later rounds ask for no other documents
             ids = written(pairs.select("id").union(pairs.select("lead")).distinct(), "minhash-ids")
             some = maybe_broadcast(ids, BROADCAST_IDS)  # then neither texts nor signatures move
@@ -242,7 +243,8 @@ def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
             _near(both).write.parquet(found[-1])
             left = led.join(spark.read.schema(pair).parquet(found[-1]), ["id", "lead"], "left_anti")
         # documents that are not near their bucket's leader go on without it
-        entries = written(_finer(left, sigs, turn), "minhash-finer")
+        entries = written(_finer(sized(left, rows), sigs, turn), "minhash-finer")
+        rows *= FINER_WAYS[0]
         lead = _leaders(entries)
     return spark.read.schema(pair).parquet(*found) if found else spark.createDataFrame([], pair)
 
@@ -253,17 +255,20 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates the large-star and small-star steps, which take a number of
     rounds logarithmic in a component's size and never gather a component.
     """
-    e = written(edges.select(F.greatest("id", "lead").alias("u"), F.least("id", "lead").alias("v")).where("u > v").distinct(), "cc")
+    n = 2 * edges.count()  # no step makes more edges than twice as many
+    e = edges.select(F.greatest("id", "lead").alias("u"), F.least("id", "lead").alias("v")).where("u > v")
+    e = written(sized(e.distinct(), n), "cc")
     while not _stars(e):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # written, so that the join can split the edges of one node
-        low = written(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "cc-least")
+        low = written(sized(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), n), "cc-least")
         # every larger neighbour of u is tied to the smallest id around u
-        e = written(both.join(low, "u").where("v > u and v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "cc")
+        e = both.join(low, "u").where("v > u and v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e = written(sized(e.distinct(), n), "cc")
         # every smaller neighbour, and u, to the smallest: a node has few smaller ones by now
         tied = e.join(e.groupBy("u").agg(F.min("v").alias("m")), "u").select(F.explode(F.array(
             F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x"))
-        e = written(tied.select("x.u", "x.v").where("u > v").distinct(), "cc")
+        e = written(sized(tied.select("x.u", "x.v").where("u > v").distinct(), n), "cc")
     return e.select(F.col("u").alias("id"), F.col("v").alias("root"))
 
 
@@ -288,7 +293,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     reps = written(reps.select("id", "sig", "bands"), "minhash-firsts")
     near = links(thin, reps).select(F.greatest("id", "lead").alias("id"), F.least("id", "lead").alias("lead"))
     near = written(near.distinct(), "minhash-edges")
-    root = components(near.union(member.select("id", F.col("rep").alias("lead"))))
+    root = components(near.union(member.where("id <> rep").select("id", F.col("rep").alias("lead"))))
     degree = near.select("id").union(near.select(F.col("lead").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
     own = member.groupBy("id").agg(F.min("rep").alias("rep")).join(degree.withColumnRenamed("id", "rep"), "rep", "left")
     out = own.join(root, "id", "left").select("id", F.coalesce("root", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
