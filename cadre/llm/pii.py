@@ -18,6 +18,7 @@ Texts are read twice and not moved (unless that join is needed).
 
 Defined cases: null texts stay null and empty ones empty; repeated rows give
 repeated results; overlapping matches go to the earlier kind in ``PATTERNS``;
+matches without a letter or digit (masked values) are no entities;
 an empty table gives an empty result; other columns travel unchanged.
 """
 
@@ -38,6 +39,10 @@ from pyspark.sql import types as T
 from cadre.llm.common import fits, free_name, scratch_path, written
 
 BROADCAST_ENTITIES = 500_000
+#: From this attempt on a surrogate is longer than its entity, by a character
+#: more with each attempt: an entity with few forms of its own length (``**1***``)
+#: gets a free one all the same.
+LONGER_FROM = 8
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 #: Kinds in order of precedence; group ``v`` is what is replaced, if there is one.
@@ -177,7 +182,8 @@ def detect(text: str) -> list[Mention]:
     for kind in _kinds(text):
         for m in PATTERNS[kind].finditer(text):
             group = next((g for g in ("v", "w") if m.groupdict().get(g)), 0)
-            add(Mention(*m.span(group), *_canonical(kind, m[group])))
+            if any(c.isalpha() or c.isdigit() for c in m[group]):
+                add(Mention(*m.span(group), *_canonical(kind, m[group])))
     names = list(_named(text))
     for m in names:
         add(m)
@@ -236,35 +242,37 @@ def _like(s: _Stream, text: str) -> str:
 def surrogate(key: bytes, kind: str, entity: str, attempt: int = 0) -> str:
     """Canonical form of the entity's surrogate."""
     s = _Stream(key, kind, entity, str(attempt))
+    longer = max(0, attempt - LONGER_FROM + 1)
+    more = "".join(str(s.below(10)) for _ in range(longer))
     if kind == "email":
         # addresses of one domain stay together
         local, domain = entity.rsplit("@", 1)
         labels = domain.split(".")
         d = _Stream(key, "domain", domain)
-        return _like(s, local) + "@" + ".".join([*(_like(d, x) for x in labels[:-1]), labels[-1]])
+        return _like(s, local) + more + "@" + ".".join([*(_like(d, x) for x in labels[:-1]), labels[-1]])
     if kind == "phone":
         head, _, rest = entity.rpartition(" ")
-        return f"{head} {_like(s, rest)}".strip()
+        return f"{head} {_like(s, rest)}{more}".strip()
     if kind == "ip":
-        return ".".join(str(1 + s.below(254)) for _ in range(4))
+        return ".".join(str(1 + s.below(254)) for _ in range(4 + longer))
     if kind == "card":
-        out = entity[0] + _like(s, entity[1:])
+        out = entity[0] + _like(s, entity[1:]) + more
         return next(x for x in (out[:-1] + str(d) for d in range(10)) if _luhn(x)) if _luhn(entity) else out
     if kind == "iban":
-        return entity[:2] + _like(s, entity[2:])
+        return entity[:2] + _like(s, entity[2:]) + more
     if kind.startswith(("given", "family")):
         what, script, gender = kind.split(" ")
         n = 1 if script == "CJK" and what == "family" else 2 + s.below(2) - (script == "CJK")
         out = "".join(s.pick(SYLLABLES[script]) for _ in range(n + attempt))
         return out + s.pick((ENDINGS if what == "given" else FAMILY_ENDINGS)[script, gender])
-    return _like(s, entity)
+    return _like(s, entity) + more
 
 
 def render(mention: str, kind: str, new: str) -> str:
     """The surrogate in the format of the mention."""
     if kind in ("card", "ssn", "phone", "iban"):
         chars = iter(new.replace("+", "").replace(" ", ""))
-        return "".join(next(chars) if c.isalnum() else c for c in mention)
+        return "".join(next(chars) if c.isalnum() else c for c in mention) + "".join(chars)
     if kind == "email":
         return new.upper() if mention.isupper() else new
     if kind.startswith(("given", "family")):

@@ -94,3 +94,30 @@ def test_assign_redraws_until_distinct(spark, monkeypatch):
     rows = every.collect()
     assert len(rows) == 150 == len({r["new"] for r in rows}) and not {r["new"] for r in rows} & {"%03d" % i for i in range(150)}
     assert {r["entity"] for r in again.collect()} == {r["entity"] for r in rows if r["attempt"] > 0} != set()
+
+
+def test_masked_values_are_no_entities():
+    assert kinds("password: ****** pwd=------ ___@___.___") == []
+    assert pii.replace("password: ******", KEY, {}) == ("password: ******", {})
+    assert kinds("password: ****a1") == [("secret", "****a1")]
+
+
+def test_surrogates_get_longer_when_their_own_length_has_no_free_form():
+    """Values that a draw of the same length gives again, or that fill all forms of it."""
+    short = [pii.surrogate(KEY, "secret", "***1***", a) for a in range(pii.LONGER_FROM)]
+    assert all(re.fullmatch(r"\*{3}\d\*{3}", x) for x in short)
+    for k, e in [("secret", "***1***"), ("email", "_@_.c"), ("phone", "5551234"), ("phone", "+1 5551234567"),
+                 ("ssn", "078051120"), ("iban", "DE89370400440532013000"), ("card", "4111111111111111")]:
+        new = pii.surrogate(KEY, k, e, pii.LONGER_FROM + 2)
+        assert len(new) == len(e) + 3 and (k != "card" or pii._luhn(new))
+    assert pii.surrogate(KEY, "ip", "9.8.7.6", pii.LONGER_FROM).count(".") == 4
+    assert pii.render("555-1234", "phone", "9876543210") == "987-6543210"
+
+
+def test_masked_and_full_spaces_end(spark):
+    rows = [(0, "password: ******"), (1, "_@_.c"), *[(2 + i, "password: ***%d***" % i) for i in range(10)]]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    out = {r["doc_id"]: r["text"] for r in pii.replace_personal_data(df, KEY).collect()}
+    assert out[0] == "password: ******" and out[1] != "_@_.c"
+    new = [out[2 + i] for i in range(10)]
+    assert len(set(new)) == 10 and not {t for _, t in rows} & set(new)
