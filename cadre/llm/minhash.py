@@ -13,11 +13,14 @@ rank at which every coordinate is expected to be hit are thrown, some
 Signatures are cut into bands.  In each band's bucket one document leads: the
 one that shares its bands with the most others, which in a group of copies is
 the text they come from.  Documents are compared with their leader, first by
-signature, then exactly, and those that are not near it go on to another round
-in finer buckets, split by more of their coordinates, until no bucket has two
-left.  So a bucket of n copies costs n comparisons, not n ** 2, and one of n
-texts that merely share a passage falls apart.  Links join documents into groups; equal texts are grouped by their hash before
-any of this and compared once.
+signature, then exactly, so a bucket of n copies costs n comparisons, not
+n ** 2.  Where a document is not near its leader, the bucket's documents, those
+near the leader too, go on to an exact join: rare elements first, two similar
+documents share one of their first fifth.  Pairs of one component are left out
+of it; those that remain are compared.  So two similar documents end in one
+group if they share a band, however full its bucket is.  Links join documents
+into groups; equal texts are grouped by their hash before any of this and
+compared once.
 
 Defined cases: null and empty texts have no element, are equal to each other
 and near nothing else; rows that repeat an id share a group; rows with a null
@@ -28,13 +31,12 @@ ties go to the smallest id; other columns travel unchanged through
 
 from __future__ import annotations
 
-import random
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadre.llm.common import free_name, maybe_broadcast, narrow, scratch_path, sized, whole, written
@@ -47,9 +49,6 @@ COORDS = 120
 BANDS, ROWS = 12, 4
 #: Ids of compared documents are broadcast up to this number, else joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-#: After each round the buckets that are left are split by this many more
-#: coordinates, in 8 ways after the first round, 4 after the second, then 2.
-FINER_COORDS, FINER_WAYS = 5, (8, 4, 2)
 #: Signatures that agree in a smaller share are not compared exactly: five
 #: standard deviations below SIMILAR.
 LEAST_AGREEMENT = SIMILAR - 5 * float(np.sqrt(SIMILAR * (1 - SIMILAR) / COORDS))
@@ -200,53 +199,87 @@ def _leaders(entries: DataFrame) -> DataFrame:
     return lead.where("n > 1").select("band", F.bitwise_not("x.other").alias("lead"))
 
 
-def _finer(entries: DataFrame, sigs: DataFrame, level: int) -> DataFrame:
-    """Entries of finer buckets: each bucket is split by more coordinates of
-    the signature, in several ways, so that similar texts share one again."""
-    pick = random.Random(level)
-    ways = [sorted(pick.sample(range(COORDS), FINER_COORDS)) for _ in range(FINER_WAYS[min(level, len(FINER_WAYS)) - 1])]
-    keys = F.array(*[F.xxhash64("band", F.lit(i), *[F.substring("sig", 4 * c + 1, 4) for c in way]) for i, way in enumerate(ways)])
-    return entries.join(sigs, "id").select("id", "w", F.explode(keys).alias("band"))
+def _occurring(texts: DataFrame) -> DataFrame:
+    """(id, n, cell) of rows (id, text): the cells of each text, and their number."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, t in zip(b.column("id").to_pylist(), b.column("text").to_pylist()):
+                c = cells(t)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(c), i, np.int64)), pa.array(np.full(len(c), len(c), np.int64)), pa.array(c.view(np.int64))],
+                    names=["id", "n", "cell"])
+    return texts.select("id", "text").mapInArrow(run, "id long, n long, cell long")
+
+
+def _prefixes(texts: DataFrame) -> DataFrame:
+    """(id, n, cell, place) of each text's rarest cells that others have too.
+
+    Cells are put in one order, rare ones first; two texts that are similar
+    share one among the first ``n - SIMILAR * n + 1`` of both.
+    """
+    every = written(_occurring(texts), "minhash-cells")
+    often = every.groupBy("cell").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    common = written(every.join(written(often, "minhash-often"), "cell"), "minhash-common")
+    # the cells of a text are windowed, not those of a table; cells of one text only come first
+    own = Window.partitionBy("id")
+    place = F.col("n") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("often", "cell"))
+    least = F.ceil(SIMILAR * F.col("n") - 1e-6)
+    return common.select("id", "n", "cell", place.alias("place")).where(F.col("place") <= F.col("n") - least + 1)
+
+
+def _candidates(texts: DataFrame, active: DataFrame, root: DataFrame) -> DataFrame:
+    """(id, lead) of all pairs of ``texts`` that can be similar, are in
+    different components (id, root) and of which one is ``active``."""
+    entries = _prefixes(texts).join(root, "id", "left").join(active.withColumn("on", F.lit(True)), "id", "left")
+    entries = written(entries.select("id", "n", "cell", "place", F.coalesce("root", "id").alias("root"), F.coalesce("on", F.lit(False)).alias("on")), "minhash-prefixes")
+    # components are paired before their texts, so a group of copies costs nothing in its own buckets
+    held = written(entries.groupBy("cell", "root").agg(F.max("on").alias("any")), "minhash-roots")
+    roots = held.select("cell", "root", "any").join(held.select("cell", F.col("root").alias("root2"), F.col("any").alias("any2")), "cell")
+    roots = written(roots.where("root < root2 and (any or any2)").select("cell", "root", "root2"), "minhash-root-pairs")
+    other = entries.select("cell", *[F.col(c).alias(f"{c}2") for c in ("id", "n", "place", "root", "on")])
+    both = roots.join(entries, ["cell", "root"]).join(other, ["cell", "root2"])
+    # what two texts can share from the first cell that both have on
+    shared = 1 + F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2"))
+    can = shared >= SIMILAR / (1 + SIMILAR) * (F.col("n") + F.col("n2")) - 1e-6
+    return both.where(F.col("on") | F.col("on2")).where(can).select("id", F.col("id2").alias("lead")).distinct()
 
 
 def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
-    """(id, lead) pairs of different texts that are similar; ``signed`` has one
-    row per text (of the ids in ``docs``)."""
+    """(id, lead) pairs of different texts that are similar, which tie together
+    all texts that a chain of similar pairs does; ``signed`` has one row per
+    text (of the ids in ``docs``)."""
     spark = docs.sparkSession
     path = scratch_path(spark, "minhash-links")
     pair = "id long, lead long"
     entries = _weighted(signed.select("id", F.explode("bands").alias("band")))
-    # written, so that the join can split the entries of a large bucket; later buckets are parts of these
+    # written, so that the join can split the entries of a large bucket
     lead = written(_leaders(entries), "minhash-leaders")
-    sigs, texts = signed.select("id", "sig"), None
-    found: list[str] = []
-    turn = 0
-    while True:
-        # one row for each entry of a bucket of two or more but its leader
-        led = entries.join(lead, "band").where("id <> lead").select("band", "id", "w", "lead")
-        led = written(sized(led, rows) if turn else led, "minhash-led")
-        if not (rows := led.count()):
-            break
-        pairs = sized(led.select("id", "lead").distinct(), rows)
-        if texts is None:  # later rounds ask for no other documents
-            ids = written(pairs.select("id").union(pairs.select("lead")).distinct(), "minhash-ids")
-            some = maybe_broadcast(ids, BROADCAST_IDS)  # then neither texts nor signatures move
-            sigs = written(sigs.join(some, "id", "left_semi"), "minhash-sigs")
-            texts = written(docs.join(some, "id", "left_semi").dropDuplicates(["id"]), "minhash-texts")
-        turn += 1
+    # one row for each entry of a bucket of two or more but its leader
+    led = written(entries.join(lead, "band").where("id <> lead").select("band", "id", "lead"), "minhash-led")
+    if not (rows := led.count()):
+        return spark.createDataFrame([], pair)
+    ids = written(led.select("id").union(lead.select(F.col("lead").alias("id"))).distinct(), "minhash-ids")
+    some = maybe_broadcast(ids, BROADCAST_IDS)  # then neither texts nor signatures move
+    sigs = written(signed.select("id", "sig").join(some, "id", "left_semi"), "minhash-sigs")
+    texts = written(docs.join(some, "id", "left_semi").dropDuplicates(["id"]), "minhash-texts")
+
+    def near(pairs: DataFrame, name: str) -> DataFrame:
         close = written(_agreeing(pairs.join(sigs, "id").join(
             sigs.select(F.col("id").alias("lead"), F.col("sig").alias("lead_sig")), "lead")), "minhash-close")
-        left = led
-        if not close.isEmpty():
-            both = close.join(texts, "id").join(texts.select(F.col("id").alias("lead"), F.col("text").alias("lead_text")), "lead")
-            found.append(f"{path}/near-{turn}")
-            _near(both).write.parquet(found[-1])
-            left = led.join(spark.read.schema(pair).parquet(found[-1]), ["id", "lead"], "left_anti")
-        # documents that are not near their bucket's leader go on without it
-        entries = written(_finer(sized(left, rows), sigs, turn), "minhash-finer")
-        rows *= FINER_WAYS[0]
-        lead = _leaders(entries)
-    return spark.read.schema(pair).parquet(*found) if found else spark.createDataFrame([], pair)
+        both = close.join(texts, "id").join(texts.select(F.col("id").alias("lead"), F.col("text").alias("lead_text")), "lead")
+        _near(both).write.parquet(f"{path}/{name}")
+        return spark.read.schema(pair).parquet(f"{path}/{name}")
+
+    found = near(sized(led.select("id", "lead").distinct(), rows), "leaders")
+    left = written(led.join(found, ["id", "lead"], "left_anti"), "minhash-left")
+    if left.isEmpty():
+        return found
+    # buckets with a text that is not near the leader: all their texts are compared exactly, near the leader or not
+    active = written(left.select("id").distinct(), "minhash-active")
+    open_ = written(led.join(left.select("band").distinct(), "band", "left_semi").select("id").distinct(), "minhash-open")
+    root = written(components(found), "minhash-covered")
+    pairs = written(_candidates(texts.join(open_, "id", "left_semi"), active, root), "minhash-candidates")
+    return found.union(near(pairs, "others"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -281,8 +314,7 @@ def _stars(e: DataFrame) -> bool:
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, class_id, n_links, kept) of every id: its group's smallest id, the
-    number of links of its text to other texts, and whether it is that id."""
+    """(id, class_id, kept) of every id: its group's smallest id, and whether it is that id."""
     thin = narrow(docs, id=id_col, text=text_col).where(F.col("id").isNotNull()).withColumn("text", whole("text"))
     thin = thin.withColumn("id", F.col("id").cast("long"))
     signed = written(signatures(thin), "minhash-signed")
@@ -294,17 +326,16 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     near = links(thin, reps).select(F.greatest("id", "lead").alias("id"), F.least("id", "lead").alias("lead"))
     near = written(near.distinct(), "minhash-edges")
     root = components(near.union(member.where("id <> rep").select("id", F.col("rep").alias("lead"))))
-    degree = near.select("id").union(near.select(F.col("lead").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
-    own = member.groupBy("id").agg(F.min("rep").alias("rep")).join(degree.withColumnRenamed("id", "rep"), "rep", "left")
-    out = own.join(root, "id", "left").select("id", F.coalesce("root", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    own = member.groupBy("id").agg(F.min("rep").alias("rep"))
+    out = own.join(root, "id", "left").select("id", F.coalesce("root", "id").alias("class_id"))
     return out.withColumn("kept", F.col("id") == F.col("class_id"))
 
 
 def near_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, class_id, n_links and kept of every row."""
+    """id, class_id and kept of every row."""
     groups = near_groups(docs, id_col, text_col).withColumnRenamed("id", "_id")
     out = docs.select(F.col(f"`{id_col}`").alias(id_col)).join(groups, F.col(id_col) == F.col("_id"), "left")
-    return out.select(id_col, "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("kept", F.lit(True)).alias("kept"))
+    return out.select(id_col, "class_id", F.coalesce("kept", F.lit(True)).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -51,6 +51,36 @@ def test_drop_near_copies_keeps_columns(docs, corpus):
     assert {r["doc_id"] for r in out.collect()} == {i for i, c in groups_of(corpus).items() if c == i}
 
 
+def near_classes(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r["doc_id"]: r["class_id"] for r in minhash.near_rows(df).collect()}
+
+
+def test_drifting_copies_stay_together(spark):
+    """Versions that are near the next few only: most are not near their bucket's leader."""
+    r, texts = random.Random(4), []
+    for k in range(6):
+        words = ["g%dw%d" % (k, i) for i in range(150)]
+        for v in range(25):
+            texts.append(" ".join(words))
+            words[r.randrange(150)] = "g%dv%d" % (k, v)
+    got = near_classes(spark, texts)
+    assert got == groups_of(list(enumerate(texts))) and len(set(got.values())) == 6
+
+
+def test_pairs_in_a_hot_bucket_are_found(spark):
+    """Pairs barely similar enough among many texts that share most of their words."""
+    r, texts = random.Random(6), []
+    passage = ["p%d" % i for i in range(120)]
+    for k in range(150):
+        own = ["o%d-%d" % (k, i) for i in range(40)]
+        texts.append(" ".join(passage + own))
+        texts.append(" ".join(passage + own[:26] + ["c%d-%d" % (k, i) for i in range(r.randrange(10, 14))]))
+    want = groups_of(list(enumerate(texts)))
+    assert 100 < len(set(want.values())) < 250
+    assert near_classes(spark, texts) == want
+
+
 def test_signature_agreement_estimates_weighted_similarity():
     r = random.Random(2)
     words = ["w%d" % r.randrange(300) for _ in range(400)] + ["a b c d e"] * 30
