@@ -12,9 +12,10 @@ of fewer than ``MIN_DOCS`` documents uses the merged sketch of its language,
 and a language of fewer the merged sketch of all.
 
 Fence: from ``q1 - 3 * spread`` (where a low value is bad) to
-``q3 + 3 * spread`` with ``spread = max(q3 - q1, least spread)``; the least
-spread keeps measures that are 0 in nearly all documents from rejecting every
-other one.
+``q3 + 3 * spread``.  The spread is the group's own: the quartiles' distance or,
+where most documents have one value, that of the outer twentieth from its
+quartile.  Below it lie only the sketch's accuracy and the step that one line or
+symbol of a short document makes.
 
 Defined cases: null and empty texts have no words and fail the base rule; null
 languages and sources are groups of their own; repeated rows count and are
@@ -38,12 +39,12 @@ WINDOW = 8
 GAMMA = 1.02
 #: Fewest documents for a sketch of a group's own.
 MIN_DOCS = 200
-#: Measure: (least spread, whether a low value is bad too).
+#: Measure: (step of a short document, whether a low value is bad too).
 MEASURES = {
-    "symbol_share": (0.1, False),
-    "dup_line_share": (0.2, False),
-    "repeat_share": (0.1, False),
-    "mean_word_chars": (1.0, True),
+    "symbol_share": (0.01, False),
+    "dup_line_share": (0.05, False),
+    "repeat_share": (0.02, False),
+    "mean_word_chars": (0.1, True),
 }
 #: Thresholds for this many groups at most are broadcast; more are joined by a shuffle.
 BROADCAST_GROUPS = 100_000
@@ -149,13 +150,14 @@ def fences(sketch: DataFrame) -> DataFrame:
               merge(sketch, "lang").select("lang", F.lit(None).cast("string").alias("source"), "measure", "bucket", "n", F.lit(1).alias("level")),
               merge(sketch).select(F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("source"), "measure", "bucket", "n", F.lit(0).alias("level"))]
     every = levels[0].unionByName(levels[1]).unionByName(levels[2])
-    q = quantiles(every, ["level", "lang", "source"], {"q1": 0.25, "q3": 0.75})
+    q = quantiles(every, ["level", "lang", "source"], {"q05": 0.05, "q1": 0.25, "q3": 0.75, "q95": 0.95})
     limits = []
-    for k, (least, low) in MEASURES.items():
-        spread = F.greatest(F.col("q3") - F.col("q1"), F.lit(least))
+    for k, (step, low) in MEASURES.items():
+        least = F.greatest(F.col("q3") - F.col("q1"), F.lit(step), (GAMMA - 1) * F.col("q3"))
+        above, below = F.greatest(least, F.col("q95") - F.col("q3")), F.greatest(least, F.col("q1") - F.col("q05"))
         mine = F.col("measure") == k
-        limits.append(F.max(F.when(mine, F.col("q3") + 3 * spread)).alias(f"hi_{k}"))
-        limits.append(F.max(F.when(mine, F.col("q1") - 3 * spread if low else F.lit(0.0))).alias(f"lo_{k}"))
+        limits.append(F.max(F.when(mine, F.col("q3") + 3 * above)).alias(f"hi_{k}"))
+        limits.append(F.max(F.when(mine, F.col("q1") - 3 * below if low else F.lit(0.0))).alias(f"lo_{k}"))
     limits = q.groupBy("level", "lang", "source").agg(F.max("n").alias("n"), *limits)
     own = limits.where("level = 2").select("lang", "source", "n")
     lang = limits.where("level = 1").select(F.col("lang").alias("_lang"), F.col("n").alias("_n"))

@@ -106,6 +106,33 @@ def test_fence_follows_its_group(spark):
     assert not got[2000] and got[2001] and got[2002] and got[0] and got[1000]
 
 
+def test_each_fence_rejects_an_outlier_of_a_tight_group(spark):
+    from llm_schema import SCHEMA
+    word = lambda i, k: "w%04d" % (97 * i + k)
+    lines = lambda i, n: [" ".join(word(i, 4 * k + j) for j in range(4)) for k in range(n)]
+    clean = ["\n".join(lines(i, 10)) for i in range(100)] * 3
+    clean += [x.replace("w", "$", 1) for x in clean[:6]]  # one symbol
+    five = lines(0, 5)
+    outliers = {
+        "symbol_share": " ".join(lines(0, 10)).replace("w", "$", 10),
+        "dup_line_share": "\n".join(five[k] for k in (0, 1, 2, 3, 4, 0, 2, 4, 1, 3)),
+        "repeat_share": " ".join([*lines(0, 10), *lines(1, 4), *lines(0, 2)]),
+        "mean_word_chars": " ".join("long%03d" % k for k in range(40)),
+        "lo_mean_word_chars": " ".join("%03d" % k for k in range(40)),
+    }
+    texts = [*clean, *outliers.values()]
+    df = spark.createDataFrame([(i, t, "en", "tight", 0) for i, t in enumerate(texts)], SCHEMA)
+    rows = {r["doc_id"]: r for r in quality.judge(df).collect()}
+    assert all(rows[i]["kept"] for i in range(len(clean)))
+    f = quality.learn(df).collect()[0]
+    for i, k in enumerate(outliers, len(clean)):
+        r, k = rows[i], k.removeprefix("lo_")
+        value = {"symbol_share": r["n_symbols"] / r["n_words"], "dup_line_share": r["n_dup_lines"] / r["n_full_lines"],
+                 "repeat_share": r["n_repeat_words"] / r["n_words"], "mean_word_chars": r["word_chars"] / r["n_words"]}
+        assert not r["base_failed"] and not r["kept"]
+        assert [m for m, v in value.items() if not f[f"lo_{m}"] <= v <= f[f"hi_{m}"]] == [k]  # by this fence alone
+
+
 def test_bpe_equals_the_library(docs, corpus):
     from tokenizers import Tokenizer
     path = tokenizer_path("byte_bpe_50k.json")
