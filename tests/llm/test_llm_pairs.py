@@ -81,6 +81,25 @@ def test_pairs_in_a_hot_bucket_are_found(spark):
     assert near_classes(spark, texts) == want
 
 
+def test_one_shared_bucket_is_enough(spark):
+    """All texts in one bucket led by text 0: a chain 0 ~ 1 ~ 2, and 40 pairs."""
+    def changed(words, at, tag):
+        return [tag + w if k in at else w for k, w in enumerate(words)]
+
+    base = ["w%d" % i for i in range(160)]
+    x = changed(base, (20, 60, 100), "x")
+    texts = [base, x, changed(x, (40, 80, 120), "y")]
+    want = {(0, 1), (1, 2)}
+    for k in range(40):
+        own = ["o%d-%d" % (k, i) for i in range(160)]
+        want.add((len(texts), len(texts) + 1))
+        texts += [own, changed(own, (30, 70, 110), "z")]
+    texts = [" ".join(t) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(2)
+    signed = minhash.signatures(docs).select("id", "sig", F.array(F.lit(7).cast("long")).alias("bands"))
+    assert {tuple(sorted(r)) for r in minhash.links(docs, signed).select("id", "lead").collect()} == want
+
+
 def test_signature_agreement_estimates_weighted_similarity():
     r = random.Random(2)
     words = ["w%d" % r.randrange(300) for _ in range(400)] + ["a b c d e"] * 30
