@@ -32,10 +32,15 @@ def accuracy_report(pred: DataFrame, label: str = "label", prediction: str = "pr
                     baseline: float | None = None) -> DataFrame:
     """V1: ``n, accuracy, baseline_accuracy, lift``; the baseline defaults to
     the majority-class share of the labels."""
+    return accuracy_of(pair_counts(pred, label, prediction), baseline)
+
+
+def accuracy_of(pairs: DataFrame, baseline: float | None = None) -> DataFrame:
+    """:func:`accuracy_report` from pair counts."""
     hit = F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0))
     known = F.sum(F.when(F.col("actual").isNotNull() & F.col("predicted").isNotNull(), F.col("n")))
     # k^2 pair counts, then k class rows, then one row: no join
-    per = pair_counts(pred, label, prediction).groupBy("actual").agg(
+    per = pairs.groupBy("actual").agg(
         F.sum("n").alias("c"), hit.alias("hit"), known.alias("known"))
     base = F.max("c") / F.sum("c").cast("double") if baseline is None else F.lit(float(baseline))
     out = per.agg(F.sum("c").alias("n"), F.try_divide(F.sum("hit"), F.sum("known").cast("double")).alias("accuracy"),
@@ -71,7 +76,11 @@ def confusion(pred: DataFrame, label: str = "label", prediction: str = "predicti
 def class_report(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """V4: precision, recall, F1, support per class over classes in y ∪ ŷ
     (zero division -> 0), plus 'macro avg' and 'weighted avg' rows."""
-    pc = pair_counts(pred, label, prediction)
+    return class_report_of(pair_counts(pred, label, prediction))
+
+
+def class_report_of(pc: DataFrame) -> DataFrame:
+    """:func:`class_report` from pair counts."""
     classes = pc.select(F.explode(F.array("actual", "predicted")).alias("cls")).distinct()
     sup = pc.groupBy(F.col("actual").alias("cls")).agg(F.sum("n").alias("support"))
     prd = pc.groupBy(F.col("predicted").alias("cls")).agg(F.sum("n").alias("n_pred"))

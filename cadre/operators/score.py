@@ -25,7 +25,18 @@ def _raw(df: DataFrame, name: str) -> Column:
     return F.lit(None).cast("string")
 
 
-def validate_rows(df: DataFrame, schema: dict[str, str], keep: Sequence[str] = ()) -> DataFrame:
+def _outside(name: str, val: Column, shown: Column, info: dict) -> Column:
+    """Message for a coerced value outside the schema's range or values."""
+    if info.get("range") and info["range"][0] is not None:
+        lo, hi = (float(x) for x in info["range"])
+        return F.when((val < lo) | (val > hi), F.concat(F.lit(f"'{name}': expected {lo} to {hi}, got "), shown))
+    if info["type"] == "categorical" and info.get("values") is not None:
+        return F.when(val.isNotNull() & ~F.coalesce(F.array_contains(F.array(*[F.lit(str(v)) for v in info["values"]]).cast("array<string>"), val), F.lit(False)),
+                      F.concat(F.lit(f"'{name}': unknown category, got "), shown))
+    return F.lit(None).cast("string")
+
+
+def validate_rows(df: DataFrame, schema: dict[str, str], keep: Sequence[str] = (), features: dict | None = None) -> DataFrame:
     """K1 + P12: coerce raw text to the schema's feature types.
 
     * missing column, null or '' -> null (no error);
@@ -33,6 +44,9 @@ def validate_rows(df: DataFrame, schema: dict[str, str], keep: Sequence[str] = (
       error (the reference turned any filled text into 1 — T11 fixed);
     * ``numeric``: parsed number, else null and an error naming the field;
     * ``categorical``: stripped text.
+    ``features`` (the stored schema, S7) also reports numbers outside the
+    training range and unknown categories; their values are kept, since a model
+    can score them.
     Extra input columns are dropped (``keep`` lists pass-through columns).
     Output: ``keep`` + features in schema order + ``errors array<string>``.
     """
@@ -56,6 +70,8 @@ def validate_rows(df: DataFrame, schema: dict[str, str], keep: Sequence[str] = (
             err = F.lit(None).cast("string")
         cols.append(F.when(missing, F.lit(None)).otherwise(val).alias(name))
         errs.append(err)
+        if features is not None and name in features:
+            errs.append(_outside(name, F.when(~missing, val), shown, features[name]))
     errors = F.filter(F.array(*errs), lambda e: e.isNotNull()) if errs else F.array().cast("array<string>")
     return df.select(*[F.col(f"`{k}`") for k in keep], *cols, errors.alias("errors"))
 

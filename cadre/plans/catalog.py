@@ -64,4 +64,4 @@ def load_all() -> None:
         importlib.import_module(f"cadre.plans.{mod}")
 
 
-MODULES = ["q_rollup", "q_clean", "q_roster", "q_features", "q_labels", "q_encode", "q_metrics", "q_explain", "q_score", "q_sources", "q_ml"]
+MODULES = ["q_rollup", "q_clean", "q_roster", "q_features", "q_labels", "q_encode", "q_metrics", "q_explain", "q_score", "q_sources", "q_ml", "q_models"]

@@ -22,8 +22,11 @@ KPI_GROUPS = [
 
 
 def _contrib(spark, d):
-    coefs, means, test = views.kpi_model(spark, d)
-    return explain.linear_contributions(test, coefs, "row_id", baseline=means)
+    """The cube and its size, which is read off the advisors' features and the
+    coefficients rather than off the cube."""
+    coefs, means, test, _ = views.kpi_model(spark, d)
+    sizes = (test.select("row_id").distinct().count(), coefs.select("class").distinct().count())
+    return explain.linear_contributions(test, coefs, "row_id", baseline=means), sizes
 
 
 @register("log_odds", f"""
@@ -51,7 +54,8 @@ def linear_contributions(spark, d):
     """Exact linear contributions coef * (x - mean) for the test
     advisors, per feature (top-30 metric means) and tier class, long form;
     coefficients and baseline means come from the training advisors."""
-    return rounded(_contrib(spark, d))
+    coefs, means, test, _ = views.kpi_model(spark, d)
+    return rounded(explain.linear_contributions(test, coefs, "row_id", baseline=means))
 
 
 _NOTE_SQL = "CASE " + " ".join(
@@ -71,7 +75,8 @@ FROM best
 """)
 def driver_ranking(spark, d):
     """Top-30 drivers by mean |contribution| with notes."""
-    return rounded(explain.driver_ranking(_contrib(spark, d), "row_id", 30))
+    contrib, sizes = _contrib(spark, d)
+    return rounded(explain.driver_ranking(contrib, "row_id", 30, sizes))
 
 
 def _group_sql() -> str:
@@ -98,7 +103,8 @@ FROM gm JOIN dom ON gm."group" = dom."group"
 def group_contributions(spark, d):
     """Contributions summed per feature group, mean signed
     per (group, class), dominant class and its wording."""
-    return rounded(explain.group_contributions(_contrib(spark, d), "row_id", KPI_GROUPS))
+    contrib, sizes = _contrib(spark, d)
+    return rounded(explain.group_contributions(contrib, "row_id", KPI_GROUPS, sizes=sizes))
 
 
 @register("explanation_samples", f"""
@@ -113,8 +119,7 @@ FROM g JOIN sp ON g.row_id = sp.row_id JOIN share ON share.class = g.class
 def explanation_samples(spark, d):
     """The explained advisors' actual class, base log-odds (of the training
     shares) and summed contributions per feature group."""
-    coefs, means, test = views.kpi_model(spark, d)
-    split = views.advisor_split(spark, d)
+    coefs, means, test, split = views.kpi_model(spark, d)
     counts = {r["class"]: r["count"] for r in split.where("split = 'train'").groupBy("class").count().collect()}
     n = sum(counts.values())
     pred = split.where("split = 'test'").select("row_id", F.col("class").cast("int").alias("label"),
@@ -135,6 +140,6 @@ SELECT CAST(class AS INTEGER), 'down', CAST(down AS INTEGER), feature, {R('coef'
 """)
 def coef_topk(spark, d):
     """Top-12 and bottom-12 coefficients per class."""
-    coefs, _, _ = views.kpi_model(spark, d)
+    coefs, _, _, _ = views.kpi_model(spark, d)
     c = coefs.withColumn("class", F.col("class").cast("int"))
     return rounded(explain.coef_topk(c, 12))

@@ -24,6 +24,9 @@ K = 3
 # library's defaults (train.tune, train.FOREST_SPACE) are 50 trials of 200 to
 # 1000 trees.
 N_TRIALS = 4
+# The boosted learner of the registered queries takes larger steps than the
+# library default (0.05 and a patience of 50), so that it stops after tens of rounds.
+BOOST: dict = {"step": 0.3, "patience": 3}
 SHORT_SPACE = {**train.FOREST_SPACE, "numTrees": ("int", 20, 60)}
 
 

@@ -60,13 +60,13 @@ KEY_OK = "advisor IS NOT NULL AND advisor <> '' AND lower(advisor) <> 'nan'"
 # Explanation inputs: advisor features (top-30 metric means, long), advisor
 # tiers (terciles of mean PTG) and tier-conditional coefficients.
 EXPLAIN = KPI + f""",
-k AS (SELECT * FROM kpi WHERE {KEY_OK}),
+k AS MATERIALIZED (SELECT * FROM kpi WHERE {KEY_OK}),
 cnt AS (SELECT metric, count(*) AS n_rows FROM kpi WHERE metric IS NOT NULL GROUP BY metric),
 top AS (SELECT metric FROM cnt ORDER BY n_rows DESC, metric LIMIT 30),
-mm AS (SELECT advisor, regexp_replace(metric, '[ \\-/.]', '_', 'g') AS ms,
+mm AS MATERIALIZED (SELECT advisor, regexp_replace(metric, '[ \\-/.]', '_', 'g') AS ms,
               avg(ptg) AS ptg_avg, avg(wptg) AS wptg_avg, avg(score) AS score_avg
        FROM k WHERE metric IN (SELECT metric FROM top) GROUP BY advisor, metric),
-feat AS (SELECT CAST(advisor AS BIGINT) AS row_id, ms || '_ptg_avg' AS feature, ptg_avg AS x FROM mm
+feat AS MATERIALIZED (SELECT CAST(advisor AS BIGINT) AS row_id, ms || '_ptg_avg' AS feature, ptg_avg AS x FROM mm
          UNION ALL SELECT CAST(advisor AS BIGINT), ms || '_wptg_avg', wptg_avg FROM mm
          UNION ALL SELECT CAST(advisor AS BIGINT), ms || '_score_avg', score_avg FROM mm),
 roll AS (SELECT advisor, avg(ptg) AS v FROM k GROUP BY advisor),
@@ -77,16 +77,16 @@ tiers AS (SELECT CAST(advisor AS BIGINT) AS row_id,
           FROM roll, cuts WHERE v IS NOT NULL),
 tr AS (SELECT *, row_number() OVER (PARTITION BY class ORDER BY {hash_order_sql('row_id')}, row_id) AS rk,
               count(*) OVER (PARTITION BY class) AS n FROM tiers),
-sp AS (SELECT row_id, class, CASE WHEN rk <= round(CAST(0.2 AS DOUBLE) * n) THEN 'test' ELSE 'train' END AS split
+sp AS MATERIALIZED (SELECT row_id, class, CASE WHEN rk <= round(CAST(0.2 AS DOUBLE) * n) THEN 'test' ELSE 'train' END AS split
        FROM tr),
 ftr AS (SELECT f.row_id, f.feature, f.x, sp.class FROM feat f JOIN sp ON f.row_id = sp.row_id
         WHERE sp.split = 'train'),
 fte AS (SELECT f.* FROM feat f JOIN sp ON f.row_id = sp.row_id WHERE sp.split = 'test'),
-fmean AS (SELECT feature, avg(x) AS mean FROM ftr GROUP BY feature),
+fmean AS MATERIALIZED (SELECT feature, avg(x) AS mean FROM ftr GROUP BY feature),
 cmean AS (SELECT class, feature, avg(x) AS cmean FROM ftr GROUP BY class, feature),
-coef AS (SELECT c.class, c.feature, coalesce(c.cmean - m.mean, 0.0) AS coef
+coef AS MATERIALIZED (SELECT c.class, c.feature, coalesce(c.cmean - m.mean, 0.0) AS coef
          FROM cmean c JOIN fmean m ON c.feature = m.feature),
-contrib AS (SELECT f.row_id, f.feature, c.class,
+contrib AS MATERIALIZED (SELECT f.row_id, f.feature, c.class,
                    coalesce(c.coef * (coalesce(f.x, m.mean) - m.mean), 0.0) AS contribution
             FROM fte f JOIN fmean m ON f.feature = m.feature JOIN coef c ON f.feature = c.feature),
 nid AS (SELECT count(DISTINCT row_id) AS n_ids, count(DISTINCT class) AS n_cls FROM contrib)"""

@@ -121,11 +121,11 @@ def advisor_split(spark: SparkSession, d: str) -> DataFrame:
     return split.stratified_split(t, "class", "row_id", 0.2, None)
 
 
-def kpi_model(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def kpi_model(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """A linear score read off the training advisors: per tier class and
     feature, class mean minus overall mean.  Returns (coefficients
     (class, feature, coef), baseline means (feature, mean), test-advisor
-    features (row_id, feature, x))."""
+    features (row_id, feature, x), the advisors' split (row_id, class, split))."""
     from cadre.session import cut_lineage
     # advisors x features and advisors, read several times below
     feats = cut_lineage(kpi_feature_long(spark, d).withColumn("row_id", F.col("row_id").cast("bigint")))
@@ -136,7 +136,7 @@ def kpi_model(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFr
     coefs = by_class.join(means, "feature").select(
         "class", "feature", F.coalesce(F.try_divide(F.col("s"), F.col("n").cast("double")) - F.col("mean"), F.lit(0.0)).alias("coef"))
     test = feats.join(s.filter(F.col("split") == "test").select("row_id"), "row_id")
-    return coefs, means, test
+    return coefs, means, test, s
 
 
 def order_features(spark: SparkSession, d: str) -> DataFrame:

@@ -34,3 +34,14 @@ def test_oracle_matches_at_small_scale(spark, name):
     a = Counter(tuple(r[c] for c in order) for r in [x.asDict() for x in sdf.collect()])
     b = Counter(tuple(dict(zip(cols, r))[c] for c in order) for r in res.fetchall())
     assert a == b
+
+
+def test_queries_without_a_library_of_the_training_data_part(monkeypatch):
+    import sys
+    have = set(E.queries())
+    for m in [m for m in sys.modules if m == "corpus_pipeline" or m.startswith("cadre.llm")]:
+        monkeypatch.delitem(sys.modules, m)
+    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)  # its import now fails
+    left = set(E.queries())
+    assert "kpi_rollup" in left and set(E.oracle_sql()) <= left
+    assert have - left == {q for q in have if q == "pipeline" or (q.startswith("op") and q[2].isdigit())}
