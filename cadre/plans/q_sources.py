@@ -226,3 +226,19 @@ def scored_linear_summary(spark, d):
     rows = score.rank_by_risk(s).select(F.lit("by_risk").alias("part"), F.col("predicted_tier").alias("tier"),
                                         F.lit(None).cast("bigint").alias("n"), "row_id", "p_at_risk")
     return counts.unionByName(rows)
+
+
+@register("csv_quoted_breaks", """
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, source, sha256(text) AS text_sha256, length(text) AS n_chars
+FROM (SELECT doc_id, source, CASE WHEN text IN ('', '#N/A', '#N/A N/A', '#NA', '-1.#IND', '-1.#QNAN', '-NaN', '-nan', '1.#IND', '1.#QNAN',
+             '<NA>', 'N/A', 'NA', 'NULL', 'NaN', 'None', 'n/a', 'nan', 'null') THEN NULL ELSE text END AS text FROM documents)
+""")
+def csv_quoted_breaks(spark, d):
+    """Whole documents, whose texts hold line breaks and quotes, written
+    as CSV and read back by as many tasks as the files have blocks."""
+    path = _folder(spark, "quoted-csv")
+    docs = table(spark, d, "documents").select("doc_id", "source", "text")
+    docs.write.option("header", True).option("quoteAll", True).option("escape", '"') \
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    df = read_dirty_csv(spark, path, multi_line=True)
+    return df.select("doc_id", "source", F.sha2("text", 256).alias("text_sha256"), F.length("text").cast("bigint").alias("n_chars"))

@@ -81,6 +81,40 @@ def test_dirty_csv_scan(spark, tmp_path):
     assert got["A4"] == (None, "1,5") and got["A5"] == (None, None)
 
 
+def test_quoted_line_breaks_by_many_tasks(spark, tmp_path):
+    import csv as plain
+    import io
+    import random
+    r = random.Random(5)
+    piece = lambda: r.choice(["plain", "a,b", 'say ""hi""', "two\nlines", "\n", "x\r\ny", "", "é中", "end\n"])
+    for name in ("one.csv", "two.csv"):
+        rows = []
+        for i in range(3000):
+            quoted = r.random() < 0.3 if name == "one.csv" or 1000 < i < 1100 else False
+            f = ['"' + "".join(piece() for _ in range(3)) + '"' if quoted else "v%d" % i for _ in range(2)]
+            rows.append(",".join([name[0] + str(i), *f][:2 if i % 50 == 0 else 3]) + (",extra" if i % 71 == 0 and i % 50 else ""))
+        (tmp_path / name).write_text("\ufeffid,b ,c\n" + "\n".join(rows) + "\n", encoding="utf-8", newline="")
+    want = []
+    for name in ("one.csv", "two.csv"):
+        text = (tmp_path / name).read_bytes().decode("utf-8-sig")
+        for row in list(plain.reader(io.StringIO(text, newline="")))[1:]:
+            if row and len(row) <= 3:
+                row = [x if x != "" else None for x in row] + [None] * (3 - len(row))
+                want.append(tuple(row))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        df = csv.read_dirty_csv(spark, str(tmp_path), multi_line=True)
+        assert csv._lines(spark, str(tmp_path)).rdd.getNumPartitions() > 8
+        key = lambda x: tuple((v is None, v) for v in x)
+        assert df.columns == ["id", "b", "c"]
+        assert sorted((tuple(x) for x in df.collect()), key=key) == sorted(want, key=key)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    (tmp_path / "three.csv").write_text("id,c,b\n1,2,3\n")
+    with pytest.raises(ValueError, match="different headers"):
+        csv.read_dirty_csv(spark, str(tmp_path), multi_line=True)
+
+
 def test_csv_sink_roundtrip(spark, tmp_path):
     df = spark.createDataFrame([(1, "a,b", 0.5)], "id int, s string, p double")
     path = str(tmp_path / "out")
