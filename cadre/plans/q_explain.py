@@ -8,6 +8,8 @@ from cadre.operators import explain
 from cadre.plans import sql_views as V
 from cadre.plans import views
 from cadre.plans.catalog import register, rounded
+from cadre.session import cut_lineage, scratch_path
+from cadre.sources import artifacts
 
 R = V.r6
 
@@ -143,3 +145,58 @@ def coef_topk(spark, d):
     coefs, _, _, _ = views.kpi_model(spark, d)
     c = coefs.withColumn("class", F.col("class").cast("int"))
     return rounded(explain.coef_topk(c, 12))
+
+
+#: Label and description of each feature group.
+GROUP_INFO = [
+    ("size", "Part size", "Metrics of small and large parts"),
+    ("colour", "Part colour", "Metrics of red and blue parts"),
+    ("temperature", "Part temperature", "Metrics of hot and cold parts"),
+    ("age", "Part age", "Metrics of new and old parts"),
+    ("other", "Other parts", "Metrics of all other parts"),
+]
+
+
+@register("explanation_export", f"""
+WITH {V.EXPLAIN},
+share AS (SELECT class, count(*) / CAST((SELECT count(*) FROM sp WHERE split = 'train') AS DOUBLE) AS p
+          FROM sp WHERE split = 'train' GROUP BY class),
+g AS (SELECT row_id, {_group_sql()} AS key, class, sum(contribution) AS c FROM contrib GROUP BY 1, 2, 3),
+info(key, label) AS (VALUES {", ".join(f"('{k}', '{t}')" for k, t, _ in GROUP_INFO)}),
+dense AS (SELECT ids.row_id, info.key, cls.class, coalesce(g.c, 0.0) AS c
+          FROM (SELECT DISTINCT row_id FROM contrib) ids CROSS JOIN info CROSS JOIN (SELECT DISTINCT class FROM contrib) cls
+          LEFT JOIN g ON g.row_id = ids.row_id AND g.key = info.key AND g.class = cls.class),
+m AS (SELECT key, class, avg(c) AS m FROM dense GROUP BY 1, 2),
+dom AS (SELECT key, arg_max(class, (abs(m), -class)) AS d FROM m GROUP BY 1)
+SELECT 'sample' AS part, dense.row_id, CAST(sp.class AS INTEGER) AS actual, dense.key, CAST(NULL AS VARCHAR) AS label, CAST(dense.class AS INTEGER) AS class,
+       {R('ln(least(greatest(share.p, CAST(1e-9 AS DOUBLE)), 1.0))')} AS base_log_odds, {R('dense.c')} AS contribution,
+       CAST(NULL AS INTEGER) AS dominant_class
+FROM dense JOIN sp ON dense.row_id = sp.row_id JOIN share ON share.class = dense.class
+UNION ALL
+SELECT 'group', NULL, NULL, m.key, info.label, CAST(m.class AS INTEGER), NULL, {R('m.m')}, CAST(dom.d AS INTEGER)
+FROM m JOIN info ON m.key = info.key JOIN dom ON dom.key = m.key
+""")
+def explanation_export(spark, d):
+    """The explanation payload of the test advisors — nested samples,
+    groups with labels, metadata — written, read back and laid out long."""
+    coefs, means, test, split = views.kpi_model(spark, d)
+    counts = {r["class"]: r["count"] for r in split.where("split = 'train'").groupBy("class").count().collect()}
+    n = sum(counts.values())
+    pred = split.where("split = 'test'").select("row_id", F.col("class").cast("int").alias("label"),
+                                                *[F.lit(counts.get(c, 0) / n).alias(f"p{c}") for c in range(3)])
+    contrib = explain.linear_contributions(test, coefs, "row_id", baseline=means)
+    samples = cut_lineage(explain.payload_samples(explain.sample_table(pred, contrib, ["p0", "p1", "p2"], groups=KPI_GROUPS),
+                                                  [k for k, _, _ in GROUP_INFO], 3))
+    path = scratch_path(spark, "payload")
+    artifacts.write_payload(samples, explain.payload_groups(samples, GROUP_INFO, 3), path, {"n_test": samples.count(), "n_classes": 3})
+    samples, groups, meta = artifacts.read_payload(spark, path)
+    keys = F.array(*[F.lit(k) for k, _, _ in GROUP_INFO])
+    by_group = samples.select("row_id", "actual", "base", F.posexplode("contributions").alias("g", "c"))
+    by_class = by_group.select("row_id", "actual", "base", "g", F.posexplode("c").alias("class", "contribution"))
+    rows = by_class.select(F.lit("sample").alias("part"), "row_id", "actual", F.element_at(keys, F.col("g") + 1).alias("key"),
+                           F.lit(None).cast("string").alias("label"), "class", F.element_at("base", F.col("class") + 1).alias("base_log_odds"),
+                           "contribution", F.lit(None).cast("int").alias("dominant_class"))
+    each = groups.select("key", "label", "dominant_class", F.posexplode("mean_contribution").alias("class", "contribution"))
+    none = lambda t: F.lit(None).cast(t)
+    return rounded(rows.unionByName(each.select(F.lit("group").alias("part"), none("bigint").alias("row_id"), none("int").alias("actual"), "key", "label",
+                                                "class", none("double").alias("base_log_odds"), "contribution", "dominant_class")))

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from cadre.functions import text
 from cadre.operators import clean, columns, features, profile
+from cadre.operators.sketches import SketchStore
 from cadre.plans.catalog import register, rounded
+from cadre.session import cut_lineage, scratch_path
 from cadre.sources.tables import table
 
 NUM_RE_SQL = "'[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?'"
@@ -211,3 +213,35 @@ _CARD_COLS = ["c_nationkey", "c_mktsegment", "c_name", "c_acctbal"]
 def cardinality(spark, d):
     """F12 + A16: distinct values per column, high-cardinality flag (> 20)."""
     return features.cardinality(table(spark, d, "customer"), _CARD_COLS, high=20)
+
+
+_SKETCHED = ["l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag"]
+_SKETCHED_NUMERIC = ["l_quantity", "l_extendedprice"]
+
+
+@register("sketch_profile", "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS feature, count(*) AS n, count(*) - count({c}) AS n_null, "
+    + (f"min({c}) AS lo, max({c}) AS hi" if c in _SKETCHED_NUMERIC else "CAST(NULL AS DOUBLE) AS lo, CAST(NULL AS DOUBLE) AS hi")
+    + f", true AS distinct_near, true AS same_after_reload, {'true' if c in _SKETCHED_NUMERIC else 'CAST(NULL AS BOOLEAN)'} AS median_near FROM lineitem"
+    for c in _SKETCHED))
+def sketch_profile(spark, d):
+    """A16/A18/A21/F12 (opt-in): sketches by ship year, stored load by load and
+    merged: exact counts and ranges, distinct numbers within 8 %, a median
+    within 4 % of its rank, and no change when a load is added again."""
+    li = table(spark, d, "lineitem").withColumn("year", F.year("l_shipdate"))
+    store = SketchStore(spark, scratch_path(spark, "sketches"))
+    store.add(li, "year", _SKETCHED, _SKETCHED_NUMERIC)
+    before = cut_lineage(store.profile())
+    store.add(li.where("year = 1995"), "year", _SKETCHED, _SKETCHED_NUMERIC)
+    again = store.profile().select("feature", F.col("n").alias("_n"), F.col("n_distinct").alias("_d"))
+    exact = li.agg(*[F.count_distinct(c).alias(c) for c in _SKETCHED]).first()
+    median = {r["feature"]: r["quantiles"][1] for r in before.where("quantiles IS NOT NULL").collect()}
+    below = li.agg(*[F.avg((F.col(c) <= F.lit(m)).cast("double")).alias(c) for c, m in median.items()],
+                   *[F.avg((F.col(c) < F.lit(m)).cast("double")).alias(f"{c}_lt") for c, m in median.items()]).first()
+    facts = [(c, float(exact[c]), bool(below[f"{c}_lt"] <= 0.54 and below[c] >= 0.46) if c in median else None) for c in _SKETCHED]
+    facts = spark.createDataFrame(facts, "feature string, exact double, median_near boolean")
+    near = F.abs(F.col("n_distinct") - F.col("exact")) <= 0.08 * F.col("exact")
+    # four rows each
+    return before.join(again, "feature").join(facts, "feature").select(
+        "feature", "n", "n_null", "lo", "hi", near.alias("distinct_near"),
+        ((F.col("_n") == F.col("n")) & (F.col("_d") == F.col("n_distinct"))).alias("same_after_reload"), "median_near")

@@ -60,3 +60,29 @@ def export_explanations(contrib: DataFrame, groups: DataFrame, path: str,
     spark = contrib.sparkSession
     spark.createDataFrame([(json.dumps(meta or {}),)], "meta string").coalesce(1) \
         .write.mode("overwrite").json(f"{path}/meta")
+
+
+def write_payload(samples: DataFrame, groups: DataFrame, path: str, meta: dict) -> None:
+    """The explanation payload of :func:`explain.payload_samples` and
+    :func:`explain.payload_groups` with its metadata."""
+    samples.write.mode("overwrite").parquet(f"{path}/samples")
+    groups.write.mode("overwrite").parquet(f"{path}/groups")
+    spark = samples.sparkSession
+    spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").json(f"{path}/meta")
+
+
+def read_payload(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, dict]:
+    """(samples, groups, meta) of a written payload."""
+    meta = json.loads(spark.read.schema("meta string").json(f"{path}/meta").first()["meta"])
+    return spark.read.parquet(f"{path}/samples"), spark.read.parquet(f"{path}/groups"), meta
+
+
+def payload_document(spark: SparkSession, path: str, limit: int = 5000) -> str:
+    """The whole payload as one JSON document, for a page to load.  A sample
+    of more than ``limit`` rows is an error: take one with ``sample_rows``."""
+    samples, groups, meta = read_payload(spark, path)
+    if samples.limit(limit + 1).count() > limit:
+        raise ValueError(f"more than {limit} explained rows; export a sample of them")
+    as_rows = lambda df: [json.loads(x) for x in df.toJSON().collect()]
+    found = as_rows(groups)
+    return json.dumps({"meta": meta, "groups": found, "correlations": {g["key"]: g["mean_contribution"] for g in found}, "samples": as_rows(samples)})

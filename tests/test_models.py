@@ -237,3 +237,43 @@ def test_evaluation_of_nulls_and_no_rows(spark):
     assert (heads["0"]["n"], heads["0"]["n_positive"], heads["1"]["n"], heads["1"]["n_positive"]) == (2, 0, 3, 1)
     assert heads["0"]["auc"] is None and heads["1"]["auc"] == 1.0
     assert Evaluation(df.where("false"), prob_cols=["p0", "p1"]).heads_summary().count() == 0
+
+
+def test_sketches_merge_like_one_pass(spark, tmp_path):
+    from cadre.operators import sketches
+    df = spark.range(20_000).selectExpr("id % 4 AS day", "CASE WHEN id % 10 = 0 THEN NULL ELSE id % 3000 END AS v",
+                                        "CAST(id AS STRING) AS s", "CAST(NULL AS DOUBLE) AS none")
+    store = sketches.SketchStore(spark, str(tmp_path / "s"))
+    for day in range(4):
+        store.add(df.where(f"day = {day}"), "day", ["v", "s", "none"], ["v", "none"])
+    got = {r["feature"]: r for r in store.profile().collect()}
+    one = {r["feature"]: r for r in sketches.merged_profile(sketches.column_sketches(df.withColumn("day", F.lit(0)), "day", ["v", "s", "none"], ["v", "none"])).collect()}
+    for c in got:  # the distinct sketches merge to the very same registers
+        assert [got[c][x] for x in ("n", "n_null", "lo", "hi", "n_distinct")] == [one[c][x] for x in ("n", "n_null", "lo", "hi", "n_distinct")]
+    assert (got["v"]["n"], got["v"]["n_null"], got["v"]["lo"], got["v"]["hi"]) == (20_000, 2_000, 1.0, 2999.0)
+    assert abs(got["v"]["n_distinct"] - 2700) < 0.05 * 2700 and abs(got["s"]["n_distinct"] - 20_000) < 0.05 * 20_000
+    assert got["none"]["n_null"] == 20_000 and got["none"]["quantiles"] is None and got["s"]["quantiles"] is None
+    for p, q in zip((1 / 3, 0.5, 2 / 3), got["v"]["quantiles"]):
+        assert abs(q / 3000 - p) < 0.035
+    assert {r["n"] for r in store.profile(["1", "3"]).collect()} == {10_000}
+    store.add(df.where("day = 1 AND v IS NOT NULL"), "day", ["v"], ["v"])  # day 1 is replaced
+    assert {r["feature"]: r["n"] for r in store.profile(["1"]).collect()} == {"v": df.where("day = 1 AND v IS NOT NULL").count()}
+
+
+def test_payload_document(spark, tmp_path):
+    from cadre.operators import explain
+    from cadre.sources import artifacts
+    rows = [(1, 0, c, -0.5 - c, g, v) for c in range(2) for g, v in (("a", 0.2 + c), ("b", -1.0))] + [(2, 1, c, -0.1, "a", 0.4) for c in range(2)]
+    long = spark.createDataFrame(rows, "row_id int, actual int, class int, base_log_odds double, group string, contribution double")
+    info = [("a", "A", "first"), ("b", "B", "second"), ("z", "Z", "none")]
+    nested = explain.payload_samples(long, ["a", "b", "z"], 2)
+    artifacts.write_payload(nested, explain.payload_groups(nested, info, 2), str(tmp_path / "p"), {"n_test": 2})
+    doc = json.loads(artifacts.payload_document(spark, str(tmp_path / "p")))
+    assert doc["meta"] == {"n_test": 2} and sorted(doc["correlations"]) == ["a", "b", "z"]
+    assert doc["correlations"]["a"] == pytest.approx([0.3, 0.8]) and doc["correlations"]["b"] == pytest.approx([-0.5, -0.5])
+    assert {g["key"]: g["dominant_class"] for g in doc["groups"]} == {"a": 1, "b": 0, "z": 0}
+    assert {g["key"]: (g["label"], g["description"]) for g in doc["groups"]}["b"] == ("B", "second")
+    first = next(s for s in doc["samples"] if s["row_id"] == 1)
+    assert first["base"] == [-0.5, -1.5] and first["contributions"] == [[0.2, 1.2], [-1.0, -1.0], [0.0, 0.0]] and first["actual"] == 0
+    with pytest.raises(ValueError):
+        artifacts.payload_document(spark, str(tmp_path / "p"), limit=1)
