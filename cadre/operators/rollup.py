@@ -159,14 +159,16 @@ def metric_means_long(facts: DataFrame, key: str = "advisor", metric: str = "met
 def metric_pivot(facts: DataFrame, key: str = "advisor", metric: str = "metric",
                  score: str | None = "score", ptg: str | None = "ptg",
                  wptg: str | None = "wptg", metrics: Sequence[str] | None = None,
-                 n: int = 30) -> DataFrame:
+                 n: int = 30, each=None) -> DataFrame:
     """Wide per-metric means ``{safe}_{ptg,wptg,score}_avg`` for the top-N.
 
     One row for every person with a valid key, also for those without any of
-    the metrics: the means are conditional averages of one aggregation.  The
+    the metrics.  Facts are first averaged per (person, listed metric), with all
+    other metrics as one; only those few rows a person are laid out wide.  The
     metrics are an explicit list (by default the top-N, ``n`` strings on the
     driver), which caps the width.  Two metrics that collide after
-    name-safing raise.
+    name-safing raise.  ``each`` changes the long means (say, rounds them)
+    before they are laid out.
     """
     if metrics is None:
         metrics = top_metric_list(facts, metric, n, key)
@@ -174,19 +176,27 @@ def metric_pivot(facts: DataFrame, key: str = "advisor", metric: str = "metric",
     if len(set(safe)) != len(safe):
         raise ValueError(f"metric names collide after name-safing: {metrics}")
     base = kpi_facts(facts, key, None, metric, score, ptg, wptg)
-    means = [F.avg(F.when(F.col("_metric") == m, F.col(v))).alias(f"{s}_{v[1:]}_avg")
-             for m, s in zip(metrics, safe) for v in ("_ptg", "_wptg", "_score")]
-    return base.groupBy(F.col("_k").alias(key)).agg(*means)
+    measures = ("_ptg", "_wptg", "_score")
+    listed = F.when(F.col("_metric").isin(list(metrics)), F.col("_metric")) if metrics else F.lit(None).cast("string")
+    cells = base.groupBy("_k", listed.alias("_metric")).agg(*[F.avg(v).alias(v) for v in measures])
+    if each is not None:
+        cells = each(cells)
+    # one row for each person and metric: the largest value is the value
+    means = [F.max(F.when(F.col("_metric") == m, F.col(v))).alias(f"{s}_{v[1:]}_avg")
+             for m, s in zip(metrics, safe) for v in measures]
+    if not means:
+        return cells.select(F.col("_k").alias(key)).distinct()
+    return cells.groupBy(F.col("_k").alias(key)).agg(*means)
 
 
 def person_features(facts: DataFrame, key: str = "advisor", month: str | None = "month",
                     metric: str = "metric", score: str | None = "score", ptg: str | None = "ptg",
-                    wptg: str | None = "wptg", metrics: Sequence[str] | None = None, n: int = 30) -> DataFrame:
+                    wptg: str | None = "wptg", metrics: Sequence[str] | None = None, n: int = 30, each=None) -> DataFrame:
     """One row per person with the dense rollup (A1-A6) and the wide
     per-metric means (A8); both are aggregated by person, so they meet
-    without another exchange."""
+    without another exchange.  ``each`` changes both parts before that."""
     dense = kpi_rollup(facts, key, month, metric, score, ptg, wptg)
-    return dense.join(metric_pivot(facts, key, metric, score, ptg, wptg, metrics, n), key)
+    return (each(dense) if each else dense).join(metric_pivot(facts, key, metric, score, ptg, wptg, metrics, n, each), key)
 
 
 def metric_latest(facts: DataFrame, key: str = "advisor", month: str | None = "month",

@@ -78,7 +78,7 @@ FROM kpi WHERE {KEY_OK} GROUP BY advisor
 def kpi_metric_pivot_wide(spark, d):
     """Means of 30 listed metrics as ``{metric}_{measure}_avg`` columns, one row
     for every advisor (A8, wide form)."""
-    return rounded(rollup.metric_pivot(views.kpi(spark, d), metrics=WIDE_METRICS))
+    return rollup.metric_pivot(views.kpi(spark, d), metrics=WIDE_METRICS, each=rounded)
 
 
 @register("person_features", f"""
@@ -99,7 +99,7 @@ GROUP BY k.advisor
 """)
 def person_features(spark, d):
     """One row per advisor: the dense rollup (A1-A6) and 90 per-metric means."""
-    return rounded(rollup.person_features(views.kpi(spark, d), metrics=WIDE_METRICS))
+    return rollup.person_features(views.kpi(spark, d), metrics=WIDE_METRICS, each=rounded)
 
 
 _LATEST = """
