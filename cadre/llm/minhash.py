@@ -36,13 +36,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadre.llm.common import free_name, maybe_broadcast, narrow, scratch_path, sized, whole, written
 
 WORDS = 5
 SIMILAR = 0.8
+#: Share of two texts' cells together that they must have in common.
+NEED = SIMILAR / (1 + SIMILAR)
 COORDS = 120
 #: Bands over the first coordinates: texts of similarity 0.8 share one of the
 #: 12 with probability 0.998.
@@ -227,21 +229,44 @@ def _prefixes(texts: DataFrame) -> DataFrame:
     return common.select("id", "n", "cell", place.alias("place")).where(F.col("place") <= F.col("n") - least + 1)
 
 
+def _length_class(n: Column) -> Column:
+    """Class of a number of cells; each spans 2 % of its size, at least one number."""
+    return F.floor(F.log(n.cast("double")) / float(np.log(1.02)) + 1e-9).cast("int")
+
+
 def _candidates(texts: DataFrame, active: DataFrame, root: DataFrame) -> DataFrame:
     """(id, lead) of all pairs of ``texts`` that can be similar, are in
-    different components (id, root) and of which one is ``active``."""
+    different components (id, root) and of which one is ``active``.
+
+    Let a pair's first common cell have ``r`` and ``r2`` cells from it on in
+    texts of ``n`` <= ``n2`` cells.  They share no more than the smaller of both
+    and must share ``NEED * (n + n2)``, so the shorter text's partner has at
+    most ``r / NEED - n`` cells, and 1.25 n: the pairs are joined on the cell
+    and the classes of these lengths, and texts that share a common passage but
+    too little else are never paired.
+    """
     entries = _prefixes(texts).join(root, "id", "left").join(active.withColumn("on", F.lit(True)), "id", "left")
-    entries = written(entries.select("id", "n", "cell", "place", F.coalesce("root", "id").alias("root"), F.coalesce("on", F.lit(False)).alias("on")), "minhash-prefixes")
+    entries = entries.select("id", "n", "cell", (F.col("n") - F.col("place") + 1).alias("r"), F.coalesce("root", "id").alias("root"),
+                             F.coalesce("on", F.lit(False)).alias("on"))
+    entries = written(entries.withColumn("size", _length_class(F.col("n"))), "minhash-prefixes")
+    most = F.floor(F.least(F.col("n") / SIMILAR, F.col("r") / NEED - F.col("n")) + 1e-6)
+    short = entries.where(most >= F.col("n")).withColumn("size", F.explode(F.sequence("size", _length_class(most))))
+    short = written(short, "minhash-short")
+    long = entries.select("cell", "size", *[F.col(c).alias(f"{c}2") for c in ("id", "n", "r", "root", "on")])
+    enough = F.least("r", "r2") >= NEED * (F.col("n") + F.col("n2")) - 1e-6
     # components are paired before their texts, so a group of copies costs nothing in its own buckets
-    held = written(entries.groupBy("cell", "root").agg(F.max("on").alias("any")), "minhash-roots")
-    roots = held.select("cell", "root", "any").join(held.select("cell", F.col("root").alias("root2"), F.col("any").alias("any2")), "cell")
-    roots = written(roots.where("root < root2 and (any or any2)").select("cell", "root", "root2"), "minhash-root-pairs")
-    other = entries.select("cell", *[F.col(c).alias(f"{c}2") for c in ("id", "n", "place", "root", "on")])
-    both = roots.join(entries, ["cell", "root"]).join(other, ["cell", "root2"])
-    # what two texts can share from the first cell that both have on
-    shared = 1 + F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2"))
-    can = shared >= SIMILAR / (1 + SIMILAR) * (F.col("n") + F.col("n2")) - 1e-6
-    return both.where(F.col("on") | F.col("on2")).where(can).select("id", F.col("id2").alias("lead")).distinct()
+    held = short.groupBy("cell", "size", "root").agg(F.max("on").alias("on"), F.min("n").alias("n"), F.max("r").alias("r"))
+    held2 = long.groupBy("cell", "size", "root2").agg(F.max("on2").alias("on2"), F.min("n2").alias("n2"), F.max("r2").alias("r2"))
+    roots = written(held, "minhash-roots").join(written(held2, "minhash-roots"), ["cell", "size"])
+    roots = roots.where((F.col("root") != F.col("root2")) & (F.col("on") | F.col("on2")) & enough)
+    roots = written(roots.select("cell", "size", "root", "root2", F.col("n2").alias("least_n2"), F.col("r2").alias("most_r2"),
+                                 F.col("on2").alias("any2")), "minhash-root-pairs")
+    one = roots.join(short, ["cell", "size", "root"]).where(
+        (F.least("r", "most_r2") >= NEED * (F.col("n") + F.col("least_n2")) - 1e-6) & (F.col("on") | F.col("any2")))
+    one = written(one.select("cell", "size", "root2", "id", "n", "r", "on"), "minhash-short-pairs")
+    ordered = (F.col("n") < F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("id") < F.col("id2")))
+    both = one.join(long, ["cell", "size", "root2"]).where(ordered & enough & (F.col("n") >= SIMILAR * F.col("n2") - 1e-6) & (F.col("on") | F.col("on2")))
+    return both.select(F.greatest("id", "id2").alias("id"), F.least("id", "id2").alias("lead")).distinct()
 
 
 def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
