@@ -17,13 +17,15 @@ had to draw again travel back to the documents: as a broadcast table up to
 Texts are read twice and not moved (unless that join is needed).
 
 Defined cases: null texts stay null and empty ones empty; repeated rows give
-repeated results; overlapping matches go to the earlier kind in ``PATTERNS``;
+repeated results; null ids travel like any column; texts of any length are
+searched whole; overlapping matches go to the earlier kind in ``PATTERNS``;
 matches without a letter or digit (masked values) are no entities;
 an empty table gives an empty result; other columns travel unchanged.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import hmac
 import re
@@ -171,13 +173,12 @@ def _named(text: str) -> Iterator[Mention]:
 
 def detect(text: str) -> list[Mention]:
     """Mentions that do not overlap, in text order."""
-    found: list[Mention] = []
-    taken: list[tuple[int, int]] = []
+    found: list[Mention] = []  # in text order, so only the neighbours can overlap
 
     def add(m: Mention) -> None:
-        if all(m.end <= a or m.start >= b for a, b in taken):
-            taken.append((m.start, m.end))
-            found.append(m)
+        at = bisect.bisect_left(found, m.start, key=lambda x: x.start)
+        if (at == 0 or found[at - 1].end <= m.start) and (at == len(found) or m.end <= found[at].start):
+            found.insert(at, m)
 
     for kind in _kinds(text):
         for m in PATTERNS[kind].finditer(text):
@@ -193,7 +194,7 @@ def detect(text: str) -> list[Mention]:
         for x in again.finditer(text):
             m = kinds[x[0]]
             add(Mention(x.start(), x.end(), m.kind, m.entity))
-    return sorted(found)
+    return found
 
 
 # -- surrogates ------------------------------------------------------------
@@ -254,7 +255,8 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int = 0) -> str:
         head, _, rest = entity.rpartition(" ")
         return f"{head} {_like(s, rest)}{more}".strip()
     if kind == "ip":
-        return ".".join(str(1 + s.below(254)) for _ in range(4 + longer))
+        # four octets at any attempt: there are billions of them
+        return ".".join(str(1 + s.below(254)) for _ in range(4))
     if kind == "card":
         out = entity[0] + _like(s, entity[1:]) + more
         return next(x for x in (out[:-1] + str(d) for d in range(10)) if _luhn(x)) if _luhn(entity) else out
