@@ -9,9 +9,10 @@ and in however many tables it occurs.
 The normalisation maps null to the empty text and nothing else: any further
 folding could give two contents with different counts the same digest.
 
-Defined cases: null and empty texts have 0 bytes and 0 tokens; repeated rows
-give repeated result rows; an empty table gives an empty result; other
-columns of the input are not read.
+Defined cases: null and empty texts have 0 bytes and 0 tokens; a null id is
+kept; a text of any length is encoded whole; repeated rows give repeated result
+rows; a digest stored twice counts once; an empty table gives an empty result;
+other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -23,7 +24,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
 
 from cadre.llm.common import narrow, scratch_path, text_parts, whole, written
 
@@ -68,17 +68,18 @@ def encode_misses(misses: DataFrame, tokenizer: str) -> DataFrame:
 
 class TokenCountCache:
     """Stored counts of one tokenizer version: a Parquet folder under ``root``
-    named by the version, with one row per digest."""
+    named by the version.  Writers only append; two jobs, or one that is tried
+    again after its append, can both store a digest, so a reader takes one row
+    per digest."""
 
     def __init__(self, spark: SparkSession, root: str, tokenizer: str):
         self.spark, self.tokenizer = spark, tokenizer
         self.path = f"{root}/tokenizer={tokenizer_version(tokenizer)}"
+        # makes the folder, so that an empty cache is read like any other
+        spark.createDataFrame([], CACHE).write.mode("append").parquet(self.path)
 
     def read(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(CACHE).parquet(self.path)
-        except AnalysisException:  # nothing has been counted yet
-            return self.spark.createDataFrame([], CACHE)
+        return self.spark.read.schema(CACHE).parquet(self.path).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 
     def count(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """One row (id, n_bytes, n_tokens) per row of ``docs``.

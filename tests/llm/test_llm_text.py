@@ -242,3 +242,17 @@ def test_radius_search_is_complete(spark, radius):
     dist = lambda a, b: ((a ^ b) & (2 ** 64 - 1)).bit_count()
     u = set(signed)
     assert got == Counter((a, b, dist(a, b)) for a in u for b in u if dist(a, b) <= radius)
+
+
+def test_cache_with_doubled_appends_and_two_writers(spark, tmp_path):
+    path, root = tokenizer_path("byte_bpe_50k.json"), str(tmp_path / "cache")
+    df = spark.createDataFrame([(1, "one two"), (2, "three"), (3, None)], "doc_id long, text string")
+    first = {tuple(r) for r in token_counts.count_tokens(df, path, cache_root=root).collect()}
+    cache = token_counts.TokenCountCache(spark, root, path)
+    stored = spark.read.schema(token_counts.CACHE).parquet(cache.path)
+    rows = [tuple(r) for r in stored.collect()]
+    for _ in range(2):  # a job tried again, and another job that counted the same texts
+        spark.createDataFrame(rows, token_counts.CACHE).write.mode("append").parquet(cache.path)
+    again = token_counts.count_tokens(df, path, cache_root=root).collect()
+    assert len(again) == 3 and {tuple(r) for r in again} == first
+    assert cache.read().count() == 3 < spark.read.schema(token_counts.CACHE).parquet(cache.path).count()
