@@ -13,7 +13,8 @@ Encoding follows the file's own definition: added tokens in a text are found
 first, the rest is cut by the byte-level pattern, and merges never cross a
 word.  Decoding joins the tokens' bytes and replaces invalid UTF-8.
 
-Defined cases: null is the empty text and has no ids; repeated rows give
+Defined cases: null is the empty text and has no ids; null document ids travel
+like any column; texts of any length are encoded whole; repeated rows give
 repeated results; an empty table gives an empty result (and an empty lexicon);
 other columns of the input travel unchanged.
 """
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cadre.llm.common import SPACE, free_name, text_parts, top_counts, whole, written
+from cadre.llm.common import SPACE, free_name, text_parts, thrifty, top_counts, whole, written
 
 #: Words in the lexicon, characters encoded at a time, words remembered by a worker.
 LEXICON_WORDS = 1 << 16
@@ -384,7 +385,7 @@ def frequent_words(docs: DataFrame, path: str, text_col: str = "text", size: int
                     total[x] = total.get(x, 0) + n
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["w", "n"])
 
-    words = written(parts.mapInArrow(cut, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")), "bpe-words")
+    words = written(parts.mapInArrow(thrifty(cut), "w string, n long").groupBy("w").agg(F.sum("n").alias("n")), "bpe-words")
     return [w for w, _ in top_counts(words, size)]
 
 
@@ -493,7 +494,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", out: str = "ids",
                 yield pa.RecordBatch.from_arrays([*b.slice(start, len(part)).columns, *cols], names=names)
         enc.forget()  # the worker may go on to other work
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(thrifty(run), schema)
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:

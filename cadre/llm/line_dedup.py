@@ -14,8 +14,8 @@ the document with the largest id; shorter keys are never looked at.
 
 Defined cases: null or empty texts are one empty line; a row is a document,
 so rows that repeat an id count singly and share that id's fate; rows with a
-null id count as documents but keep all lines; an empty table gives an empty
-result; other columns of the input travel unchanged through ``dedup_lines``.
+null id count as documents but keep all lines; texts of any length are split
+whole; an empty table gives an empty result; other columns of the input travel unchanged through ``dedup_lines``.
 """
 
 from __future__ import annotations

@@ -23,7 +23,7 @@ into groups; equal texts are grouped by their hash before any of this and
 compared once.
 
 Defined cases: null and empty texts have no element, are equal to each other
-and near nothing else; rows that repeat an id share a group; rows with a null
+and near nothing else; texts of any length are compared whole; rows that repeat an id share a group; rows with a null
 id are not grouped (null class, kept); an empty table gives an empty result;
 ties go to the smallest id; other columns travel unchanged through
 ``drop_near_copies``.
@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadre.llm.common import free_name, maybe_broadcast, narrow, scratch_path, sized, whole, written
+from cadre.llm.common import free_name, maybe_broadcast, narrow, scratch_path, sized, thrifty, whole, written
 
 WORDS = 5
 SIMILAR = 0.8
@@ -152,7 +152,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [ids, pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
                 names=["id", "h1", "h2", "sig", "bands"])
-    return docs.select("id", "text").mapInArrow(run, SIGNED)
+    return docs.select("id", "text").mapInArrow(thrifty(run), SIGNED)
 
 
 def _agreeing(pairs: DataFrame) -> DataFrame:
@@ -164,7 +164,7 @@ def _agreeing(pairs: DataFrame) -> DataFrame:
             same = [(np.frombuffer(x, np.uint32) == np.frombuffer(y, np.uint32)).mean() >= LEAST_AGREEMENT
                     for x, y in zip(b.column("sig").to_pylist(), b.column("lead_sig").to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("lead")], names=["id", "lead"]).filter(pa.array(same, pa.bool_()))
-    return pairs.select("id", "lead", "sig", "lead_sig").mapInArrow(run, schema)
+    return pairs.select("id", "lead", "sig", "lead_sig").mapInArrow(thrifty(run), schema)
 
 
 def _near(pairs: DataFrame) -> DataFrame:
@@ -180,7 +180,7 @@ def _near(pairs: DataFrame) -> DataFrame:
                     last = (y, cells(y))
                 near.append(similarity(cells(x), last[1]) >= SIMILAR)
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("lead")], names=["id", "lead"]).filter(pa.array(near, pa.bool_()))
-    return pairs.select("id", "lead", "text", "lead_text").mapInArrow(run, schema)
+    return pairs.select("id", "lead", "text", "lead_text").mapInArrow(thrifty(run), schema)
 
 
 def _weighted(entries: DataFrame) -> DataFrame:
@@ -210,7 +210,7 @@ def _occurring(texts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(c), i, np.int64)), pa.array(np.full(len(c), len(c), np.int64)), pa.array(c.view(np.int64))],
                     names=["id", "n", "cell"])
-    return texts.select("id", "text").mapInArrow(run, "id long, n long, cell long")
+    return texts.select("id", "text").mapInArrow(thrifty(run), "id long, n long, cell long")
 
 
 def _prefixes(texts: DataFrame) -> DataFrame:

@@ -18,7 +18,8 @@ sets, not of the documents.
 
 Defined cases: null and empty texts have size 0 and are not taken; a null
 source is a source of its own, ordered last; repeated rows share a hash and
-are taken or left together; an empty table gives an empty result; sources
+are taken or left together, and so are rows with a null id, whose hash is that
+of no id; texts of any length count all their words; an empty table gives an empty result; sources
 without words have target 0.
 """
 

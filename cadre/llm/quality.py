@@ -19,7 +19,8 @@ symbol of a short document makes.
 
 Defined cases: null and empty texts have no words and fail the base rule; null
 languages and sources are groups of their own; repeated rows count and are
-judged singly; an empty table gives an empty result; other columns of the
+judged singly; ids are not read, null or not; texts of any length are measured
+whole; an empty table gives an empty result; other columns of the
 input travel unchanged.
 """
 
@@ -32,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadre.llm.common import SPACE, free_name, maybe_broadcast, whole, written
+from cadre.llm.common import SPACE, free_name, give_back_memory, maybe_broadcast, whole, written
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -90,7 +91,10 @@ def _measured(text: Column) -> Column:
     @F.pandas_udf(", ".join(f"{n} long" for n in NAMES))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            yield pd.DataFrame([measure_text(t) for t in texts], columns=NAMES, dtype="int64")
+            out = pd.DataFrame([measure_text(t) for t in texts], columns=NAMES, dtype="int64")
+            del texts
+            give_back_memory()
+            yield out
     return run(whole(text))
 
 

@@ -14,7 +14,7 @@ finds every pair; a pair is kept only in the first table that finds it.
 
 Defined cases: null and empty texts have no term and the fingerprint of all
 zeros; equal texts have equal fingerprints; rows that repeat an id are ordered
-by their text's hash; null ids come first; a single document is its own next
+by their text's hash; null ids come first; texts of any length are fingerprinted whole; a single document is its own next
 document; an empty table gives an empty result; other columns are not read.
 """
 
