@@ -59,7 +59,7 @@ def test_mean_results_of_odd_rows(odd_rows):
 
 
 def test_queries_are_all_there():
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)] and set(ORACLE) <= set(QUERIES)
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 14)] and set(ORACLE) <= set(QUERIES)
 
 
 def test_pipeline_stage_by_stage(spark, docs, corpus):
