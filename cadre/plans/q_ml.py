@@ -31,9 +31,21 @@ BOOST: dict = {"step": 0.3, "patience": 3}
 SHORT_SPACE = {**train.FOREST_SPACE, "numTrees": ("int", 20, 60)}
 
 
+_frames: dict[tuple[str, str], DataFrame] = {}
+
+
 def _ml_frame(spark, d) -> DataFrame:
     """Label (tercile tier), 80/20 + inner 85/15 stratified split, balanced
-    weights from the training rows; checkpointed for the iterative fits."""
+    weights from the training rows; checkpointed for the iterative fits and,
+    since all model queries start from it, made once for a session and folder
+    (whose tables are taken not to change meanwhile)."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _frames:
+        _frames[key] = _built_frame(spark, d)
+    return _frames[key]
+
+
+def _built_frame(spark, d) -> DataFrame:
     # read by the cut-point jobs and again by the split: computed once
     df = cut_lineage(views.order_features(spark, d))
     tiered, _ = labels.tercile_tiers(df, "sum_price", out="label")
