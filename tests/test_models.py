@@ -60,6 +60,25 @@ def test_single_leaf_and_odd_values(spark):
         trees.path_contributions(rows, split.where("false"), ["a"])
 
 
+def test_walks_of_batches_equal_the_joined_walks(frame, spark, monkeypatch):
+    model = RandomForestClassifier(numTrees=5, maxDepth=4, seed=2).fit(frame)
+    # ids that repeat or are null are added up; a null, short or odd array goes right
+    odd = spark.createDataFrame([(7, [None, 0.5, 1.0]), (7, [2.0]), (None, None), (None, [float("nan"), -1.0, 99.0]), (8, [])], "row_id long, features array<double>")
+    rows = frame.select("row_id", vector_to_array("features").alias("features")).where("row_id < 200").unionByName(odd)
+    nodes = trees.node_table(model)
+
+    def found():
+        got = trees.path_contributions(rows, nodes, ["a", "b", "a"])
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        return {(r["row_id"], r["feature"], r["class"]): r["contribution"] for r in got.collect()}, plan.count("Join ")
+
+    batches, joins = found()
+    assert joins == 0  # no row is copied for every tree
+    monkeypatch.setattr(trees, "fits", lambda nodes: False)
+    joined, joins = found()
+    assert joins > 0 and (None, "a", 0) in joined and batches == pytest.approx(joined, abs=1e-12)
+
+
 def plain_boost(rows, k, rounds, step):
     """Rows (x in {0, 1}, y, w, is_val): stumps on x, in plain Python."""
     train_rows = [r for r in rows if not r[3]]
