@@ -114,6 +114,15 @@ def test_boosting_rounds_equal_plain_python(spark):
     assert got.history_table().where("best").count() == 1
 
 
+def test_boosting_rounds_keep_one_frame_of_plain_columns(frame, monkeypatch):
+    kept = []
+    persist = type(frame).persist
+    monkeypatch.setattr(type(frame), "persist", lambda df, *a: kept.append(df) or persist(df, *a))
+    boost.fit_boosted(frame, 3, max_rounds=2, max_depth=2)
+    assert len(kept) == 2  # the scored rows of each round, and no second copy of the drawn ones
+    assert all("lambdafunction" not in df._jdf.queryExecution().optimizedPlan().toString() for df in kept)
+
+
 def test_boosting_stops_on_the_validation_rows(spark, frame):
     # validation labels that training makes ever less likely
     wrong = frame.withColumn("label", F.when(F.col("is_val"), (F.col("label") + 1) % 3).otherwise(F.col("label")))
