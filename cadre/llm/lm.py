@@ -7,18 +7,17 @@ hits stands for the mean of the counts of its step.  The filter is cut into
 segments of ``SEGMENT_BITS`` bits, each n-gram lives in one segment, and each
 segment is built by one small group.
 
-The vocabulary is closed: the ``LEXICON`` most frequent training words, a
-class of all other words, the end of a text.  The filter holds the counts of
-these and of their bigrams that occur at least ``MIN_BIGRAM`` times.  The
-probability of a token after another is
-``l(h) * min(1, c(h, w) / c(h)) + (1 - l(h)) * p(w)`` with
-``l(h) = 0.8 * c(h) / (c(h) + 10)``, all counts probed; a word of the other
-class is that class's probability times its share in the class, by exact
-counts that are joined, not broadcast.
+The vocabulary is open: the filter holds the counts of all training words and
+of all their bigrams, those that occur once too.  The probability of a token
+after another is ``l(h) * min(1, c(h, w) / c(h)) + (1 - l(h)) * p(w)`` with
+``l(h) = 0.8 * c(h) / (c(h) + 10)`` and ``p(w)`` the base probability, all
+counts probed.  The ``LEXICON`` most frequent words have short codes and their
+exact counts in every task, which only saves work: any other word is coded by a
+hash of 62 bits, and its exact count for the base score is joined.
 
 The lexicon has a fixed size and is broadcast.  The filter grows with the
 corpus: up to ``BROADCAST_BYTES`` it is broadcast, beyond that each distinct
-bigram is sent to its segment and the counts are joined back, with the same
+n-gram is sent to its segment and the counts are joined back, with the same
 scores.
 
 Defined cases: null and empty texts are one end token; a null id is not held
@@ -30,29 +29,37 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadre.llm.common import narrow, text_parts, top_counts, whole, written
+from cadre.llm.common import narrow, text_parts, thrifty, top_counts, whole, written
 
 LEXICON = 1 << 16
-MIN_BIGRAM = 2
 BASE = 1.5
-PROBES = 8
+#: Bytes that a member sets two bits in, all in one line of LINE bytes.
+BYTES, LINE = 3, 64
+PROBES = 2 * BYTES
 SEGMENT_BITS = 1 << 20  # a power of two
 BROADCAST_BYTES = 128 << 20
 #: Characters looked at together by a worker.
 CHUNK = 1 << 21
+#: Keys packed together by a worker.
+MOST_PACKED = 1 << 22
+#: One of so many bigrams, by its hash, is counted before the filter is sized.
+SIZING = 1024
 #: Token codes below the lexicon's words.
 END, BEGIN, OTHER, FIRST = 0, 1, 2, 3
-#: Marks the key of a single token.
+#: Marks the key of a single token of the lexicon.
 ALONE = 1 << 40
+#: Mark the code of a word outside the lexicon, which is its key too, and the
+#: key of a bigram with such a word.
+RARE, RARE_PAIR = 1 << 62, 1 << 61
 _M1, _M2, _G = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -69,6 +76,11 @@ def quantised(n: np.ndarray) -> np.ndarray:
     return 1 + np.floor(np.log(n) / math.log(BASE) + 1e-9).astype(np.int64)
 
 
+def steps_of(n: str) -> Column:
+    """SQL form of :func:`quantised`."""
+    return 1 + F.floor(F.log(n) / math.log(BASE) + 1e-9)
+
+
 def expected(q: np.ndarray) -> np.ndarray:
     """Mean of the whole counts with the quantised count ``q``; 0 for 0."""
     low = np.ceil(BASE ** np.maximum(q - 1, 0) - 1e-9)
@@ -82,27 +94,30 @@ def place(key: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
     return h, ((h >> np.uint64(40)) % np.uint64(segments)).astype(np.int64)
 
 
-def bits(h: np.ndarray, step: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
-    """Start and stride of the members' (n-gram, step) places within the segment."""
+def bits(h: np.ndarray, step: np.ndarray | int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Bytes within the segment, and the bits there, of the members (n-gram, step)."""
     x = _mix(h + np.asarray(step).astype(np.uint64) * _G)
-    return x & np.uint64(0xFFFFFFFF), (x >> np.uint64(32)) | np.uint64(1)
-
-
-def _at(start: np.ndarray, stride: np.ndarray, i: int) -> np.ndarray:
-    return ((start + np.uint64(i) * stride) & np.uint64(SEGMENT_BITS - 1)).astype(np.int64)
+    line = (x & np.uint64(SEGMENT_BITS // 8 - 1)) & ~np.uint64(LINE - 1)
+    for i in range(BYTES):
+        y = x >> np.uint64(24 + 12 * i)
+        one, two = (y >> np.uint64(6)) & np.uint64(7), (y >> np.uint64(9)) & np.uint64(7)
+        mask = (np.uint64(1) << one) | (np.uint64(1) << two)
+        yield (line | (y & np.uint64(LINE - 1))).astype(np.int64), mask.astype(np.uint8)
 
 
 def _build(rows: pd.DataFrame) -> np.ndarray:
-    h, q = rows["h"].to_numpy().view(np.uint64), rows["q"].to_numpy()
+    # a key is in the row of each batch that it occurs in
+    at, key = pd.factorize(np.frombuffer(b"".join(rows["keys"]), np.int64))
+    q = quantised(np.bincount(at, np.frombuffer(b"".join(rows["ns"]), np.int64)))
+    h = place(key, 1)[0]
     member = np.repeat(np.arange(len(q)), q)
     step = np.arange(len(member)) - np.repeat(np.cumsum(q) - q, q) + 1
-    flags = np.zeros(SEGMENT_BITS, bool)
+    flags = np.zeros(SEGMENT_BITS // 8, np.uint8)
     for lo in range(0, len(member), 1 << 16):
         part = slice(lo, lo + (1 << 16))
-        start, stride = bits(h[member[part]], step[part])
-        for i in range(PROBES):
-            flags[_at(start, stride, i)] = True
-    return np.packbits(flags, bitorder="little")
+        for byte, mask in bits(h[member[part]], step[part]):
+            np.bitwise_or.at(flags, byte, mask)
+    return flags
 
 
 def probe(key: np.ndarray, segments: int, read) -> np.ndarray:
@@ -113,32 +128,53 @@ def probe(key: np.ndarray, segments: int, read) -> np.ndarray:
     step = 0
     while len(live):
         step += 1
-        start, stride = bits(h[live], step)
-        for i in range(PROBES):  # most absent members are known after a place or two
-            at = _at(start, stride, i)
-            have = (read(seg[live], at >> 3) >> (at & 7).astype(np.uint8)) & 1 == 1
-            live, start, stride = live[have], start[have], stride[have]
+        have = np.ones(len(live), bool)
+        for byte, mask in bits(h[live], step):
+            have &= read(seg[live], byte) & mask == mask
+        live = live[have]
         q[live] = step
     return q
 
 
+PACKED = "segment long, keys binary, ns binary"
+
+
+def packed(key: np.ndarray, n: np.ndarray, segments: int) -> pa.RecordBatch:
+    """A row for each segment, with its keys and their counts."""
+    seg = place(key, segments)[1]
+    order = np.argsort(seg, kind="stable")
+    seg, key, n = seg[order], key[order], n[order].astype(np.int64)
+    start = np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1]])) if len(seg) else np.zeros(0, np.int64)
+    ends = pa.array(np.append(start, len(seg)) * 8, pa.int32()).buffers()[1]
+    blobs = [pa.Array.from_buffers(pa.binary(), len(start), [None, ends, pa.py_buffer(x.tobytes())]) for x in (key, n)]
+    return pa.RecordBatch.from_arrays([pa.array(seg[start]), *blobs], names=["segment", "keys", "ns"])
+
+
+def _parts(key: np.ndarray, n: np.ndarray, segments: int) -> Iterator[pa.RecordBatch]:
+    for lo in range(0, len(key), MOST_PACKED):
+        yield packed(key[lo:lo + MOST_PACKED], n[lo:lo + MOST_PACKED], segments)
+
+
+def segments_of(members: int) -> int:
+    return max(1, math.ceil(members * PROBES / math.log(2) / SEGMENT_BITS))
+
+
 def build_filter(counts: DataFrame) -> tuple[DataFrame, int]:
     """(segment, bits) of rows (key, n), and the number of segments."""
-    q = 1 + F.floor(F.log("n") / math.log(BASE) + 1e-9)
-    members = counts.agg(F.sum(q)).first()[0] or 0
-    segments = max(1, math.ceil(members * PROBES / math.log(2) / SEGMENT_BITS))
+    segments = segments_of(counts.agg(F.sum(steps_of("n"))).first()[0] or 0)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            h, seg = place(b.column("key").to_numpy(), segments)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(seg), pa.array(h.view(np.int64)), pa.array(quantised(b.column("n").to_numpy()))], names=["segment", "h", "q"])
+            yield from _parts(b.column("key").to_numpy(), b.column("n").to_numpy(), segments)
 
+    return build_packed(counts.select("key", "n").mapInArrow(spread, PACKED)), segments
+
+
+def build_packed(rows: DataFrame) -> DataFrame:
+    """(segment, bits) of the rows of :func:`packed`."""
     def build(rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"segment": rows["segment"].iloc[:1], "bits": [_build(rows).tobytes()]})
-
-    rows = counts.select("key", "n").mapInArrow(spread, "segment long, h long, q long")
-    return written(rows.groupBy("segment").applyInPandas(build, "segment long, bits binary"), "lm-filter"), segments
+    return written(rows.groupBy("segment").applyInPandas(build, "segment long, bits binary"), "lm-filter")
 
 
 def lookup(keys: DataFrame, filter_: DataFrame, segments: int) -> DataFrame:
@@ -165,23 +201,49 @@ def split_words(text: str) -> list[bytes]:
 
 
 class Coder:
-    """Codes of words: their place in the lexicon, or ``OTHER``."""
+    """Codes of words: their place in the lexicon, or a marked hash."""
 
     def __init__(self, words: list[str]):
         self.code = {w.encode(): i + FIRST for i, w in enumerate(words)}
 
-    def codes(self, text: str) -> tuple[list[bytes], np.ndarray]:
-        words = split_words(text)
-        return words, np.fromiter(map(self.code.get, words, itertools.repeat(OTHER)), np.int64, len(words))
+    def of(self, words: list[bytes]) -> np.ndarray:
+        get, digest = self.code.get, xxhash.xxh3_64_intdigest
+        return np.fromiter((get(w) or digest(w) & (RARE - 1) | RARE for w in words), np.int64, len(words))
+
 
+def _flat(texts: list[str]) -> tuple[np.ndarray, pa.DictionaryArray]:
+    """The number of words of each text, and the words of all."""
+    split = [split_words(t) for t in texts]
+    n = np.fromiter(map(len, split), np.int64, len(split))
+    return n, pa.array(list(itertools.chain.from_iterable(split)), pa.binary()).dictionary_encode()
 
-def _bigrams(codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the texts' bigrams, and the number of them in each text."""
-    n = np.array([len(c) + 1 for c in codes])
-    flat = np.concatenate([x for c in codes for x in (np.array([BEGIN]), c, np.array([END]))])
-    key = (flat[:-1] << 20) | flat[1:]
-    ends = np.cumsum(n + 1)
-    return np.delete(key, ends[:-1] - 1), n
+
+def _framed(values: np.ndarray, n: np.ndarray, begin, end) -> tuple[np.ndarray, np.ndarray]:
+    """For each bigram of texts with ``n`` words, the values of its two tokens."""
+    size = n + 2
+    start = np.cumsum(size) - size
+    flat = np.empty(int(size.sum()), values.dtype)
+    inside = np.ones(len(flat), bool)
+    inside[start] = inside[start + n + 1] = False
+    flat[start], flat[start + n + 1], flat[inside] = begin, end, values
+    keep = np.ones(max(0, len(flat) - 1), bool)
+    keep[start[1:] - 1] = False
+    return flat[:-1][keep], flat[1:][keep]
+
+
+def pair_key(prev: np.ndarray, cur: np.ndarray) -> np.ndarray:
+    """Keys of bigrams of codes."""
+    key = (prev << 20) | cur
+    far = np.flatnonzero((prev | cur) >= RARE)
+    mixed = _mix(_mix(prev[far].astype(np.uint64) * _G) + cur[far].astype(np.uint64))
+    key[far] = (mixed & np.uint64(RARE_PAIR - 1)).astype(np.int64) | RARE_PAIR
+    return key
+
+
+def _lists(values: pa.Array, text: np.ndarray, texts: int) -> pa.ListArray:
+    """A list for each of ``texts`` of the values, which are in order of their text."""
+    ends = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=texts))])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -197,59 +259,90 @@ class Model:
 
         def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                n: Counter[bytes] = Counter()
+                parts, some = [], []
                 for _, texts in text_parts(b, "text", CHUNK):
-                    for t in texts:
-                        n.update(split_words(t))
-                yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["w", "n"])
-
-        counted = docs.select("text").mapInArrow(words, "w string, n long")
-        self.vocab = written(counted.groupBy("w").agg(F.sum("n").alias("n")), "lm-vocab")
+                    n, w = _flat(texts)
+                    parts.append(w.dictionary_decode())
+                    key = pair_key(*_framed(none.of(w.dictionary.to_pylist())[w.indices.to_numpy()], n, BEGIN, END))
+                    some.append(key[key % SIZING == 0])
+                n = pa.chunked_array(parts, pa.binary()).value_counts()
+                yield pa.RecordBatch.from_arrays([n.field("values").cast(pa.string()), n.field("counts")], names=["w", "n"])
+                if some:
+                    key, n = np.unique(np.concatenate(some), return_counts=True)
+                    # no word begins with a space
+                    yield pa.RecordBatch.from_arrays([pa.array([f" {k}" for k in key.tolist()], pa.string()), pa.array(n)], names=["w", "n"])
+
+        none = Coder([])
+        counted = docs.select("text").mapInArrow(thrifty(words), "w string, n long")
+        counted = written(counted.groupBy("w").agg(F.sum("n").alias("n")), "lm-vocab")
+        self.vocab = counted.where(~F.col("w").startswith(" "))
         self.ends = docs.count()
-        total = self.vocab.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
+        total = self.vocab.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"), F.sum(steps_of("n")).alias("q")).first()
+        sized = counted.where(F.col("w").startswith(" ")).agg(F.sum(steps_of("n"))).first()[0] or 0
         self.tokens = (total["n"] or 0) + self.ends
         self.types = total["v"] + (self.ends > 0)
+        # the most frequent words are looked up in every task, all others by their hash and a join
         top = top_counts(self.vocab, LEXICON)
         self.words = [w for w, _ in top]
-        counts = np.array([self.ends, self.ends, 0, *(n for _, n in top)], np.int64)
-        self.other_tokens = self.tokens - self.ends - int(counts[FIRST:].sum())
-        self.other_types = total["v"] - len(top)
-        counts[OTHER] = self.other_tokens
-        self.counts = counts
+        self.counts = counts = np.array([self.ends, self.ends, 0, *(n for _, n in top)], np.int64)
         coder = spark.sparkContext.broadcast(self.words)
 
+        # a bigram has no more members than it occurs; the part that was counted says how many they are
+        pairs = min(self.tokens, math.ceil(SIZING * (sized + 5 * math.sqrt(sized) + 25)))
+        self.segments = segments = segments_of(pairs + (total["q"] or 0) + 2 * int(quantised(np.array([max(1, self.ends)]))[0]))
+
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             c = Coder(coder.value)
             for b in batches:
-                parts = [np.unique(_bigrams([c.codes(t)[1] for t in texts])[0], return_counts=True)
-                         for _, texts in text_parts(b, "text", CHUNK)]
-                if parts:
-                    key, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-                    n = np.bincount(at, np.concatenate([m for _, m in parts])).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["key", "n"])
-
-        pairs = docs.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-        alone = spark.createDataFrame([(ALONE | i, int(n)) for i, n in enumerate(counts.tolist()) if n > 0], "key long, n long")
-        grams = written(pairs.where(F.col("n") >= MIN_BIGRAM).union(alone), "lm-grams")
-        self.filter, self.segments = build_filter(grams)
+                keys, ns, size = [], [], 0
+                for _, texts in text_parts(b, "text", CHUNK):
+                    n, w = _flat(texts)
+                    at, key = pd.factorize(pair_key(*_framed(c.of(w.dictionary.to_pylist())[w.indices.to_numpy()], n, BEGIN, END)))
+                    keys.append(key)
+                    ns.append(np.bincount(at))
+                    size += len(key)
+                    if size >= MOST_PACKED:
+                        yield from _parts(np.concatenate(keys), np.concatenate(ns), segments)
+                        keys, ns, size = [], [], 0
+                if keys:
+                    yield from _parts(np.concatenate(keys), np.concatenate(ns), segments)
+
+        def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            c = Coder(coder.value)
+            for b in batches:
+                code = c.of(b.column("w").cast(pa.binary()).to_pylist())
+                yield from _parts(np.where(code < RARE, code | ALONE, code), b.column("n").to_numpy(), segments)
+
+        def framing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield from _parts(b.column("key").to_numpy(), b.column("n").to_numpy(), segments)
+
+        ends = spark.createDataFrame([(ALONE | i, self.ends) for i in (BEGIN, END) if self.ends], "key long, n long")
+        rows = docs.select("text").mapInArrow(thrifty(count), PACKED).union(
+            self.vocab.select("w", "n").mapInArrow(thrifty(single), PACKED)).union(ends.mapInArrow(framing, PACKED))
+        self.filter = build_packed(rows)
         self.broadcast = self.segments * SEGMENT_BITS // 8 <= broadcast_bytes
         if self.broadcast:
             data = np.zeros((self.segments, SEGMENT_BITS // 8), np.uint8)
             for r in self.filter.toLocalIterator():
                 data[r["segment"]] = np.frombuffer(r["bits"], np.uint8)
             self.data = data
-            single = probe(np.arange(len(counts)) | ALONE, self.segments, lambda s, at: data[s, at])
+            self.single = probe(np.arange(len(counts)) | ALONE, self.segments, lambda s, at: data[s, at])
         else:
             self.data = None
             asked = spark.createDataFrame([(ALONE | i,) for i in range(len(counts))], "key long")
             found = {r["key"]: r["q"] for r in lookup(asked, self.filter, self.segments).collect()}
-            single = np.array([found[ALONE | i] for i in range(len(counts))])
-        self.context = expected(single)
-        self.weight = 0.8 * self.context / (self.context + 10)
-        whole_mass = self.tokens + 0.1 * (self.types + 1)
-        self.alone = (self.context + 0.1) / whole_mass
-        self.alone[OTHER] = (self.other_tokens + 0.1 * (self.other_types + 1)) / whole_mass
-        self.base = np.log10((counts + 0.1) / whole_mass)
+            self.single = np.array([found[ALONE | i] for i in range(len(counts))])
+        self.context = expected(self.single)
+        self.weight = weight(self.context)
+        self.mass = self.tokens + 0.1 * (self.types + 1)
+        self.alone = (self.context + 0.1) / self.mass
+        self.base = np.log10((counts + 0.1) / self.mass)
+
+
+def weight(context):
+    """The share of the bigrams' estimate after a token of this count."""
+    return 0.8 * context / (context + 10)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -257,76 +350,95 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     spark = docs.sparkSession
     others = [f for f in docs.schema.fields if f.name != "text"]
     names = [f.name for f in others]
-    shared = spark.sparkContext.broadcast(
-        (model.words, model.counts > 0, model.base, model.context, model.weight, model.alone, model.segments, model.data))
-    added = "n_tokens long, lex_known long, lex_base double, lm double, w array<string>, k array<long>, key array<long>, n array<long>, l array<double>, c array<double>, p array<double>"
+    shared = spark.sparkContext.broadcast((model.words, model.counts > 0, model.base, model.single, model.context, model.segments, model.data))
+    mass = model.mass
+    added = ("n_tokens long, lex_known long, lex_base double, lm double, w array<string>, k array<long>, "
+             "key array<long>, n array<int>, h array<long>, t array<long>, qh array<int>, qt array<int>")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others) + ", " + added
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, known, base, context, weight, alone, segments, data = shared.value
+        words, known, base, single, context, segments, data = shared.value
         coder = Coder(words)
         for b in batches:
             for start, texts in text_parts(b, "text", CHUNK):
-                out: dict[str, list] = {x: [] for x in ("n_tokens", "lex_known", "lex_base", "lm", "w", "k", "key", "n", "l", "c", "p")}
-                coded = [coder.codes(t) for t in texts]
-                key, n = _bigrams([c for _, c in coded])
-                for w, c in coded:
-                    # the end is a token, the other class is added by the join
-                    c = np.append(c, END)
-                    lex = c[c != OTHER]
-                    rare = Counter(itertools.compress(w, (c == OTHER).tolist()))
-                    out["n_tokens"].append(len(c))
-                    out["lex_known"].append(int(known[lex].sum()))
-                    out["lex_base"].append(float(base[lex].sum()))
-                    out["w"].append([x.decode() for x in rare])
-                    out["k"].append(list(rare.values()))
-                text = np.repeat(np.arange(len(texts)), n)
+                m = len(texts)
+                n, w = _flat(texts)
+                code, at = coder.of(w.dictionary.to_pylist()), w.indices.to_numpy()
+                rare = code >= RARE
+                place_ = np.where(rare, OTHER, code)  # in the lexicon's arrays
+                text = np.repeat(np.arange(m), n)
+                # the end is a token, words outside the lexicon are added by the join
+                lex_known = np.bincount(text, (known[place_] & ~rare)[at], m).astype(np.int64) + int(known[END])
+                lex_base = np.bincount(text, np.where(rare, 0.0, base[place_])[at], m) + base[END]
+                far = rare[at]
+                one, k = np.unique(text[far] * len(code) + at[far], return_counts=True)
+                own = one // max(1, len(code))
+                out = [pa.array(n + 1), pa.array(lex_known), pa.array(lex_base)]
+                strings = [_lists(w.dictionary.take(pa.array(one - own * len(code))).cast(pa.string()), own, m), _lists(pa.array(k, pa.int64()), own, m)]
+                prev, cur = _framed(code[at], n, BEGIN, END)
+                key = pair_key(prev, cur)
+                text = np.repeat(np.arange(m), n + 1)
                 if data is not None:
-                    one, at = np.unique(key, return_inverse=True)
-                    seen = expected(probe(one, segments, lambda s, x: data[s, x]))[at]
-                    prev, cur = key >> 20, key & ((1 << 20) - 1)
-                    share = np.minimum(1, seen / np.maximum(context[prev], 1))
-                    p = np.log10(weight[prev] * share + (1 - weight[prev]) * alone[cur])
-                    out["lm"] = np.bincount(text, p, len(texts)).tolist()
-                    for x in ("key", "n", "l", "c", "p"):
-                        out[x] = [None] * len(texts)
+                    read = lambda s, x: data[s, x]
+                    count = context[place_]
+                    count[rare] = expected(probe(code[rare], segments, read))
+                    c, c2 = _framed(count[at], n, context[BEGIN], context[END])
+                    at2, key = pd.factorize(key)
+                    share = np.minimum(1, expected(probe(key, segments, read))[at2] / np.maximum(c, 1))
+                    l_ = weight(c)
+                    p = np.log10(l_ * share + (1 - l_) * ((c2 + 0.1) / mass))
+                    out += [pa.array(np.bincount(text, p, m)), *strings]
+                    out += [pa.nulls(m, pa.list_(t)) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32())]
                 else:
-                    for k in np.split(key, np.cumsum(n)[:-1]):
-                        one, times = np.unique(k, return_counts=True)
-                        prev, cur = one >> 20, one & ((1 << 20) - 1)
-                        for x, v in (("key", one), ("n", times), ("l", weight[prev]), ("c", np.maximum(context[prev], 1)), ("p", (1 - weight[prev]) * alone[cur])):
-                            out[x].append(v.tolist())
-                    out["lm"] = [None] * len(texts)
-                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.string()), *[pa.list_(pa.int64())] * 3, *[pa.list_(pa.float64())] * 3]
-                rows = b.slice(start, len(texts))
-                yield pa.RecordBatch.from_arrays([*(rows.column(x) for x in names), *(pa.array(v, t) for v, t in zip(out.values(), kinds))],
-                                                 names=[*names, *out])
-
-    rows = written(docs.select(*names, "text").mapInArrow(run, schema), "lm-rows")
-    whole_mass = model.tokens + 0.1 * (model.types + 1)
-    other_mass = model.other_tokens + 0.1 * (model.other_types + 1)
+                    at2, each = pd.factorize(key)
+                    _, first, times = np.unique(text * len(each) + at2, return_index=True, return_counts=True)
+                    qh, qt = _framed(np.where(rare, -1, single[place_])[at], n, single[BEGIN], single[END])
+                    own = text[first]
+                    prev, cur = prev[first], cur[first]
+                    columns = [pa.array(key[first]), pa.array(times, pa.int32()), pa.array(np.where(prev >= RARE, prev, 0)),
+                               pa.array(np.where(cur >= RARE, cur, 0)), pa.array(qh[first], pa.int32()), pa.array(qt[first], pa.int32())]
+                    out += [pa.nulls(m, pa.float64()), *strings, *(_lists(x, own, m) for x in columns)]
+                rows = b.slice(start, m)
+                yield pa.RecordBatch.from_arrays([*(rows.column(x) for x in names), *out],
+                                                 names=[*names, "n_tokens", "lex_known", "lex_base", "lm", "w", "k", "key", "n", "h", "t", "qh", "qt"])
+
+    rows = written(docs.select(*names, "text").mapInArrow(thrifty(run), schema), "lm-rows")
     rare = rows.select("row", F.explode(F.arrays_zip("w", "k")).alias("x")).select("row", "x.w", "x.k")
     seen = F.coalesce(F.col("v"), F.lit(0))
     rare = rare.join(model.vocab.withColumnRenamed("n", "v"), "w", "left").groupBy("row").agg(
         F.sum(F.when(seen > 0, F.col("k")).otherwise(0)).alias("rare_known"),
-        F.sum(F.col("k") * F.log10((seen + 0.1) / whole_mass)).alias("rare_base"),
-        F.sum(F.col("k") * F.log10((seen + 0.1) / other_mass)).alias("rare_lm"))
+        F.sum(F.col("k") * F.log10((seen + 0.1) / mass)).alias("rare_base"))
     out = rows.join(rare, "row", "left")
     lm = F.col("lm")
     if not model.broadcast:
-        each = rows.select("row", F.explode(F.arrays_zip("key", "n", "l", "c", "p")).alias("x")).select("row", "x.*")
-        q = lookup(each.select("key").distinct(), model.filter, model.segments)
-        steps = written(q, "lm-probed")
-        low = F.ceil(F.pow(F.lit(BASE), F.col("q") - 1) - 1e-9)
-        high = F.greatest(low, F.ceil(F.pow(F.lit(BASE), F.col("q")) - 1e-9) - 1)
-        mean = F.when(F.col("q") > 0, (low + high) / 2).otherwise(F.lit(0.0))
-        logs = each.join(steps, "key").groupBy("row").agg(
-            F.sum(F.col("n") * F.log10(F.col("l") * F.least(F.lit(1.0), mean / F.col("c")) + F.col("p"))).alias("probed"))
-        out = out.join(logs, "row", "left")
+        out = out.join(_probed(rows, model), "row", "left")
         lm = F.col("probed")
     return out.select(*names, "n_tokens", (F.col("lex_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
-                      (F.col("lex_base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"),
-                      (lm + F.coalesce("rare_lm", F.lit(0.0))).alias("score"))
+                      (F.col("lex_base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"), lm.alias("score"))
+
+
+def _probed(rows: DataFrame, model: Model) -> DataFrame:
+    """(row, probed): the scores of ``rows`` with the counts joined to their n-grams."""
+    each = rows.select("row", F.explode(F.arrays_zip("key", "n", "h", "t", "qh", "qt")).alias("x")).select("row", "x.*")
+    asked = each.select(F.explode(F.array("key", "h", "t")).alias("key")).where("key <> 0").distinct()
+    steps = written(lookup(asked, model.filter, model.segments), "lm-probed")
+    inside = each.join(steps, "key")
+    # a token of the lexicon stands with the bigram's own key, so that no key is joined by many rows
+    outside = inside.where("h <> 0 or t <> 0").withColumns({c: F.when(F.col(c) == 0, F.col("key")).otherwise(F.col(c)) for c in ("h", "t")})
+    for c, q in (("h", "qh"), ("t", "qt")):
+        found = steps.select(F.col("key").alias(c), F.col("q").alias("found"))
+        outside = outside.join(found, c).withColumn(q, F.when(F.col(q) < 0, F.col("found")).otherwise(F.col(q))).drop("found")
+    named = ["row", "n", "q", "qh", "qt"]
+    every = inside.where("h = 0 and t = 0").select(*named).union(outside.select(*named))
+
+    def mean(q: Column) -> Column:
+        low = F.ceil(F.pow(F.lit(BASE), q - 1) - 1e-9)
+        high = F.greatest(low, F.ceil(F.pow(F.lit(BASE), q) - 1e-9) - 1)
+        return F.when(q > 0, (low + high) / 2).otherwise(F.lit(0.0))
+    every = every.select("row", "n", mean(F.col("q")).alias("c"), mean(F.col("qh")).alias("ch"), mean(F.col("qt")).alias("ct"))
+    l_ = weight(F.col("ch"))
+    p = l_ * F.least(F.lit(1.0), F.col("c") / F.greatest(F.col("ch"), F.lit(1.0))) + (1 - l_) * ((F.col("ct") + 0.1) / model.mass)
+    return every.groupBy("row").agg(F.sum(F.col("n") * F.log10(p)).alias("probed"))
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:

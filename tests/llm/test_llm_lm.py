@@ -67,3 +67,24 @@ def test_probabilities_sum_to_about_one(docs):
         seen = lm.expected(lm.probe((prev << 20) | codes, m.segments, lambda s, at: m.data[s, at]))
         p = m.weight[prev] * np.minimum(1, seen / max(1, m.context[prev])) + (1 - m.weight[prev]) * m.alone[codes]
         assert 0.4 < p.sum() < 1.3
+
+
+@pytest.mark.parametrize("lexicon,broadcast_bytes", [(1 << 16, lm.BROADCAST_BYTES), (5, lm.BROADCAST_BYTES), (5, 0)])
+def test_words_outside_the_lexicon_keep_their_contexts(docs, corpus, lexicon, broadcast_bytes, monkeypatch):
+    """Scores by counts of all words and bigrams, whatever the size of the lexicon."""
+    monkeypatch.setattr(lm, "LEXICON", lexicon)
+    got = {r["doc_id"]: r["score"] for r in lm.score_documents(docs, broadcast_bytes=broadcast_bytes).collect()}
+    kept = [tokens(t) for i, t, *_ in corpus if zlib.crc32(str(i).encode()) % 10]
+    c, c2 = Counter(w for t in kept for w in t), Counter(p for t in kept for p in zip(["begin", *t], t))
+    mass = sum(c.values()) + 0.1 * (len(c) + 1)
+    mean = lambda n: float(lm.expected(lm.quantised(np.array([n])))[0]) if n else 0.0
+    off = []
+    for i, t, *_ in corpus:
+        want = 0.0
+        for h, w in zip(["begin", *tokens(t)], tokens(t)):
+            ch = mean(len(kept) if h == "begin" else c[h])
+            part = 0.8 * ch / (ch + 10)
+            want += math.log10(part * min(1, mean(c2[h, w]) / max(1, ch)) + (1 - part) * (mean(c[w]) + 0.1) / mass)
+        off.append(abs(got[i] / want - 1))
+    # the filter may overcount a few n-grams
+    assert np.median(off) < 1e-3 and max(off) < 0.1
