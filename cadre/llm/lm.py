@@ -200,22 +200,35 @@ def split_words(text: str) -> list[bytes]:
     return text.encode().lower().split()
 
 
+def digests(words: list[bytes]) -> np.ndarray:
+    """Marked hashes of words."""
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    return (h & np.uint64(RARE - 1)).astype(np.int64) | RARE
+
+
 class Coder:
     """Codes of words: their place in the lexicon, or a marked hash."""
 
     def __init__(self, words: list[str]):
-        self.code = {w.encode(): i + FIRST for i, w in enumerate(words)}
+        h = digests([w.encode() for w in words])
+        order = np.argsort(h)
+        self.h, self.code = h[order], order + FIRST
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        get, digest = self.code.get, xxhash.xxh3_64_intdigest
-        return np.fromiter((get(w) or digest(w) & (RARE - 1) | RARE for w in words), np.int64, len(words))
+    def of(self, h: np.ndarray) -> np.ndarray:
+        """The codes of words with these hashes."""
+        if not len(self.h):
+            return h
+        at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
+        return np.where(self.h[at] == h, self.code[at], h)
 
 
-def _flat(texts: list[str]) -> tuple[np.ndarray, pa.DictionaryArray]:
-    """The number of words of each text, and the words of all."""
+def _flat(texts: list[str]) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
+    """The number of words of each text; the words of all, the place of each
+    among the distinct ones, and the hashes of those."""
     split = [split_words(t) for t in texts]
-    n = np.fromiter(map(len, split), np.int64, len(split))
-    return n, pa.array(list(itertools.chain.from_iterable(split)), pa.binary()).dictionary_encode()
+    words = list(itertools.chain.from_iterable(split))
+    at, h = pd.factorize(digests(words))
+    return np.fromiter(map(len, split), np.int64, len(split)), words, at, h
 
 
 def _framed(values: np.ndarray, n: np.ndarray, begin, end) -> tuple[np.ndarray, np.ndarray]:
@@ -259,20 +272,16 @@ class Model:
 
         def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                parts, some = [], []
                 for _, texts in text_parts(b, "text", CHUNK):
-                    n, w = _flat(texts)
-                    parts.append(w.dictionary_decode())
-                    key = pair_key(*_framed(none.of(w.dictionary.to_pylist())[w.indices.to_numpy()], n, BEGIN, END))
-                    some.append(key[key % SIZING == 0])
-                n = pa.chunked_array(parts, pa.binary()).value_counts()
-                yield pa.RecordBatch.from_arrays([n.field("values").cast(pa.string()), n.field("counts")], names=["w", "n"])
-                if some:
-                    key, n = np.unique(np.concatenate(some), return_counts=True)
+                    n, w, at, h = _flat(texts)
+                    first = np.empty(len(h), np.int64)
+                    first[at] = np.arange(len(at))
+                    key = pair_key(*_framed(h[at], n, BEGIN, END))
+                    some, k = np.unique(key[key % SIZING == 0], return_counts=True)
                     # no word begins with a space
-                    yield pa.RecordBatch.from_arrays([pa.array([f" {k}" for k in key.tolist()], pa.string()), pa.array(n)], names=["w", "n"])
+                    each = [w[i] for i in first.tolist()] + [b" %d" % x for x in some.tolist()]
+                    yield pa.RecordBatch.from_arrays([pa.array(each, pa.binary()).cast(pa.string()), pa.array(np.concatenate([np.bincount(at, minlength=len(h)), k]))], names=["w", "n"])
 
-        none = Coder([])
         counted = docs.select("text").mapInArrow(thrifty(words), "w string, n long")
         counted = written(counted.groupBy("w").agg(F.sum("n").alias("n")), "lm-vocab")
         self.vocab = counted.where(~F.col("w").startswith(" "))
@@ -296,8 +305,8 @@ class Model:
             for b in batches:
                 keys, ns, size = [], [], 0
                 for _, texts in text_parts(b, "text", CHUNK):
-                    n, w = _flat(texts)
-                    at, key = pd.factorize(pair_key(*_framed(c.of(w.dictionary.to_pylist())[w.indices.to_numpy()], n, BEGIN, END)))
+                    n, _, at, h = _flat(texts)
+                    at, key = pd.factorize(pair_key(*_framed(c.of(h)[at], n, BEGIN, END)))
                     keys.append(key)
                     ns.append(np.bincount(at))
                     size += len(key)
@@ -310,7 +319,7 @@ class Model:
         def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             c = Coder(coder.value)
             for b in batches:
-                code = c.of(b.column("w").cast(pa.binary()).to_pylist())
+                code = c.of(digests([w.encode() for w in b.column("w").to_pylist()]))
                 yield from _parts(np.where(code < RARE, code | ALONE, code), b.column("n").to_numpy(), segments)
 
         def framing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -362,8 +371,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             for start, texts in text_parts(b, "text", CHUNK):
                 m = len(texts)
-                n, w = _flat(texts)
-                code, at = coder.of(w.dictionary.to_pylist()), w.indices.to_numpy()
+                n, w, at, h = _flat(texts)
+                code = coder.of(h)
                 rare = code >= RARE
                 place_ = np.where(rare, OTHER, code)  # in the lexicon's arrays
                 text = np.repeat(np.arange(m), n)
@@ -371,10 +380,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 lex_known = np.bincount(text, (known[place_] & ~rare)[at], m).astype(np.int64) + int(known[END])
                 lex_base = np.bincount(text, np.where(rare, 0.0, base[place_])[at], m) + base[END]
                 far = rare[at]
-                one, k = np.unique(text[far] * len(code) + at[far], return_counts=True)
+                one, first, k = np.unique(text[far] * len(code) + at[far], return_index=True, return_counts=True)
                 own = one // max(1, len(code))
                 out = [pa.array(n + 1), pa.array(lex_known), pa.array(lex_base)]
-                strings = [_lists(w.dictionary.take(pa.array(one - own * len(code))).cast(pa.string()), own, m), _lists(pa.array(k, pa.int64()), own, m)]
+                some = [w[i] for i in np.flatnonzero(far)[first].tolist()]
+                strings = [_lists(pa.array(some, pa.binary()).cast(pa.string()), own, m), _lists(pa.array(k, pa.int64()), own, m)]
                 prev, cur = _framed(code[at], n, BEGIN, END)
                 key = pair_key(prev, cur)
                 text = np.repeat(np.arange(m), n + 1)
