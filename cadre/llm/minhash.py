@@ -342,11 +342,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """(id, class_id, kept) of every id: its group's smallest id, and whether it is that id."""
     thin = narrow(docs, id=id_col, text=text_col).where(F.col("id").isNotNull()).withColumn("text", whole("text"))
     thin = thin.withColumn("id", F.col("id").cast("long"))
-    signed = written(signatures(thin), "minhash-signed")
-    texts = written(signed.groupBy("h1", "h2").agg(F.min("id").alias("rep")), "minhash-reps")
+    # the row number is only used once it is written
+    signed = written(signatures(thin).withColumn("row", F.monotonically_increasing_id()), "minhash-signed")
+    first = signed.groupBy("h1", "h2").agg(F.min(F.struct("id", "row")).alias("x"))
+    texts = written(first.select("h1", "h2", F.col("x.id").alias("rep"), "x.row"), "minhash-reps")
     # rows that repeat an id with another text tie the two texts together
-    member = written(signed.select("id", "h1", "h2").join(texts, ["h1", "h2"]).select("id", "rep").distinct(), "minhash-members")
-    reps = signed.join(texts.withColumnRenamed("rep", "id"), ["id", "h1", "h2"], "left_semi").dropDuplicates(["id", "h1", "h2"])
+    member = written(signed.select("id", "h1", "h2").join(texts.drop("row"), ["h1", "h2"]).select("id", "rep").distinct(), "minhash-members")
+    # one row of each text, so that signatures are not shuffled to tell equal rows apart
+    reps = signed.join(texts.select("row"), "row", "left_semi")
     reps = written(reps.select("id", "sig", "bands"), "minhash-firsts")
     near = links(thin, reps).select(F.greatest("id", "lead").alias("id"), F.least("id", "lead").alias("lead"))
     near = written(near.distinct(), "minhash-edges")

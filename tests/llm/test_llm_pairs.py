@@ -181,3 +181,15 @@ def test_mixed_rows_repeat(docs):
     assert out.columns == docs.columns
     want, _, _, copies = mixing.mix(docs)
     assert out.count() == want.agg(F.sum(copies)).first()[0]
+
+
+def test_signatures_are_not_shuffled_to_drop_equal_rows(docs, monkeypatch):
+    plans = {}
+
+    def spy(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return written(df, name)
+    written = minhash.written
+    monkeypatch.setattr(minhash, "written", spy)
+    minhash.near_groups(docs.union(docs)).count()
+    assert "Aggregate" not in plans["minhash-firsts"]
