@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadre.functions.bins import TIER_LABELS
-from cadre.functions.numeric import to_double
+from cadre.functions.numeric import trimmed_to_double
 from cadre.functions.text import utrim
 
 TRUE_TOKENS = ["1", "1.0", "TRUE"]
@@ -50,30 +50,37 @@ def validate_rows(df: DataFrame, schema: dict[str, str], keep: Sequence[str] = (
     Extra input columns are dropped (``keep`` lists pass-through columns).
     Output: ``keep`` + features in schema order + ``errors array<string>``.
     """
-    cols, errs = [], []
-    for name, kind in schema.items():
-        raw = _raw(df, name)
-        txt = utrim(raw)
-        missing = raw.isNull() | (txt == "")
+    names = list(schema)
+    kept = [F.col(f"`{k}`").alias(f"k{j}") for j, k in enumerate(keep)]
+    keys = [f"k{j}" for j in range(len(keep))]
+    # Text is trimmed in one projection, coerced in the next and judged in the
+    # last: a trim by characters is dear, and in one expression would be done
+    # again wherever it is used.
+    raws = df.select(*kept, *[_raw(df, n).alias(f"r{i}") for i, n in enumerate(names)])
+    trimmed = raws.select("*", *[utrim(F.col(f"r{i}")).alias(f"t{i}") for i in range(len(names))])
+    values = trimmed.select("*", *[_coerced(F.col(f"t{i}"), schema[n]).alias(f"v{i}") for i, n in enumerate(names)])
+    errs = []
+    for i, name in enumerate(names):
+        kind, raw, txt, val = schema[name], F.col(f"r{i}"), F.col(f"t{i}"), F.col(f"v{i}")
         shown = F.concat(F.lit("'"), raw, F.lit("'"))
-        if kind == "binary":
-            up = F.upper(txt)
-            val = F.when(up.isin(TRUE_TOKENS), F.lit(1.0)).when(up.isin(FALSE_TOKENS), F.lit(0.0))
-            err = F.when(~missing & val.isNull(),
-                         F.concat(F.lit(f"'{name}': expected 0/1, got "), shown))
-        elif kind == "numeric":
-            val = to_double(raw)
-            err = F.when(~missing & val.isNull(),
-                         F.concat(F.lit(f"'{name}': expected a number, got "), shown))
-        else:
-            val = F.when(~missing, txt)
-            err = F.lit(None).cast("string")
-        cols.append(F.when(missing, F.lit(None)).otherwise(val).alias(name))
-        errs.append(err)
+        if kind in ("binary", "numeric"):
+            expected = "0/1" if kind == "binary" else "a number"
+            errs.append(F.when((txt != "") & val.isNull(), F.concat(F.lit(f"'{name}': expected {expected}, got "), shown)))
         if features is not None and name in features:
-            errs.append(_outside(name, F.when(~missing, val), shown, features[name]))
+            errs.append(_outside(name, val, shown, features[name]))
     errors = F.filter(F.array(*errs), lambda e: e.isNotNull()) if errs else F.array().cast("array<string>")
-    return df.select(*[F.col(f"`{k}`") for k in keep], *cols, errors.alias("errors"))
+    return values.select(*[F.col(c).alias(k) for c, k in zip(keys, keep)], *[F.col(f"v{i}").alias(n) for i, n in enumerate(names)],
+                         errors.alias("errors"))
+
+
+def _coerced(txt: Column, kind: str) -> Column:
+    """Trimmed text as the value of its feature; null and '' are null."""
+    if kind == "binary":
+        up = F.upper(txt)
+        return F.when(up.isin(TRUE_TOKENS), F.lit(1.0)).when(up.isin(FALSE_TOKENS), F.lit(0.0))
+    if kind == "numeric":
+        return trimmed_to_double(txt)
+    return F.when(txt != "", txt)
 
 
 def template(spark, schema: dict[str, str]) -> DataFrame:

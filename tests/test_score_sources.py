@@ -142,3 +142,27 @@ def test_reports_and_exports(spark, tmp_path):
     c = spark.createDataFrame([(1, "a", 0, 0.1)], "row_id int, feature string, class int, contribution double")
     artifacts.export_explanations(c, c.select("feature"), str(tmp_path / "exp"), {"n": 1})
     assert os.path.isdir(tmp_path / "exp" / "contributions" / "class=0")
+
+
+def _trims(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("trim(")
+
+
+def test_values_are_trimmed_once(spark):
+    """A trim by characters is most of the cost of validating a batch: one for each value."""
+    from pyspark.sql import functions as F
+
+    from cadre.operators import features, score
+    kinds = {"n": "numeric", "b": "binary", "c": "categorical"}
+    rows_ = [(1, " 1.5 ", "TRUE", " x "), (2, "1d", "yes", ""), (3, None, None, None), (4, "", "  ", " "), (5, "1e999", "0", "n/a"),
+             (6, "-", "1.0", "y"), (7, "NaN", "2", "z")]
+    df = spark.createDataFrame(rows_, "id int, n string, b string, c string").repartition(2)
+    out = score.validate_rows(df, kinds, keep=["id"])
+    assert _trims(out) == 3 and _trims(out.drop("errors")) == 3
+    got = {r["id"]: tuple(r)[1:] for r in out.collect()}
+    assert got[1] == (1.5, 1.0, "x", []) and got[3] == (None, None, None, []) and got[4] == (None, None, None, [])
+    assert got[2] == (None, None, None, ["'n': expected a number, got '1d'", "'b': expected 0/1, got 'yes'"])
+    assert got[5] == (float("inf"), 0.0, "n/a", []) and got[6][0] is None and got[7][0] is None
+    share = features.numeric_share(df.withColumn("d", F.col("id") / F.when(F.col("id") > 2, 2)), ["n", "b", "d"])
+    assert _trims(share) == 2
+    assert {r["feature"]: round(r["numeric_share"] * 7) for r in share.collect()} == {"n": 2, "b": 3, "d": 5}
