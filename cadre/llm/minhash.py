@@ -269,14 +269,15 @@ def _candidates(texts: DataFrame, active: DataFrame, root: DataFrame) -> DataFra
     return both.select(F.greatest("id", "id2").alias("id"), F.least("id", "id2").alias("lead")).distinct()
 
 
-def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
+def links(docs: DataFrame, firsts: DataFrame, signed: DataFrame | None = None) -> DataFrame:
     """(id, lead) pairs of different texts that are similar, which tie together
-    all texts that a chain of similar pairs does; ``signed`` has one row per
-    text (of the ids in ``docs``)."""
+    all texts that a chain of similar pairs does; ``firsts`` (id, bands) has
+    one row per text (of the ids in ``docs``), and its signature (sig) or the
+    row of ``signed`` (row, sig) that holds it."""
     spark = docs.sparkSession
     path = scratch_path(spark, "minhash-links")
     pair = "id long, lead long"
-    entries = _weighted(signed.select("id", F.explode("bands").alias("band")))
+    entries = _weighted(firsts.select("id", F.explode("bands").alias("band")))
     # written, so that the join can split the entries of a large bucket
     lead = written(_leaders(entries), "minhash-leaders")
     # one row for each entry of a bucket of two or more but its leader
@@ -285,7 +286,11 @@ def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
         return spark.createDataFrame([], pair)
     ids = written(led.select("id").union(lead.select(F.col("lead").alias("id"))).distinct(), "minhash-ids")
     some = maybe_broadcast(ids, BROADCAST_IDS)  # then neither texts nor signatures move
-    sigs = written(signed.select("id", "sig").join(some, "id", "left_semi"), "minhash-sigs")
+    sigs = firsts.join(some, "id", "left_semi")
+    if signed is not None:  # signatures stay where they are until it is known which are compared
+        at = written(sigs.select("id", "row"), "minhash-rows")
+        sigs = signed.select("row", "sig").join(maybe_broadcast(at, BROADCAST_IDS), "row")
+    sigs = written(sigs.select("id", "sig"), "minhash-sigs")
     texts = written(docs.join(some, "id", "left_semi").dropDuplicates(["id"]), "minhash-texts")
 
     def near(pairs: DataFrame, name: str) -> DataFrame:
@@ -348,10 +353,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     texts = written(first.select("h1", "h2", F.col("x.id").alias("rep"), "x.row"), "minhash-reps")
     # rows that repeat an id with another text tie the two texts together
     member = written(signed.select("id", "h1", "h2").join(texts.drop("row"), ["h1", "h2"]).select("id", "rep").distinct(), "minhash-members")
-    # one row of each text, so that signatures are not shuffled to tell equal rows apart
-    reps = signed.join(texts.select("row"), "row", "left_semi")
-    reps = written(reps.select("id", "sig", "bands"), "minhash-firsts")
-    near = links(thin, reps).select(F.greatest("id", "lead").alias("id"), F.least("id", "lead").alias("lead"))
+    # one row of each text, without its signature, which few texts need and which takes most of the space
+    firsts = written(signed.select("id", "row", "bands").join(texts.select("row"), "row", "left_semi"), "minhash-firsts")
+    near = links(thin, firsts, signed).select(F.greatest("id", "lead").alias("id"), F.least("id", "lead").alias("lead"))
     near = written(near.distinct(), "minhash-edges")
     root = components(near.union(member.where("id <> rep").select("id", F.col("rep").alias("lead"))))
     own = member.groupBy("id").agg(F.min("rep").alias("rep"))

@@ -193,3 +193,16 @@ def test_signatures_are_not_shuffled_to_drop_equal_rows(docs, monkeypatch):
     monkeypatch.setattr(minhash, "written", spy)
     minhash.near_groups(docs.union(docs)).count()
     assert "Aggregate" not in plans["minhash-firsts"]
+
+
+def test_signatures_stay_in_place_until_texts_are_compared(docs, monkeypatch):
+    columns = {}
+
+    def spy(df, name):
+        columns[name] = df.columns
+        return written(df, name)
+    written = minhash.written
+    monkeypatch.setattr(minhash, "written", spy)
+    got = {(r["id"], r["class_id"]) for r in minhash.near_groups(docs.union(docs)).collect()}
+    assert "sig" not in columns["minhash-firsts"] and columns["minhash-sigs"] == ["id", "sig"]
+    assert got == {(r["id"], r["class_id"]) for r in minhash.near_groups(docs).collect()}
