@@ -81,3 +81,26 @@ def test_seeds_give_different_splits(spark):
     b = split.stratified_split(df, "label", "id", 0.2, None, seed=43).select("id", F.col("split").alias("b"))
     same = a.join(b, "id").where("a = b").count() / 20_000
     assert 0.66 < same < 0.70  # 0.8 ** 2 + 0.2 ** 2
+
+
+def test_registered_search_is_the_whole_search(spark, monkeypatch):
+    from cadre.plans import q_ml
+    rows_ = [(i, "F" if i % 2 else "O", "1-URGENT", "AUTO", f"N{i % 3}", float(i), 1 + i % 7, float(i % 50), 0.1, 0.2, i % 3, "test" if i % 5 == 0 else "train") for i in range(60)]
+    frame = spark.createDataFrame(rows_, "row_id bigint, o_orderstatus string, o_orderpriority string, c_mktsegment string, c_nationkey string, c_acctbal double, "
+                                         "n_lines bigint, sum_qty double, avg_disc double, avg_tax double, label int, split string")
+    monkeypatch.setattr(q_ml, "_ml_frame", lambda spark, d: frame.withColumn("weight", F.lit(1.0)).withColumn("is_val", F.lit(False)))
+
+    class Seen(Exception):
+        pass
+
+    def seen(maps, stages, estimator, evaluator, rows, fold, k, *_):
+        raise Seen(maps, k, rows.count())
+
+    monkeypatch.setattr(train, "cross_validate", seen)
+    with pytest.raises(Seen) as e:
+        q_ml.tune_cv(spark, "unused")
+    maps, k, n = e.value.args
+    assert (len(maps), k, n) == (50, 5, 48)
+    for name, (kind, lo, hi) in train.FOREST_SPACE.items():
+        drawn = [float(v) for m in maps for p, v in m.items() if p.name == name]
+        assert len(drawn) == 50 and lo <= min(drawn) < (lo + hi) / 2 < max(drawn) <= hi
