@@ -16,9 +16,10 @@ exact counts in every task, which only saves work: any other word is coded by a
 hash of 62 bits, and its exact count for the base score is joined.
 
 The lexicon has a fixed size and is broadcast.  The filter grows with the
-corpus: up to ``BROADCAST_BYTES`` it is broadcast, beyond that each distinct
-n-gram is sent to its segment and the counts are joined back, with the same
-scores.
+corpus: up to ``BROADCAST_BYTES`` it is broadcast, beyond that the distinct
+n-grams of a part of the texts are sent, packed, to the segments, which answer
+with one byte each, with the same scores.  The part itself is kept as codes of
+its words and meets the answers on its number.
 
 Defined cases: null and empty texts are one end token; a null id is not held
 out; texts of any length are scored whole; repeated rows count and are scored singly; an empty table gives an empty
@@ -38,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadre.llm.common import narrow, text_parts, thrifty, top_counts, whole, written
+from cadre.llm.common import narrow, release, text_parts, thrifty, top_counts, whole, written
 
 LEXICON = 1 << 16
 BASE = 1.5
@@ -51,6 +52,9 @@ BROADCAST_BYTES = 128 << 20
 CHUNK = 1 << 21
 #: Keys packed together by a worker.
 MOST_PACKED = 1 << 22
+#: Segments asked together, so that a part of the texts has few questions, long
+#: ones, and keys looked up together.
+ASKED, TOGETHER = 16, 1 << 18
 #: One of so many bigrams, by its hash, is counted before the filter is sized.
 SIZING = 1024
 #: Token codes below the lexicon's words.
@@ -259,6 +263,32 @@ def _lists(values: pa.Array, text: np.ndarray, texts: int) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
 
 
+def planes(values: np.ndarray) -> bytes:
+    """The lowest byte of all values, then the next of all, ...: what is small or
+    much alike is compressed well."""
+    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+
+
+def unplaned(data: bytes, type_) -> np.ndarray:
+    """The values of :func:`planes`."""
+    return np.frombuffer(data, np.uint8).reshape(np.dtype(type_).itemsize, -1).T.copy().view(type_).ravel()
+
+
+def _questions(codes: np.ndarray, at: np.ndarray, n: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What a part of the texts asks the filter, its words being ``codes[at]``:
+    the place of each bigram among the distinct ones, the keys of those and of the
+    words outside the lexicon, their groups of segments, and an order by group and key."""
+    at2, each = pd.factorize(pair_key(*_framed(codes[at], n, BEGIN, END)))
+    key = np.concatenate([each, codes[codes >= RARE]])
+    group = place(key, segments)[1] // ASKED
+    return at2, key, group, np.lexsort((key, group))
+
+
+def _one(values: pa.Array) -> pa.ListArray:
+    """All values as one list."""
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 10 == 0, F.lit(False))
 
@@ -284,6 +314,7 @@ class Model:
 
         counted = docs.select("text").mapInArrow(thrifty(words), "w string, n long")
         counted = written(counted.groupBy("w").agg(F.sum("n").alias("n")), "lm-vocab")
+        release(spark)
         self.vocab = counted.where(~F.col("w").startswith(" "))
         self.ends = docs.count()
         total = self.vocab.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"), F.sum(steps_of("n")).alias("q")).first()
@@ -330,6 +361,8 @@ class Model:
         rows = docs.select("text").mapInArrow(thrifty(count), PACKED).union(
             self.vocab.select("w", "n").mapInArrow(thrifty(single), PACKED)).union(ends.mapInArrow(framing, PACKED))
         self.filter = build_packed(rows)
+        del rows
+        release(spark)
         self.broadcast = self.segments * SEGMENT_BITS // 8 <= broadcast_bytes
         if self.broadcast:
             data = np.zeros((self.segments, SEGMENT_BITS // 8), np.uint8)
@@ -359,14 +392,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     spark = docs.sparkSession
     others = [f for f in docs.schema.fields if f.name != "text"]
     names = [f.name for f in others]
-    shared = spark.sparkContext.broadcast((model.words, model.counts > 0, model.base, model.single, model.context, model.segments, model.data))
+    shared = spark.sparkContext.broadcast((model.words, model.counts > 0, model.base, model.context, model.segments, model.data))
     mass = model.mass
-    added = ("n_tokens long, lex_known long, lex_base double, lm double, w array<string>, k array<long>, "
-             "key array<long>, n array<int>, h array<long>, t array<long>, qh array<int>, qt array<int>")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others) + ", " + added
+    types = [*((f.name, f.dataType.simpleString()) for f in others), ("n_tokens", "long"), ("lex_known", "long"), ("lex_base", "double")]
+    strings = [("w", "array<string>"), ("k", "array<long>")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, known, base, single, context, segments, data = shared.value
+        words, known, base, context, segments, data = shared.value
         coder = Coder(words)
         for b in batches:
             for start, texts in text_parts(b, "text", CHUNK):
@@ -384,71 +416,125 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 own = one // max(1, len(code))
                 out = [pa.array(n + 1), pa.array(lex_known), pa.array(lex_base)]
                 some = [w[i] for i in np.flatnonzero(far)[first].tolist()]
-                strings = [_lists(pa.array(some, pa.binary()).cast(pa.string()), own, m), _lists(pa.array(k, pa.int64()), own, m)]
-                prev, cur = _framed(code[at], n, BEGIN, END)
-                key = pair_key(prev, cur)
-                text = np.repeat(np.arange(m), n + 1)
+                rares = [_lists(pa.array(some, pa.binary()).cast(pa.string()), own, m), _lists(pa.array(k, pa.int64()), own, m)]
+                out = [*(b.column(x).slice(start, m) for x in names), *out]
                 if data is not None:
+                    prev, cur = _framed(code[at], n, BEGIN, END)
+                    key = pair_key(prev, cur)
                     read = lambda s, x: data[s, x]
                     count = context[place_]
                     count[rare] = expected(probe(code[rare], segments, read))
-                    c, c2 = _framed(count[at], n, context[BEGIN], context[END])
                     at2, key = pd.factorize(key)
-                    share = np.minimum(1, expected(probe(key, segments, read))[at2] / np.maximum(c, 1))
-                    l_ = weight(c)
-                    p = np.log10(l_ * share + (1 - l_) * ((c2 + 0.1) / mass))
-                    out += [pa.array(np.bincount(text, p, m)), *strings]
-                    out += [pa.nulls(m, pa.list_(t)) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32())]
+                    lm = _likelihood(count, at, n, context, expected(probe(key, segments, read))[at2], mass)
+                    columns = [*out, *rares, pa.array(lm)]
                 else:
-                    at2, each = pd.factorize(key)
-                    _, first, times = np.unique(text * len(each) + at2, return_index=True, return_counts=True)
-                    qh, qt = _framed(np.where(rare, -1, single[place_])[at], n, single[BEGIN], single[END])
-                    own = text[first]
-                    prev, cur = prev[first], cur[first]
-                    columns = [pa.array(key[first]), pa.array(times, pa.int32()), pa.array(np.where(prev >= RARE, prev, 0)),
-                               pa.array(np.where(cur >= RARE, cur, 0)), pa.array(qh[first], pa.int32()), pa.array(qt[first], pa.int32())]
-                    out += [pa.nulls(m, pa.float64()), *strings, *(_lists(x, own, m) for x in columns)]
-                rows = b.slice(start, m)
-                yield pa.RecordBatch.from_arrays([*(rows.column(x) for x in names), *out],
-                                                 names=[*names, "n_tokens", "lex_known", "lex_base", "lm", "w", "k", "key", "n", "h", "t", "qh", "qt"])
-
-    rows = written(docs.select(*names, "text").mapInArrow(thrifty(run), schema), "lm-rows")
-    rare = rows.select("row", F.explode(F.arrays_zip("w", "k")).alias("x")).select("row", "x.w", "x.k")
+                    columns = [b.column("row").slice(start, 1), *map(_one, [*out, *rares]), *(pa.array([planes(x)], pa.binary()) for x in (code, at.astype(np.int32)))]
+                yield pa.RecordBatch.from_arrays(columns, names=fields)
+
+    if model.broadcast:
+        schema = [*types, *strings, ("lm", "double")]
+    else:
+        schema = [("part", "long"), *((c, f"array<{t}>") for c, t in [*types, *strings]), ("codes", "binary"), ("words", "binary")]
+    fields = [c for c, _ in schema]
+    # parts are as large as the texts, and stay
+    rows = written(docs.select(*names, "text").mapInArrow(thrifty(run), _ddl(schema)), "lm-rows", **({} if model.broadcast else {"compression": "zstd"}))
+    each = rows if model.broadcast else rows.select(F.explode(F.arrays_zip("row", "w", "k")).alias("x")).select("x.*")
+    rare = each.select("row", F.explode(F.arrays_zip("w", "k")).alias("x")).select("row", "x.w", "x.k")
     seen = F.coalesce(F.col("v"), F.lit(0))
     rare = rare.join(model.vocab.withColumnRenamed("n", "v"), "w", "left").groupBy("row").agg(
         F.sum(F.when(seen > 0, F.col("k")).otherwise(0)).alias("rare_known"),
         F.sum(F.col("k") * F.log10((seen + 0.1) / mass)).alias("rare_base"))
-    out = rows.join(rare, "row", "left")
-    lm = F.col("lm")
-    if not model.broadcast:
-        out = out.join(_probed(rows, model), "row", "left")
-        lm = F.col("probed")
-    return out.select(*names, "n_tokens", (F.col("lex_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
-                      (F.col("lex_base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"), lm.alias("score"))
-
-
-def _probed(rows: DataFrame, model: Model) -> DataFrame:
-    """(row, probed): the scores of ``rows`` with the counts joined to their n-grams."""
-    each = rows.select("row", F.explode(F.arrays_zip("key", "n", "h", "t", "qh", "qt")).alias("x")).select("row", "x.*")
-    asked = each.select(F.explode(F.array("key", "h", "t")).alias("key")).where("key <> 0").distinct()
-    steps = written(lookup(asked, model.filter, model.segments), "lm-probed")
-    inside = each.join(steps, "key")
-    # a token of the lexicon stands with the bigram's own key, so that no key is joined by many rows
-    outside = inside.where("h <> 0 or t <> 0").withColumns({c: F.when(F.col(c) == 0, F.col("key")).otherwise(F.col(c)) for c in ("h", "t")})
-    for c, q in (("h", "qh"), ("t", "qt")):
-        found = steps.select(F.col("key").alias(c), F.col("q").alias("found"))
-        outside = outside.join(found, c).withColumn(q, F.when(F.col(q) < 0, F.col("found")).otherwise(F.col(q))).drop("found")
-    named = ["row", "n", "q", "qh", "qt"]
-    every = inside.where("h = 0 and t = 0").select(*named).union(outside.select(*named))
-
-    def mean(q: Column) -> Column:
-        low = F.ceil(F.pow(F.lit(BASE), q - 1) - 1e-9)
-        high = F.greatest(low, F.ceil(F.pow(F.lit(BASE), q) - 1e-9) - 1)
-        return F.when(q > 0, (low + high) / 2).otherwise(F.lit(0.0))
-    every = every.select("row", "n", mean(F.col("q")).alias("c"), mean(F.col("qh")).alias("ch"), mean(F.col("qt")).alias("ct"))
-    l_ = weight(F.col("ch"))
-    p = l_ * F.least(F.lit(1.0), F.col("c") / F.greatest(F.col("ch"), F.lit(1.0))) + (1 - l_) * ((F.col("ct") + 0.1) / model.mass)
-    return every.groupBy("row").agg(F.sum(F.col("n") * F.log10(p)).alias("probed"))
+    if model.broadcast:
+        told = rows
+    else:
+        # written, so that what was shuffled for it is gone before the filter is asked
+        rare = written(rare, "lm-rare")
+        release(spark)
+        told = _told(rows, types, model)
+    return told.join(rare, "row", "left").select(
+        *names, "n_tokens", (F.col("lex_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
+        (F.col("lex_base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"), F.col("lm").alias("score"))
+
+
+def _ddl(fields: list[tuple[str, str]]) -> str:
+    return ", ".join(f"`{c}` {t}" for c, t in fields)
+
+
+def _likelihood(count: np.ndarray, at: np.ndarray, n: np.ndarray, context: np.ndarray, pairs: np.ndarray, mass: float) -> np.ndarray:
+    """The score of each of the texts of ``n`` words, by the counts of their
+    distinct words and of their bigrams."""
+    c, c2 = _framed(count[at], n, context[BEGIN], context[END])
+    share = np.minimum(1, pairs / np.maximum(c, 1))
+    l_ = weight(c)
+    p = np.log10(l_ * share + (1 - l_) * ((c2 + 0.1) / mass))
+    return np.bincount(np.repeat(np.arange(len(n)), n + 1), p, len(n))
+
+
+def _told(parts: DataFrame, types: list[tuple[str, str]], model: Model) -> DataFrame:
+    """The rows (``types``, lm) of the texts in ``parts``, by the answers of the
+    segments to their questions.
+
+    A part asks for each distinct n-gram once, by the differences of the sorted
+    keys; the answer is a byte.  Only these and the parts' codes are shuffled.
+    """
+    segments, mass = model.segments, model.mass
+    shared = parts.sparkSession.sparkContext.broadcast(model.context)
+    asked, answers = "slot long, part long, keys binary", "slot long, part long, q binary"
+    bare = pa.schema([("slot", pa.int64()), ("part", pa.int64()), ("q", pa.binary())])
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part, size, codes, words in zip(*(b.column(c) for c in ("part", "n_tokens", "codes", "words"))):
+                n = size.values.to_numpy(zero_copy_only=False) - 1
+                _, key, group, order = _questions(unplaned(codes.as_py(), np.int64), unplaned(words.as_py(), np.int32), n, segments)
+                group, key = group[order], key[order]
+                start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+                step = np.diff(key, prepend=0)
+                step[start] = key[start]
+                cut = [planes(step[lo:hi]) for lo, hi in zip(start, [*start[1:], len(key)])]
+                yield pa.RecordBatch.from_arrays([pa.array(group[start]), pa.array([part.as_py()] * len(cut), pa.int64()), pa.array(cut, pa.binary())],
+                                                 names=["slot", "part", "keys"])
+
+    def answer(rows: pa.Table, seg: pa.Table) -> pa.Table:
+        if not len(rows):
+            return bare.empty_table()
+        first = rows["slot"][0].as_py() * ASKED
+        data = np.zeros((ASKED, SEGMENT_BITS // 8), np.uint8)
+        for s, x in zip(seg["segment"].to_pylist(), seg["bits"]):
+            data[s - first] = np.frombuffer(x.as_buffer(), np.uint8)
+        q: list[bytes] = []
+        keys, held = [], 0
+        blobs = rows["keys"]
+        for i, x in enumerate(blobs):
+            keys.append(np.cumsum(unplaned(x.as_buffer(), np.int64)))
+            held += len(keys[-1])
+            if held >= TOGETHER or i + 1 == len(blobs):
+                got = probe(np.concatenate(keys), segments, lambda s, at: data[s - first, at]).astype(np.uint8)
+                q += [x.tobytes() for x in np.split(got, np.cumsum([len(k) for k in keys[:-1]]))]
+                keys, held = [], 0
+        return pa.Table.from_arrays([rows["slot"], rows["part"], pa.array(q, pa.binary())], schema=bare)
+
+    def tell(told: pa.Table, part: pa.Table) -> pa.Table:
+        context = shared.value
+        codes, at = (unplaned(part[c][0].as_py(), t) for c, t in (("codes", np.int64), ("words", np.int32)))
+        n = part["n_tokens"][0].values.to_numpy(zero_copy_only=False) - 1
+        at2, key, _, order = _questions(codes, at, n, segments)
+        q = np.empty(len(key), np.int64)
+        q[order] = np.frombuffer(b"".join(told.sort_by("slot")["q"].to_pylist()), np.uint8)
+        rare = codes >= RARE
+        count = context[np.where(rare, OTHER, codes)]
+        pairs = len(key) - int(rare.sum())
+        count[rare] = expected(q[pairs:])
+        lm = _likelihood(count, at, n, context, expected(q[:pairs])[at2], mass)
+        out = [pa.chunked_array([x.values for x in part[c]]) for c, _ in types]
+        return pa.Table.from_arrays([*out, pa.chunked_array([pa.array(lm)])], names=[*(c for c, _ in types), "lm"])
+
+    filter_ = model.filter.withColumn("slot", F.floor(F.col("segment") / ASKED).cast("long"))
+    questions = parts.select("part", "n_tokens", "codes", "words").mapInArrow(thrifty(ask), asked)
+    told = written(questions.groupBy("slot").cogroup(filter_.groupBy("slot")).applyInArrow(answer, answers), "lm-told")
+    release(parts.sparkSession)
+    own = parts.select("part", *(c for c, _ in types), "codes", "words")
+    return told.groupBy("part").cogroup(own.groupBy("part")).applyInArrow(tell, _ddl([*types, ("lm", "double")]))
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:

@@ -38,6 +38,23 @@ def test_probing_by_join_gives_the_same_scores(docs, scored):
     assert got == {i: pytest.approx(r["score"], rel=1e-9) for i, r in scored.items()}
 
 
+def test_probing_by_join_writes_little(spark):
+    """What is kept for the join, besides the filter, is less than the texts."""
+    import os
+    from cadre.session import ensure_checkpoint_dir
+    rng = np.random.default_rng(7)
+    rows = [(i, " ".join(f"word{w}" for w in rng.zipf(1.2, 500) % 30_000)) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    top = ensure_checkpoint_dir(spark).removeprefix("file:")
+    old = set(os.listdir(top))
+    assert lm.score_documents(docs, broadcast_bytes=0).where("score < 0").count() == 600
+    size = sum(os.path.getsize(os.path.join(at, f)) for d in set(os.listdir(top)) - old if d.startswith("lm-")
+               for at, _, names in os.walk(os.path.join(top, d)) for f in names if not f.startswith("."))
+    held = sum(os.path.getsize(os.path.join(at, f)) for d in set(os.listdir(top)) - old if d.startswith("lm-filter")
+               for at, _, names in os.walk(os.path.join(top, d)) for f in names)
+    assert size - held < 0.7 * sum(len(t) for _, t in rows)
+
+
 def test_bigrams_help(corpus, scored):
     """Copies of trained texts are far likelier under the model than word by word."""
     assert sum(r["score"] for r in scored.values()) > sum(r["base_score"] for r in scored.values())
